@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -165,3 +166,30 @@ def smallest_reachable(edges: DataFrame, name: str = "cc", rounds: int = 60) ->
         raise RuntimeError("components did not settle")
     roots = edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+class IdFilter:
+    """A bitmap of hashed ids: tells for most ids that they are not among some given ones. At most 2^27 bits (16 MB)."""
+
+    def __init__(self, ids: DataFrame, key: str, most_bits: int = 27):
+        n = ids.count()
+        self.bits = min(most_bits, max(15, math.ceil(math.log2(16 * max(n, 1)))))
+        place = F.pmod(F.xxhash64(F.col(key).cast("long"), F.lit(29)), F.lit(1 << self.bits))
+        words = ids.select(place.alias("p")).where("p > 0").groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("b")).collect()
+        full = np.zeros(max(1, (1 << self.bits) // 8), dtype=np.uint8)
+        size = 4096  # bytes of one of Spark's bitmaps; their bucket numbers begin at 1
+        for r in words:
+            raw = np.frombuffer(bytes(r["b"]), dtype=np.uint8)
+            at = (r["k"] - 1) * size
+            full[at : at + len(raw)] |= raw[: len(full) - at]
+        self.shared = ids.sparkSession.sparkContext.broadcast(full)
+
+    def column(self, key: str):
+        """Where an id's bit is; goes with `passes`."""
+        return F.pmod(F.xxhash64(F.col(key).cast("long"), F.lit(29)), F.lit(1 << self.bits))
+
+    def passes(self, place: np.ndarray) -> np.ndarray:
+        # bit_position(p) is (p - 1) mod 32768 within bucket 1 + (p - 1) div 32768; place 0 has a bucket of its own
+        p = place.astype(np.int64) - 1
+        full = self.shared.value
+        return (p < 0) | ((full[np.maximum(p, 0) >> 3] >> (np.maximum(p, 0) & 7).astype(np.uint8)) & 1).astype(bool)

@@ -10,7 +10,8 @@
    five standard deviations below the threshold. A longer list gives a star of edges, without a filter.
 4. Connected components of these candidate edges are candidate groups: any two linked documents are in one group. Full
    shingle sets verify inside groups by exact integer counts; groups above `block` documents are dealt as pairs of
-   blocks, so no task holds more than two blocks. A task returns a spanning forest of its links.
+   blocks, so no task holds more than two blocks. A task returns a spanning forest of its links. Sets are made before
+   they are shuffled, and only for documents that a bitmap of the candidates' ids lets pass.
 5. Components of those links give component_id.
 
 Chance of a miss: a linked pair shares fewer than 14 of the 32 smallest values of its union with probability below
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, materialize, mix, ngram_hashes, smallest_reachable, texts_of, word_hashes
+from .common import IdFilter, groups, materialize, mix, ngram_hashes, smallest_reachable, texts_of, word_hashes
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -209,12 +210,16 @@ def near_duplicates(docs: DataFrame, pct: int = 85, shingle: int = 5, k: int = 6
     large = member.groupBy("g").agg(F.count("*").alias("c")).withColumn("blocks", F.ceil(F.col("c") / block).cast("int")).select("g", "blocks")
     member = member.join(large, "g").withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
 
+    wanted = IdFilter(member, "doc_id")
+
     def sets(batches):
         for b in batches:
-            found = [shingle_set(x, shingle).astype("<u8").tobytes() for x in texts_of(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "g", "blocks", "i")), pa.array(found, pa.binary())], names=["doc_id", "g", "blocks", "i", "shingles"])
+            pick = pa.array(wanted.passes(b.column("place").to_numpy()))
+            ids, texts = b.column("doc_id").filter(pick), texts_of(b.column("text").filter(pick))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([shingle_set(x, shingle).astype("<u8").tobytes() for x in texts], pa.binary())], names=["doc_id", "shingles"])
 
-    whole_sets = docs.join(member, "doc_id").select("doc_id", "g", "blocks", "i", "text").mapInArrow(sets, "doc_id long, g long, blocks int, i int, shingles binary")
+    some = docs.where("doc_id is not null").select("doc_id", "text", wanted.column("doc_id").alias("place"))
+    whole_sets = some.mapInArrow(sets, "doc_id long, shingles binary").join(member, "doc_id")
     units = whole_sets.select(
         "doc_id", "g", "shingles", "i",
         F.explode(F.expr("transform(sequence(0, blocks - 1), x -> named_struct('i', least(i, x), 'j', greatest(i, x), 'side', if(i > x, 1, 0)))")).alias("u"),
