@@ -5,11 +5,13 @@ grams in it, which depends on the window's words alone: equal windows share it.
 form a run, which is kept as (minimizer, start, length, hash of all its windows).
 
 1. Runs are counted by minimizer, summed map-side. A minimizer that occurs once has no window elsewhere.
-2. A repeated minimizer whose runs are all equal settles them: all their windows repeat.
-3. Runs of the other repeated minimizers give their windows' 128-bit hashes, which are counted, summed map-side.
+2. A repeated minimizer whose runs are all equal settles them: all their windows repeat. So do runs of the other
+   repeated minimizers that have an equal run.
+3. Of those minimizers, runs that stand alone and one of each set of equal runs give their windows' 128-bit hashes, which
+   are counted, summed map-side.
 4. Windows that repeat inside one document are found in the pass itself, by sorting its hashes.
 
-What is shuffled is one short row for about every 14 words, and the texts twice, by doc_id; hot minimizers and windows
+What is shuffled is one short row for about every 14 words, and the texts that hold repeats; hot minimizers and windows
 meet only in partial sums and in joins whose large side can be split.
 
 `SuffixAutomaton` below gives matching statistics against reference passages; the README says why the corpus itself
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, ngram_hashes, texts_of, word_hashes
+from .common import IdFilter, materialize, mix, ngram_hashes, texts_of, word_hashes
 
 
 class SuffixAutomaton:
@@ -124,6 +126,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("d"), F.xxhash64("text").alias("t"))
 
 
+def _passing(docs: DataFrame, wanted: IdFilter, passing: bool = True) -> DataFrame:
+    """The rows of docs, whose column t is not null, that pass (or don't pass) a filter of t."""
+
+    def run(batches):
+        for b in batches:
+            pick = wanted.passes(b.column("place").to_numpy())
+            yield b.select(docs_columns).filter(pa.array(pick if passing else ~pick))
+
+    docs_columns = docs.columns
+    return docs.withColumn("place", wanted.column("t")).mapInArrow(run, docs.schema)
+
+
 def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 8) -> DataFrame:
     """(d, t, spans array of (start, length) in windows) of _keyed(docs): every window whose words start anywhere else too."""
 
@@ -151,8 +165,11 @@ def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 8) -> DataFram
     found = materialize(docs.select("d", "t", "text").mapInArrow(runs, "d long, t long, m long, s int, n int, f long, own byte"), "runs")
     ran = found.where("own = 0").drop("own")
     often = ran.groupBy("m").agg(F.count("*").alias("c"), F.min("f").alias("f1"), F.max("f").alias("f2")).where("c > 1").select("m", (F.col("f1") == F.col("f2")).alias("settled"))
-    kept = materialize(ran.join(often, "m").select("d", "t", "s", "n", "settled"), "kept")
-    open_runs = kept.where("not settled").groupBy("d", "t").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
+    kept = materialize(ran.join(often, "m").select("d", "t", "s", "n", "m", "f", "settled"), "kept")
+    mixed = kept.where("not settled")
+    alike = mixed.groupBy("m", "f").agg(F.count("*").alias("c"), F.min(F.struct("d", "t", "s")).alias("one"))
+    mixed = materialize(mixed.join(alike, ["m", "f"]).select("d", "t", "s", "n", (F.col("c") > 1).alias("copied"), (F.col("one") == F.struct("d", "t", "s")).alias("shown")), "mixed")
+    open_runs = mixed.where("shown").groupBy("d", "t").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
 
     def windows(batches):
         for b in batches:
@@ -167,11 +184,12 @@ def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 8) -> DataFram
                 y.append(h2[at])
             yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(v)) for v in (d, k)), pa.array(np.concatenate(s).astype(np.int32)), *(pa.array(np.concatenate(v).view(np.int64)) for v in (x, y))], names=["d", "t", "s", "x", "y"])
 
-    longer = docs.select("d", "t", "text").join(open_runs, ["d", "t"])
+    wanted = IdFilter(open_runs, "t")
+    longer = _passing(docs.select("d", "t", "text"), wanted).join(open_runs, ["d", "t"])
     w = materialize(longer.mapInArrow(windows, "d long, t long, s int, x long, y long"), "windows")
     twice = w.groupBy("x", "y").agg(F.count("*").alias("c")).where("c > 1").select("x", "y")
     again = w.join(twice, ["x", "y"], "left_semi").select("d", "t", "s", F.lit(1).alias("n"))
-    spans = kept.where("settled").select("d", "t", "s", "n").unionByName(again).unionByName(found.where("own = 1").select("d", "t", "s", "n"))
+    spans = kept.where("settled").select("d", "t", "s", "n").unionByName(mixed.where("copied").select("d", "t", "s", "n")).unionByName(again).unionByName(found.where("own = 1").select("d", "t", "s", "n"))
     return spans.groupBy("d", "t").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
 
 
@@ -197,8 +215,13 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 8) -> DataFram
                 text.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(text, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
-    joined = docs.join(repeated_spans(docs, window, gram), ["d", "t"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept_text string")
+    # only texts with spans are shuffled to meet them
+    spans = materialize(repeated_spans(docs, window, gram), "spans")
+    wanted = IdFilter(spans, "t")
+    joined = _passing(docs, wanted).join(spans, ["d", "t"], "left").select("doc_id", "text", "spans")
+    plain = _passing(docs, wanted, False).select("doc_id", "text", F.lit(None).cast("array<struct<s: int, n: int>>").alias("spans"))
+    schema = f"doc_id {kind}, n_words long, n_removed long, kept_text string"
+    return joined.mapInArrow(cut, schema).unionByName(plain.mapInArrow(cut, schema))
 
 
 def kept_hash(text: str) -> str:
