@@ -134,7 +134,8 @@ def smallest_reachable(edges: DataFrame, name: str = "cc", rounds: int = 60) ->
     """Connected components of undirected edges (a, b): rows (node, root), root the smallest node reachable.
 
     Alternating star contraction. Each round is two partial aggregations and two joins on a node, so a hub of any
-    degree is summed map-side and its join side can be split; nothing goes to the driver but two numbers a round.
+    degree is summed map-side. The sums are written before they are joined: a join right above an aggregation shares its
+    exchange, and Spark can't split a hub's rows there. Nothing goes to the driver but two numbers a round.
     """
     edges = materialize(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name
@@ -148,11 +149,11 @@ def smallest_reachable(edges: DataFrame, name: str = "cc", rounds: int = 60) ->
         if not was[0]:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
         # every larger neighbour goes to the smallest of the neighbourhood
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = materialize(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), name)
         # every smaller neighbour, and the node, go to the smallest
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), name)
         small = large.join(low, "a")
         small = small.select(F.col("a"), F.col("m").alias("b")).unionByName(
             small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, pct: int = 85, shingle: int = 5, k: int = 6
 
     # the rarest retained values of each representative
     retained = reps.select("doc_id", "n", F.explode(F.slice("sketch", 1, index)).alias("v"))
-    often = retained.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    often = materialize(retained.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "often")
     floor = _binomial_floor(index, t)
     whole = F.col("n") - F.ceil(F.col("n") * pct / F.lit(100)) + 1
     slots = F.when(F.col("n") <= index, whole).otherwise(F.lit(index - floor + 1)).cast("int")
@@ -201,13 +201,13 @@ def near_duplicates(docs: DataFrame, pct: int = 85, shingle: int = 5, k: int = 6
     pairs = pairs.join(s.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
     pairs = pairs.select("a", "b", "sa", "sb").mapInArrow(_estimate(k, low), "a long, b long")
     long_lists = listed.where(F.col("df") > short)
-    hub = long_lists.groupBy("v").agg(F.min("doc_id").alias("a"))
+    hub = materialize(long_lists.groupBy("v").agg(F.min("doc_id").alias("a")), "hubs")
     stars = long_lists.join(hub, "v").select("a", F.col("doc_id").alias("b")).where("a <> b")
     member = smallest_reachable(pairs.unionByName(stars), "candidates")
 
     # full sets, inside candidate groups
     member = materialize(member.withColumnRenamed("node", "doc_id").withColumnRenamed("root", "g"), "groups")
-    large = member.groupBy("g").agg(F.count("*").alias("c")).withColumn("blocks", F.ceil(F.col("c") / block).cast("int")).select("g", "blocks")
+    large = materialize(member.groupBy("g").agg(F.count("*").alias("c")).withColumn("blocks", F.ceil(F.col("c") / block).cast("int")).select("g", "blocks"), "sizes")
     member = member.join(large, "g").withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
 
     wanted = IdFilter(member, "doc_id")
@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, pct: int = 85, shingle: int = 5, k: int = 6
     roots = smallest_reachable(links, "links")
 
     # every document: its class, the component of the class
-    roots = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("root"))
+    roots = materialize(classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("root")), "roots")
     out = rows.select("doc_id", "n", "h1", "h2").join(roots, ["h1", "h2", "n"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("root")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

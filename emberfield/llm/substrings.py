@@ -165,9 +165,12 @@ def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 8) -> DataFram
     found = materialize(docs.select("d", "t", "text").mapInArrow(runs, "d long, t long, m long, s int, n int, f long, own byte"), "runs")
     ran = found.where("own = 0").drop("own")
     often = ran.groupBy("m").agg(F.count("*").alias("c"), F.min("f").alias("f1"), F.max("f").alias("f2")).where("c > 1").select("m", (F.col("f1") == F.col("f2")).alias("settled"))
+    # sums are written before they are joined: right above an aggregation Spark can't split a hot key's rows
+    often = materialize(often, "often")
     kept = materialize(ran.join(often, "m").select("d", "t", "s", "n", "m", "f", "settled"), "kept")
     mixed = kept.where("not settled")
     alike = mixed.groupBy("m", "f").agg(F.count("*").alias("c"), F.min(F.struct("d", "t", "s")).alias("one"))
+    alike = materialize(alike, "alike")
     mixed = materialize(mixed.join(alike, ["m", "f"]).select("d", "t", "s", "n", (F.col("c") > 1).alias("copied"), (F.col("one") == F.struct("d", "t", "s")).alias("shown")), "mixed")
     open_runs = mixed.where("shown").groupBy("d", "t").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
 
@@ -188,6 +191,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 8) -> DataFram
     longer = _passing(docs.select("d", "t", "text"), wanted).join(open_runs, ["d", "t"])
     w = materialize(longer.mapInArrow(windows, "d long, t long, s int, x long, y long"), "windows")
     twice = w.groupBy("x", "y").agg(F.count("*").alias("c")).where("c > 1").select("x", "y")
+    twice = materialize(twice, "twice")
     again = w.join(twice, ["x", "y"], "left_semi").select("d", "t", "s", F.lit(1).alias("n"))
     spans = kept.where("settled").select("d", "t", "s", "n").unionByName(mixed.where("copied").select("d", "t", "s", "n")).unionByName(again).unionByName(found.where("own = 1").select("d", "t", "s", "n"))
     return spans.groupBy("d", "t").agg(F.collect_list(F.struct("s", "n")).alias("spans"))

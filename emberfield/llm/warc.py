@@ -118,6 +118,7 @@ def response_of(pages: DataFrame, least: int = 100) -> DataFrame:
     """(page_id, refers_to) of the revisits among pages(page_id, payload)."""
     brief = materialize(pages.where("page_id is not null").where(F.octet_length("payload") >= least).select("page_id", F.sha2(F.col("payload").cast("binary"), 256).alias("digest")), "digests")
     firsts = brief.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to").select("digest", "refers_to")
+    firsts = materialize(firsts, "firsts")
     return brief.join(firsts, "digest").where("page_id > refers_to").select("page_id", "refers_to").distinct()
 
 
