@@ -37,21 +37,29 @@ SLACK = 1e-6
 class MTree:
     """Bulk-loaded M-tree over rows of x (float64) with their ids."""
 
-    LEAF, FAN = 64, 16
+    #: Rows of a leaf page, child pages of a page. A leaf's rows lie side by side, so a page is one product.
+    LEAF, FAN = 512, 16
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
         self.norm2 = (x * x).sum(axis=1)
         #: Pages: (object vector, radius, max |x|^2, leaf?, entries, distances of entries to the object)
         self.pages: list[tuple] = []
-        self.root = self._build(np.arange(len(ids)), x.mean(axis=0) if len(ids) else np.zeros(x.shape[1])) if len(ids) else None
+        self.order: list[np.ndarray] = []
+        self.root = self._build(np.arange(len(ids)), x.mean(axis=0)) if len(ids) else None
+        if self.order:
+            order = np.concatenate(self.order)
+            self.ids, self.x, self.norm2 = self.ids[order], np.ascontiguousarray(self.x[order]), self.norm2[order]
+            self.order = []
 
     def _build(self, rows: np.ndarray, center: np.ndarray) -> int:
         far = np.sqrt(((self.x[rows] - center) ** 2).sum(axis=1))
         radius, high = float(far.max()), float(self.norm2[rows].max())
         if len(rows) <= self.LEAF or radius == 0.0:
             order = np.argsort(far, kind="stable")
-            self.pages.append((center, radius, high, True, rows[order], far[order]))
+            start = sum(map(len, self.order))
+            self.order.append(rows[order])
+            self.pages.append((center, radius, high, True, (start, start + len(rows)), far[order]))
             return len(self.pages) - 1
         fan = min(self.FAN, math.ceil(len(rows) / (self.LEAF * 0.75)))
         seeds = self.x[rows[np.argsort(far, kind="stable")[np.linspace(0, len(rows) - 1, fan).astype(int)]]]
@@ -87,11 +95,18 @@ class MTree:
             c, _, _, leaf, entries, to = self.pages[page]
             if leaf:
                 # stored distances to the parent bound each product before it is computed
-                rows = entries[(q2 + self.norm2[entries] - (d - to) ** 2) / 2 + SLACK >= least]
-                computed += len(rows)
-                scores = self.x[rows] @ q
-                ids = self.ids[rows]
-                good = scores >= least
+                start, end = entries
+                able = (q2 + self.norm2[start:end] - (d - to) ** 2) / 2 + SLACK >= least
+                if able.all():
+                    scores, ids = self.x[start:end] @ q, self.ids[start:end]
+                else:
+                    rows = start + np.flatnonzero(able)
+                    scores, ids = self.x[rows] @ q, self.ids[rows]
+                computed += len(ids)
+                floor = least
+                if len(scores) > k + 1:  # one more than k, as the query itself may be among them
+                    floor = max(floor, np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1])
+                good = scores >= floor
                 for s, i in zip(scores[good].tolist(), ids[good].tolist(), strict=True):
                     if i == own:
                         continue
@@ -121,7 +136,7 @@ def quantize(vectors: DataFrame, key: str, vector: str, scale: float) -> DataFra
     return vectors.where(good & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), v.alias("v"))
 
 
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, page_rows: int = 4096, trees: int = 2048, block: int = 2048, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, page_rows: int = 8192, trees: int = 2048, block: int = 2048, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each vec_id divisible by `every`, its k best other vectors."""
     spark = vectors.sparkSession
     base = materialize(quantize(vectors, key, vector, scale), "vectors")
