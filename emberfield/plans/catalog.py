@@ -5,16 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..session import ship_code
+from . import cleaning, relational, spatial_grid  # noqa: F401
+from .registry import ORACLES, QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"))
+    """Detections inside a box by month and type, with statistics of their power."""
+    return QUERIES["a13_fire_groups"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    def shipped(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_code(spark)
+            return f(spark, sf_dir)
+
+        return run
+
+    return {k: shipped(f) for k, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
