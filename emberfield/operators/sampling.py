@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import destination, haversine_km, uniform
+from ..session import materialize
 from . import spatial
 
 
@@ -77,15 +78,15 @@ def spread(candidates: DataFrame, min_km: float, seed: int = 0, rounds: int = 40
     """A maximal subset whose members are min_km apart: each round keeps candidates that come first among their neighbours."""
     c = candidates.withColumn("rank", F.xxhash64(F.lit(seed), "nid"))
     other = c.select(F.col("nid").alias("other"), F.col("rank").alias("rank2"), "latitude", "longitude")
-    pairs = spatial.within_km(c, other, "nid", "other", min_km, haversine_km).where(F.col("nid") != F.col("other")).where(F.col("km") < min_km).select("nid", "other").persist()
-    todo, kept = c.select("nid", "rank"), None
+    pairs = spatial.within_km(c, other, "nid", "other", min_km, haversine_km).where(F.col("nid") != F.col("other")).where(F.col("km") < min_km).select("nid", "other")
+    pairs, todo, kept = materialize(pairs, "pairs"), c.select("nid", "rank"), None
     for _ in range(rounds):
         live = pairs.join(todo.withColumnRenamed("rank", "r1"), "nid").join(todo.select(F.col("nid").alias("other"), F.col("rank").alias("r2")), "other")
         beaten = live.where("r2 < r1 or (r2 = r1 and other < nid)").select("nid").distinct()
-        win = todo.join(beaten, "nid", "left_anti").select("nid").persist()
+        win = materialize(todo.join(beaten, "nid", "left_anti").select("nid"), "win")
         kept = win if kept is None else kept.unionByName(win)
         near = pairs.join(win.withColumnRenamed("nid", "other"), "other", "left_semi").select("nid").distinct()
-        todo = todo.join(win, "nid", "left_anti").join(near, "nid", "left_anti").persist()
+        todo = materialize(todo.join(win, "nid", "left_anti").join(near, "nid", "left_anti"), "todo")
         if todo.isEmpty():
-            break
-    return candidates.join(kept, "nid", "left_semi")
+            return candidates.join(kept, "nid", "left_semi")
+    raise RuntimeError("the sample did not settle")
