@@ -129,7 +129,9 @@ class WindowNetwork:
         return out
 
     def train(self, padded: np.ndarray, at: np.ndarray, epochs: int = 2, batch: int = 1024, rate: float = 0.5, seed: int = 7) -> None:
-        """Stochastic gradient ascent on the masked log-likelihood."""
+        """Stochastic gradient ascent on the masked log-likelihood; without places the network stays as it is."""
+        if not len(at):
+            return
         rng = np.random.default_rng(seed)
         for epoch in range(epochs):
             step = np.float32(rate / (1 + epoch))

@@ -14,8 +14,8 @@ form a run, which is kept as (minimizer, start, length, hash of all its windows)
 What is shuffled is one short row for about every 14 words, and the texts that hold repeats; hot minimizers and windows
 meet only in partial sums and in joins whose large side can be split.
 
-`SuffixAutomaton` below gives matching statistics against reference passages; the README says why the corpus itself
-can't be its reference.
+remove_references() below streams documents past suffix automata of bounded reference shards. With the corpus itself as
+the reference that can't give whole results in bounded memory (the README has figures), so remove_repeats() counts.
 
 Null or empty text: 0 words, hash of the empty string. Null and repeated doc_ids: such rows take part like any others;
 rows are told apart by doc_id and a hash of the text, and rows equal in both get the same result.
@@ -23,8 +23,6 @@ rows are told apart by doc_id and a hash of the text, and rows equal in both get
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -228,5 +226,59 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 8) -> DataFram
     return joined.mapInArrow(cut, schema).unionByName(plain.mapInArrow(cut, schema))
 
 
-def kept_hash(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+def _shards(reference: DataFrame, shard_words: int, window: int):
+    """Lists of words of at most shard_words words, passages apart by a mark; long passages overlap by window - 1 words."""
+    held: list = []
+    mark = 0
+    for r in reference.select("text").where("text is not null").toLocalIterator():
+        words = r["text"].encode().split()
+        step = max(1, shard_words - window)
+        for at in range(0, max(1, len(words) - window + 1), step):
+            part = words[at : at + step + window - 1]
+            if len(part) < window:
+                continue
+            if held and len(held) + len(part) >= shard_words:
+                yield held
+                held = []
+            held += [*part, mark]
+            mark += 1
+    if held:
+        yield held
+
+
+def remove_references(docs: DataFrame, reference: DataFrame, window: int = 35, shard_words: int = 50_000) -> DataFrame:
+    """(doc_id, n_removed, kept_text) of docs(doc_id, text), without maximal spans of at least `window` words that stand in
+    reference(text) too. Shards of the reference, bounded in words, go to the tasks as suffix automata in turn, and the
+    documents are streamed past each for their matching statistics."""
+    docs = docs.select("doc_id", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = docs.withColumn("spans", F.array().cast("array<struct<s: int, n: int>>"))
+    for shard in _shards(reference, shard_words, window):
+        shared = docs.sparkSession.sparkContext.broadcast(shard)
+
+        def run(batches, shared=shared):
+            automaton = SuffixAutomaton(shared.value)
+            for b in batches:
+                spans = b.column("spans").to_pylist()
+                for have, t in zip(spans, texts_of(b.column("text")), strict=True):
+                    words = (t or b"").split()
+                    if len(words) >= window:
+                        long = np.array(automaton.matching(words)) >= window
+                        have += [{"s": e - window + 1, "n": n} for e, n in _spans(long)]
+                yield b.set_column(b.schema.get_field_index("spans"), "spans", pa.array(spans, b.column("spans").type))
+
+        out = out.mapInArrow(run, out.schema)
+
+    def cut(batches):
+        for b in batches:
+            gone, text = [], []
+            for t, spans in zip(texts_of(b.column("text")), b.column("spans").to_pylist(), strict=True):
+                words = (t or b"").split()
+                keep = np.ones(len(words), dtype=bool)
+                for x in spans:
+                    keep[x["s"] : x["s"] + x["n"] + window - 1] = False
+                gone.append(int((~keep).sum()))
+                text.append(b" ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(gone, pa.int64()), pa.array(text, pa.binary()).cast(pa.string())], names=["doc_id", "n_removed", "kept_text"])
+
+    return out.mapInArrow(cut, f"doc_id {kind}, n_removed long, kept_text string")
