@@ -40,7 +40,7 @@ def curve(df: DataFrame, y: str, score: str, by: list[str] | None = None) -> Dat
 def ranking_metrics(df: DataFrame, y: str, score: str, by: list[str] | None = None) -> DataFrame:
     """(by, roc_auc, average_precision)."""
     by = by or []
-    c = curve(df, y, score, by)
+    c = curve(df.select(*by, F.col(y).alias("__y"), F.col(score).alias("__s")), "__y", "__s", by)
     neg = F.col("all") - F.col("pos")
     auc = F.sum(neg * (F.col("tp") - F.col("pos") / 2)) / F.first(F.col("p") * F.col("n"))
     ap = F.sum(F.col("pos") / F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp")))
@@ -60,10 +60,10 @@ def threshold_metrics(df: DataFrame, y: str, score: str, threshold: float, by: l
 
 def best_threshold(df: DataFrame, y: str, score: str, optimize: str = "f1", least: float = 0.8) -> DataFrame:
     """One row (threshold, value): max F1; or max precision at recall >= least; or max recall at precision >= least; ties to the higher score."""
-    c = curve(df, y, score)
+    c = curve(df.select(F.col(y).alias("__y"), F.col(score).alias("__s")), "__y", "__s")
     p, r = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / F.col("p")
     value = {"f1": 2 * p * r / F.nullif(p + r, F.lit(0.0)), "precision": F.when(r >= least, p), "recall": F.when(p >= least, r)}[optimize]
-    return c.withColumn("v", value).where("v is not null").agg(F.max(F.struct("v", score)).alias("m")).select(F.col(f"m.{score}").alias("threshold"), F.col("m.v").alias("value"))
+    return c.withColumn("v", value).where("v is not null").agg(F.max(F.struct("v", "__s")).alias("m")).select(F.col("m.__s").alias("threshold"), F.col("m.v").alias("value"))
 
 
 # clusterings
