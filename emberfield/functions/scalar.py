@@ -132,3 +132,16 @@ def snake_case(name: str) -> str:
 
 def short_hash(x: Column, n: int = 8) -> Column:
     return F.substring(F.md5(x.cast("binary")), 1, n)
+
+
+# Parts of file names, in order of precedence, with the feature and unit that they tell.
+FEATURE_NAMES = (("tmin", "Minimum temperature", "C"), ("tmax", "Maximum temperature", "C"), ("prec", "Precipitation", "mm"), ("elev", "Elevation", "m"), ("clay", "Clay", "%"), ("sand", "Sand", "%"))
+
+
+def feature_of(stem: Column) -> Column:
+    """Struct (name, unit) of a file stem: suffixes and layer numbers go, the first known part decides, else title case."""
+    clean = F.regexp_replace(F.lower(stem), r"(_clipped|_cleaned|_aligned)+$|_d[0-9]+(?=_|$)", "")
+    out = F.when(F.lit(False), F.struct(F.lit("").alias("name"), F.lit("").alias("unit")))
+    for part, name, unit in FEATURE_NAMES:
+        out = out.when(clean.contains(part), F.struct(F.lit(name).alias("name"), F.lit(unit).alias("unit")))
+    return out.otherwise(F.struct(F.initcap(F.regexp_replace(clean, "_", " ")).alias("name"), F.lit("").alias("unit")))

@@ -118,3 +118,31 @@ def castable_share(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, share) of values that read as numbers."""
     parts = [F.struct(F.lit(c).alias("column"), F.avg(F.col(c).cast("string").try_cast("double").isNotNull().cast("int")).alias("share")) for c in columns]
     return df.agg(F.array(*parts).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+def qq_points(df: DataFrame, column: str, bins: int = 200) -> DataFrame:
+    """(theoretical, sample) at `bins` even probabilities."""
+    from ..functions.scalar import normal_quantile
+
+    ps = [(k + 0.5) / bins for k in range(bins)]
+    out = df.agg(F.percentile_approx(column, ps, 10_000).alias("q")).select(F.posexplode("q").alias("k", "sample"))
+    return out.select(normal_quantile((F.col("k") + 0.5) / bins).alias("theoretical"), F.col("sample").cast("double").alias("sample"))
+
+
+def shapiro_francia(df: DataFrame, column: str, key: str, most: int = 5000) -> float:
+    """W' of Shapiro and Francia on at most `most` rows by hash: the squared correlation with normal scores."""
+    import numpy as np
+    from statistics import NormalDist
+
+    x = np.sort(np.array([r[0] for r in df.where(F.col(column).isNotNull()).orderBy(F.xxhash64(F.col(key)), key).limit(most).select(column).collect()], dtype=float))
+    if len(x) < 20:
+        raise ValueError("at least 20 values are needed")
+    m = np.array([NormalDist().inv_cdf((k + 0.625) / (len(x) + 0.25)) for k in range(len(x))])
+    return float(np.corrcoef(x, m)[0, 1] ** 2)
+
+
+def recommendations(df: DataFrame, columns: list[str], y: str) -> DataFrame:
+    """(topic, detail): class imbalance (smaller class under a fifth), skewed columns (|skew| above 1)."""
+    small = df.groupBy(y).agg(F.count("*").alias("n")).agg((F.min("n") / F.sum("n")).alias("s")).where("s < 0.2").select(F.lit("imbalance").alias("topic"), F.lit(y).alias("detail"))
+    skewed = shape(df, columns).where(F.abs("skew") > 1).select(F.lit("skewed").alias("topic"), F.col("column").alias("detail"))
+    return small.unionByName(skewed)

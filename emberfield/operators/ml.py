@@ -333,3 +333,23 @@ def kmedoids(df: DataFrame, key: str, v: str, k: int, sample: int = 500, iterati
             break
         medoids = new
     return assign(df.withColumn(v, F.col(v).cast("array<double>")), v, [x[m].tolist() for m in medoids])
+
+
+def kmeans_sweep(df: DataFrame, key: str, v: str, ks: list[int], iterations: int = 10) -> list[dict]:
+    """Davies-Bouldin and Calinski-Harabasz of each k; the caller picks."""
+    out = []
+    for k in ks:
+        q = cluster_quality(kmeans(df, key, v, k, iterations), "cluster", v).first()
+        out.append({"k": k, **q.asDict()})
+    return out
+
+
+def dbscan_grid(df: DataFrame, key: str, v: str, eps: list[float], least: list[int]) -> list[dict]:
+    """Clusters, noise share and a penalty score of each setting; one table of pairs, at the greatest eps, serves all."""
+    pairs = eps_pairs(df, key, v, max(eps))
+    out = []
+    for e in eps:
+        for m in least:
+            r = dbscan(df, key, v, e, m, pairs).agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("k"), F.avg((F.col("cluster") < 0).cast("int")).alias("noise")).first()
+            out.append({"eps": e, "min_samples": m, "clusters": r["k"], "noise": r["noise"], "score": -max(0, r["k"] - 10) * 0.01 - max(0.0, (r["noise"] or 0) - 0.3) * 0.5})
+    return out

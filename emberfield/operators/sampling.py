@@ -90,3 +90,45 @@ def spread(candidates: DataFrame, min_km: float, seed: int = 0, rounds: int = 40
         if todo.isEmpty():
             return candidates.join(kept, "nid", "left_semi")
     raise RuntimeError("the sample did not settle")
+
+
+def polygon_centroids(polygons: DataFrame, fires: DataFrame, n: int, min_km: float, gid: str = "zone", ring: str = "ring") -> DataFrame:
+    """(nid, latitude, longitude): centroids of polygons without positives, far enough from any; at most n, by id."""
+    hit = spatial.points_in_polygons(fires, polygons, "id", gid, ring).select(gid).distinct()
+    mean = lambda axis: F.expr(f"aggregate(slice({ring}, 1, size({ring}) - 1), cast(0 as double), (s, p) -> s + p.{axis}) / (size({ring}) - 1)")
+    free = polygons.join(hit, gid, "left_anti").select(F.col(gid).cast("long").alias("nid"), mean("y").alias("latitude"), mean("x").alias("longitude"))
+    return spatial.farther_than(free, fires, "nid", "id", min_km, haversine_km).orderBy("nid").limit(n)
+
+
+def polygon_grid(polygons: DataFrame, fires: DataFrame, min_km: float, step: float = 0.05, gid: str = "zone", ring: str = "ring") -> DataFrame:
+    """(nid, latitude, longitude): points of a regular grid inside polygons, far enough from positives; nid names the grid point."""
+    low = lambda axis: F.floor(F.array_min(F.transform(ring, lambda p: p[axis])) / step).cast("long")
+    high = lambda axis: F.ceil(F.array_max(F.transform(ring, lambda p: p[axis])) / step).cast("long")
+    at = polygons.select(F.explode(F.sequence(low("y"), high("y"))).alias("gy"), low("x").alias("x0"), high("x").alias("x1")).select("gy", F.explode(F.sequence("x0", "x1")).alias("gx")).distinct()
+    at = at.select((F.col("gy") * 10_000_000 + F.col("gx")).alias("nid"), (F.col("gy") * step).alias("latitude"), (F.col("gx") * step).alias("longitude"))
+    inside = spatial.points_in_polygons(at, polygons, "nid", gid, ring).select("nid").distinct()
+    return spatial.farther_than(at.join(inside, "nid", "left_semi"), fires, "nid", "id", min_km, haversine_km)
+
+
+def adaptive_band(fires: DataFrame, n: int, min_km: float, max_km: float, seed: int = 0, batch: int = 4000, batches: int = 8) -> tuple[DataFrame, float, float]:
+    """Random candidates inside a band of distances; the band widens batch by batch while few are accepted (attempts, not
+    the clock, decide). Returns the sample and the band that it ended with."""
+    box, floor, low, high, out, have = _box(fires), 0.8 * min_km, min_km, max_km, None, 0
+    for k in range(batches):
+        good = materialize(from_candidates(_candidates(fires.sparkSession, box, k * batch, batch, seed), fires, None, low, high, seed), "band")
+        got = good.count()
+        out = good if out is None else out.unionByName(good)
+        have += got
+        if have >= n:
+            break
+        if got < 0.005 * batch and k >= batches // 4:
+            low = max(floor, 0.9 * low)
+        if got < 0.01 * batch and k >= batches // 3:
+            high *= 1.4
+    return out.orderBy("nid").limit(n), low, high
+
+
+def distance_metrics(negatives: DataFrame, fires: DataFrame) -> DataFrame:
+    """One row: min_km, median_km, mean_km of the distance to the nearest positive (planar degrees x 111)."""
+    near = spatial.k_nearest(negatives, fires, "nid", "id", 1).select((F.col("dist") * 111).alias("km"))
+    return near.agg(F.min("km").alias("min_km"), F.percentile("km", 0.5).alias("median_km"), F.avg("km").alias("mean_km"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_code
-from . import cleaning, modelling, relational, spatial_grid  # noqa: F401
+from . import cleaning, extras, modelling, relational, spatial_grid  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
