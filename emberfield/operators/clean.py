@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip
+from .quantiles import exact_percentiles
 
 
 def stats_row(df: DataFrame, columns: list[str], p: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """One row: for each column a struct of n, mean, std_pop, std_samp, skew, distinct and the percentiles p."""
+    q = exact_percentiles(df, columns, list(p))
     return df.agg(*(F.struct(
         F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std_pop"), F.stddev_samp(c).alias("std"), F.skewness(c).alias("skew"),
-        F.percentile(c, F.array(*map(F.lit, p))).alias("p"),
+        F.array(*(F.lit(v).cast("double") for v in q[c])).alias("p"),
     ).alias(c) for c in columns))
 
 
@@ -41,10 +43,10 @@ def outlier_flags(df: DataFrame, column: str, method: str = "iqr", k: float | No
     """df with is_outlier by iqr (1.5), z (3, sample), mad (3.5) or percentile (1 and 99)."""
     x = F.col(column)
     if method == "mad":
-        med = df.agg(F.percentile(column, 0.5).alias("__m"))
-        dev = df.crossJoin(F.broadcast(med)).agg(F.percentile(F.abs(x - F.col("__m")), 0.5).alias("__d"), F.first("__m").alias("__m"))
-        flag = F.abs(0.6745 * (x - F.col("__m")) / F.nullif(F.col("__d"), F.lit(0.0))) > (k or 3.5)
-        out = df.crossJoin(F.broadcast(dev))
+        m = exact_percentiles(df, [column], [0.5])[column][0]
+        d = exact_percentiles(df.select(F.abs(x - F.lit(m)).alias("d")), ["d"], [0.5])["d"][0] if m is not None else None
+        flag = F.abs(0.6745 * (x - F.lit(m)) / F.lit(d)) > (k or 3.5) if d else F.lit(False)
+        out = df
     else:
         s = stats_row(df, [column], (0.25, 0.5, 0.75, 0.01, 0.99)).select(F.col(column).alias("__s"))
         out = df.crossJoin(F.broadcast(s))
@@ -72,8 +74,9 @@ def mean_or_median(df: DataFrame, columns: list[str], closeness: float = 0.1) ->
 
 def fill_with(df: DataFrame, columns: list[str], how: str, most_missing: float | None = None) -> DataFrame:
     """Fills NULL with mean, median or mode (smallest on ties); with most_missing only columns of 0 < share <= it."""
-    stat = {"mean": F.avg, "median": lambda c: F.percentile(c, 0.5), "mode": lambda c: F.mode(c, True)}[how]
-    s = df.agg(*(F.struct(stat(F.col(c)).alias("v"), F.avg(F.col(c).isNull().cast("int")).alias("miss")).alias(f"__{c}") for c in columns))
+    q = exact_percentiles(df, columns, [0.5]) if how == "median" else {}
+    stat = {"mean": F.avg, "median": lambda c: F.lit(q[c][0]).cast("double"), "mode": lambda c: F.mode(c, True)}[how]
+    s = df.agg(*(F.struct(stat(c).alias("v"), F.avg(F.col(c).isNull().cast("int")).alias("miss")).alias(f"__{c}") for c in columns))
     out = df.crossJoin(F.broadcast(s))
     for c in columns:
         value = F.col(f"__{c}.v")
@@ -110,15 +113,17 @@ def decide(df: DataFrame, column: str, max_fill: float = 0.05) -> Decision:
     x = F.col(column)
     r = df.agg(
         F.count("*").alias("rows"), F.count(x).alias("n"), F.count_distinct(x).alias("u"), F.bool_and(x == F.floor(x)).alias("whole"), F.skewness(x).alias("skew"),
-        F.avg(x).alias("mean"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.mode(x, True).alias("mode"),
+        F.avg(x).alias("mean"),
     ).first()
     if not r["n"]:
         return Decision(column, False, True, None, None, None, 1.0)
+    q = exact_percentiles(df, [column], [0.25, 0.5, 0.75])[column]
     categorical = bool(r["n"] >= 20 and r["whole"] and r["u"] <= 20 and r["u"] < 0.05 * r["n"])
     symmetric = r["n"] < 10 or r["skew"] is None or abs(r["skew"]) < 0.5
-    iqr = r["q"][2] - r["q"][0]
-    low, high = (None, None) if categorical or iqr <= 0 else (r["q"][0] - 1.5 * iqr, r["q"][2] + 1.5 * iqr)
-    return Decision(column, categorical, symmetric, low, high, r["mode"] if categorical else r["mean"] if symmetric else r["q"][1], 1 - r["n"] / r["rows"])
+    iqr = q[2] - q[0]
+    low, high = (None, None) if categorical or iqr <= 0 else (q[0] - 1.5 * iqr, q[2] + 1.5 * iqr)
+    mode = df.agg(F.mode(x, True)).first()[0] if categorical else None  # few distinct values
+    return Decision(column, categorical, symmetric, low, high, mode if categorical else r["mean"] if symmetric else q[1], 1 - r["n"] / r["rows"])
 
 
 def impute_smart(df: DataFrame, column: str, max_fill: float = 0.05) -> tuple[DataFrame, Decision]:
@@ -126,8 +131,9 @@ def impute_smart(df: DataFrame, column: str, max_fill: float = 0.05) -> tuple[Da
     d, x = decide(df, column), F.col(column)
     if d.low is not None:
         inside = x.between(d.low, d.high)
-        value = (F.avg if d.symmetric else (lambda c: F.percentile(c, 0.5)))(F.when(inside, x))
-        df = df.crossJoin(F.broadcast(df.agg(value.alias("__v")))).withColumn(column, F.when(x.isNull() | inside, x).otherwise(F.col("__v"))).drop("__v")
+        rest = df.where(inside)
+        value = rest.agg(F.avg(x)).first()[0] if d.symmetric else exact_percentiles(rest, [column], [0.5])[column][0]
+        df = df.withColumn(column, F.when(x.isNull() | inside, x).otherwise(F.lit(value)))
     if d.fill is not None and 0 < d.missing_share <= max_fill:
         df = df.withColumn(column, F.coalesce(F.col(column), F.lit(float(d.fill))))
     return df, d

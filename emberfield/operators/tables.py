@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_percentiles
+
 # Parts of column names that mark derived columns.
 DERIVED_TOKENS = ("max", "min", "std", "p10", "p90", "mean", "range", "total", "index", "dist", "knn", "_r", "key", "class")
 
@@ -50,8 +52,8 @@ def relax_if_empty(df: DataFrame, kept: Column) -> DataFrame:
 
 
 def lower_whisker(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame:
-    q = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("__q"))
-    return df.crossJoin(F.broadcast(q)).where(F.col(column) >= F.col("__q")[0] - factor * (F.col("__q")[1] - F.col("__q")[0])).drop("__q")
+    q1, q3 = exact_percentiles(df, [column], [0.25, 0.75])[column]
+    return df if q1 is None else df.where(F.col(column) >= q1 - factor * (q3 - q1))
 
 
 def grid_snap(df: DataFrame, lat: str, lon: str, step: float, order: str) -> DataFrame:
@@ -110,9 +112,10 @@ def fill_nearest(df: DataFrame, keys: list[str], order: str, column: str, limit:
 
 
 def summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row a column: count, mean, std (sample), min, quartiles, max; one aggregation."""
+    """One row a column: count, mean, std (sample), min, quartiles, max."""
+    q = exact_percentiles(df, columns, [0.25, 0.5, 0.75])
     stats = [F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"),
-                      F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(c).cast("double").alias("max")) for c in columns]
+                      F.array(*(F.lit(v).cast("double") for v in q[c])).alias("q"), F.max(c).cast("double").alias("max")) for c in columns]
     out = df.agg(F.array(*stats).alias("s")).select(F.explode("s").alias("s")).select("s.*")
     return out.select("column", "count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 

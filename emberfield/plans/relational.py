@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import spatial, tables as T
+from ..operators.quantiles import exact_percentiles
 from .registry import query, rounded
 
 FIRE_GROUPS = """
@@ -239,8 +240,8 @@ def hist(t):
 @query("a25_percentiles", "SELECT unnest([5, 10, 25, 50, 75, 90, 95]) AS p, unnest(list_transform(quantile_cont(price, [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]), lambda x: round(x, 4))) AS value FROM features", "features")
 def percentiles(t):
     ps = [5, 10, 25, 50, 75, 90, 95]
-    out = t.features.agg(F.percentile("price", F.array(*(F.lit(p / 100) for p in ps))).alias("v"))
-    return rounded(out.select(F.explode(F.arrays_zip(F.array(*map(F.lit, ps)).alias("p"), F.col("v").alias("value"))).alias("x")).select("x.p", "x.value"), 4)
+    v = exact_percentiles(t.features, ["price"], [p / 100 for p in ps])["price"]
+    return rounded(t.spark.createDataFrame(list(zip(ps, v, strict=True)), "p int, value double"), 4)
 
 
 @query("a26_uniqueness", "SELECT CAST(count(DISTINCT brand) AS BIGINT) AS brands, round(count(DISTINCT z) / CAST(count(z) AS DOUBLE), 6) AS z_ratio FROM dem", "dem")

@@ -137,3 +137,14 @@ def test_samples_do_not_depend_on_partitions(spark):
 
 def test_target_size():
     assert N.target_size(1000, 0.3) == 2333 and N.target_size(1, 0.99) == 1
+
+
+def test_exact_percentiles(spark):
+    from emberfield.operators.quantiles import exact_percentiles
+
+    rng = np.random.default_rng(0)
+    x = np.concatenate((np.full(3000, 5.0), rng.lognormal(0, 3, 6000)))
+    df = spark.createDataFrame([(float(v), None) for v in x], "x double, y double")
+    ps = [0, 0.01, 0.25, 0.5, 0.9, 0.999, 1]
+    got = exact_percentiles(df, ["x", "y"], ps, most=50)
+    assert np.allclose(got["x"], np.percentile(x, [100 * p for p in ps])) and got["y"] == [None] * len(ps)
