@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdFilter, groups, materialize, mix, ngram_hashes, smallest_reachable, texts_of, word_hashes
+from .common import IdFilter, groups, materialize, mix, ngram_hashes, small, smallest_reachable, texts_of, word_hashes
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -56,7 +56,7 @@ def _binomial_floor(k: int, p: float, chance: float = 1e-8) -> int:
 
 def _sketches(docs: DataFrame, shingle: int, k: int) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             n, h1, h2, sketch = [], [], [], []
             for t in texts_of(b.column("text")):
                 s = shingle_set(t, shingle)
@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, pct: int = 85, shingle: int = 5, k: int = 6
     wanted = IdFilter(member, "doc_id")
 
     def sets(batches):
-        for b in batches:
+        for b in small(batches):
             pick = pa.array(wanted.passes(b.column("place").to_numpy()))
             ids, texts = b.column("doc_id").filter(pick), texts_of(b.column("text").filter(pick))
             yield pa.RecordBatch.from_arrays([ids, pa.array([shingle_set(x, shingle).astype("<u8").tobytes() for x in texts], pa.binary())], names=["doc_id", "shingles"])

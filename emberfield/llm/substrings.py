@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdFilter, materialize, mix, ngram_hashes, texts_of, word_hashes
+from .common import IdFilter, materialize, mix, ngram_hashes, small, texts_of, word_hashes
 
 
 class SuffixAutomaton:
@@ -124,13 +124,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("d"), F.xxhash64("text").alias("t"))
 
 
-def _passing(docs: DataFrame, wanted: IdFilter, passing: bool = True) -> DataFrame:
-    """The rows of docs, whose column t is not null, that pass (or don't pass) a filter of t."""
+def _passing(docs: DataFrame, wanted: IdFilter) -> DataFrame:
+    """The rows of docs, whose column t is not null, that pass a filter of t."""
 
     def run(batches):
         for b in batches:
             pick = wanted.passes(b.column("place").to_numpy())
-            yield b.select(docs_columns).filter(pa.array(pick if passing else ~pick))
+            yield b.select(docs_columns).filter(pa.array(pick))
 
     docs_columns = docs.columns
     return docs.withColumn("place", wanted.column("t")).mapInArrow(run, docs.schema)
@@ -140,7 +140,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 8) -> DataFram
     """(d, t, spans array of (start, length) in windows) of _keyed(docs): every window whose words start anywhere else too."""
 
     def runs(batches):
-        for b in batches:
+        for b in small(batches):
             cols: list[list] = [[], [], [], [], [], [], []]
             for d, t, text in zip(b.column("d").to_numpy(), b.column("t").to_numpy(), texts_of(b.column("text")), strict=True):
                 words = (text or b"").split()
@@ -173,7 +173,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 8) -> DataFram
     open_runs = mixed.where("shown").groupBy("d", "t").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
 
     def windows(batches):
-        for b in batches:
+        for b in small(batches):
             d, k, s, x, y = [], [], [], [], []
             for doc, t, text, got in zip(b.column("d").to_numpy(), b.column("t").to_numpy(), texts_of(b.column("text")), b.column("runs").to_pylist(), strict=True):
                 h1, h2 = window_hashes(word_hashes(text.split()), window)
@@ -201,7 +201,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 8) -> DataFram
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
-        for b in batches:
+        for b in small(batches):
             n, gone, text = [], [], []
             for t, spans in zip(texts_of(b.column("text")), b.column("spans").to_pylist(), strict=True):
                 words = (t or b"").split()
@@ -221,9 +221,13 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 8) -> DataFram
     spans = materialize(repeated_spans(docs, window, gram), "spans")
     wanted = IdFilter(spans, "t")
     joined = _passing(docs, wanted).join(spans, ["d", "t"], "left").select("doc_id", "text", "spans")
-    plain = _passing(docs, wanted, False).select("doc_id", "text", F.lit(None).cast("array<struct<s: int, n: int>>").alias("spans"))
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_text string"
-    return joined.mapInArrow(cut, schema).unionByName(plain.mapInArrow(cut, schema))
+
+    def plain(batches):  # one worker filters and cuts
+        return cut(b.filter(pa.array(~wanted.passes(b.column("place").to_numpy()))) for b in batches)
+
+    rest = docs.select("doc_id", "text", F.lit(None).cast("array<struct<s: int, n: int>>").alias("spans"), wanted.column("t").alias("place"))
+    return joined.mapInArrow(cut, schema).unionByName(rest.mapInArrow(plain, schema))
 
 
 def _shards(reference: DataFrame, shard_words: int, window: int):
