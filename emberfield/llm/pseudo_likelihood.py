@@ -5,8 +5,10 @@ context, tanh, then a softmax over classes of words and one over the words of th
 its words' conditional log-probabilities.
 
 The vocabulary and its classes come from the counts of all words of the corpus (summed map-side); other words are dealt
-to `rare` buckets by a hash. The network is trained in numpy on a bounded sample of documents (`sample_docs`,
-`positions`) and broadcast; its size is bounded by the vocabulary (about 1 MB). Scoring is one narrow map.
+to `rare` buckets by a hash. The network is trained in numpy: it starts on a bounded sample of documents (`sample_docs`,
+`positions`), then every task goes on from there with one document in `every` of its part of the corpus, whole, and the
+tasks' changes are averaged by the places that they saw. So training grows with the corpus, and what comes back to the
+driver is one network, whose size is bounded by the vocabulary (about 1 MB). Scoring is one narrow map.
 
 Words are runs without ASCII white space, A-Z lower-cased. Null or empty text: 0 words, log-probability 0, mean null.
 Null doc_id and repeated rows: a row each.
@@ -14,6 +16,7 @@ Null doc_id and repeated rows: a row each.
 
 from __future__ import annotations
 
+import copy
 import math
 from collections import Counter
 
@@ -158,6 +161,20 @@ class WindowNetwork:
                 for e, o in zip(self.emb, self.offsets(), strict=True):
                     np.subtract.at(e, padded[part + o], step * gh / np.float32(32))
 
+    def weights(self) -> list[np.ndarray]:
+        return [*self.emb, self.wc, self.bc, *self.ww, *self.bw]
+
+    def flat(self) -> np.ndarray:
+        """All weights in one new array."""
+        return np.concatenate([x.ravel() for x in self.weights()])
+
+    def add(self, change: np.ndarray) -> None:
+        """Adds a change, in the order of flat(), to the weights."""
+        low = 0
+        for x in self.weights():
+            x += change[low : low + x.size].reshape(x.shape)
+            low += x.size
+
     def padded(self, docs: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         """All documents in one array, `side` pads around each; and the places of their words."""
         gap = [self.pad] * self.side
@@ -169,7 +186,61 @@ class WindowNetwork:
         return np.array(flat, dtype=np.int64), np.concatenate(places) if places else np.empty(0, np.int64)
 
 
-def fit(docs: DataFrame, vocabulary: int = 2000, sample_docs: int = 400, positions: int = 150_000, **kw) -> WindowNetwork:
+def refine(docs: DataFrame, net: WindowNetwork, every: int = 16, held_words: int = 50_000, cells: int = 4096) -> WindowNetwork:
+    """The network after one pass of averaged training over one document in `every`, chosen by a hash of id and text. A task
+    holds `held_words` words and a document at once, and sends its change in pieces of `cells` weights, which are summed
+    by piece in 64 bits; a sum's task holds no more than one network."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(net)
+
+    def learn(batches):
+        net = copy.deepcopy(shared.value)
+        before, ids, seen = net.flat(), net.ids(), 0
+        held: list[list[int]] = []
+
+        def flush():
+            padded, at = net.padded(held)
+            net.train(padded, at, epochs=1, rate=0.25)
+            held.clear()
+            return len(at)
+
+        size = 0
+        for b in batches:
+            for t in texts_of(b.column("text")):
+                held.append(list(map(ids.__getitem__, words_of(t))))
+                size += len(held[-1])
+                if size >= held_words:
+                    seen += flush()
+                    size = 0
+        seen += flush()
+        if seen:
+            change = net.flat() - before
+            parts = [change[low : low + cells].tobytes() for low in range(0, len(change), cells)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["piece", "seen", "change"])
+
+    def add(batches):
+        seen: Counter = Counter()
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, n, raw in zip(*(b.column(c).to_pylist() for c in ("piece", "seen", "change")), strict=True):
+                x = np.frombuffer(raw, dtype=np.float32) * np.float64(n)
+                total[k] = total[k] + x if k in total else x
+                seen[k] += n
+        keys = list(total)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([(total[k] / seen[k]).astype(np.float32).tobytes() for k in keys], pa.binary())], names=["piece", "change"])
+
+    some = docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", "text", F.lit(23)), F.lit(every)) == 0)).select("text")
+    changes = some.mapInArrow(learn, "piece int, seen long, change binary")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = sorted(changes.repartition(parts, "piece").mapInArrow(add, "piece int, change binary").collect())
+    net = copy.deepcopy(net)
+    if rows:
+        net.add(np.concatenate([np.frombuffer(bytes(r["change"]), dtype=np.float32) for r in rows]))
+    return net
+
+
+def fit(docs: DataFrame, vocabulary: int = 2000, sample_docs: int = 400, positions: int = 150_000, every: int = 16, **kw) -> WindowNetwork:
+    """A network for docs(doc_id, text); `every` 0 leaves out the pass over the corpus."""
     counts = word_counts(docs).cache()
     total = counts.agg(F.sum("n")).first()[0] or 0
     top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
@@ -183,7 +254,7 @@ def fit(docs: DataFrame, vocabulary: int = 2000, sample_docs: int = 400, positio
     if len(at) > positions:
         at = np.random.default_rng(3).choice(at, positions, replace=False)
     net.train(padded, at)
-    return net
+    return refine(docs, net, every) if every else net
 
 
 def score(docs: DataFrame, net: WindowNetwork | None = None, **kw) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators against brute force on fixtures with nulls, empty and long texts, repeated rows, clashing columns, empty tables."""
 
+import copy
 import hashlib
 import random
 import re
@@ -337,6 +338,29 @@ def test_training_raises_likelihood(docs):
     assert mean(trained) > mean(fresh)
 
 
+def test_pass_over_the_corpus_averages_what_tasks_learn(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in np.cumsum(rng.integers(0, 3, 400)) % 40) for _ in range(40)] + [None, "", " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3, "doc_id")
+    start = pseudo_likelihood.fit(docs, vocabulary=30, sample_docs=5, every=0)
+    got = pseudo_likelihood.refine(docs, start, every=1, held_words=1000, cells=100)
+    seen, total = 0, 0.0
+    for part in docs.where("text is not null").rdd.glom().collect():
+        net, held = copy.deepcopy(start), []
+        n = 0
+        for k, r in enumerate(part):
+            held.append([net.ids()[w] for w in pseudo_likelihood.words_of(r["text"].encode())])
+            if sum(map(len, held)) >= 1000 or k == len(part) - 1:
+                padded, at = net.padded(held)
+                net.train(padded, at, epochs=1, rate=0.25)
+                n, held = n + len(at), []
+        seen, total = seen + n, total + n * (net.flat() - start.flat()).astype(float)
+    assert np.allclose(got.flat(), start.flat() + total / seen, atol=1e-6)
+    likelihood = lambda n: pseudo_likelihood.score(docs, n).agg(F.sum("log_prob")).first()[0]
+    assert likelihood(got) > likelihood(start)
+    assert np.array_equal(pseudo_likelihood.refine(docs.limit(0), start).flat(), start.flat())
+
+
 def slow_tiles(item, doc, seed):
     """Greedy string tiling straight from its definition."""
     mi, md, tiles, seed = set(), set(), [], min(seed, len(item))
