@@ -54,6 +54,21 @@ def word_counts(docs: DataFrame, flush: int = 200_000) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(docs: DataFrame, most: int) -> tuple[list, int]:
+    """The `most` most frequent words (ties: smaller word) as rows (word, n), and the count of all words. Bands of counts tell
+    first how frequent a word must be, so that tasks send the driver little more than those words."""
+    counts = word_counts(docs).cache()
+    band = F.floor(F.log2("n") * 8)
+    left, least, total = most, 0, 0
+    for r in counts.groupBy(band.alias("band")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).orderBy(F.desc("band")).collect():
+        if left > 0:
+            left, least = left - r["words"], r["band"]
+        total += r["n"]
+    top = counts.where(band >= least).orderBy(F.desc("n"), "word").limit(most).collect()
+    counts.unpersist()
+    return top, total
+
+
 class WordIds(dict):
     """word -> id; words outside the vocabulary go to hashed buckets after it."""
 
@@ -241,10 +256,7 @@ def refine(docs: DataFrame, net: WindowNetwork, every: int = 16, held_words: int
 
 def fit(docs: DataFrame, vocabulary: int = 2000, sample_docs: int = 400, positions: int = 150_000, every: int = 16, **kw) -> WindowNetwork:
     """A network for docs(doc_id, text); `every` 0 leaves out the pass over the corpus."""
-    counts = word_counts(docs).cache()
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    counts.unpersist()
+    top, total = frequent_words(docs, vocabulary)
     n = np.array([r["n"] for r in top], dtype=float)
     net = WindowNetwork([bytes(r["word"]) for r in top], n, int(total - n.sum()), **kw)
     few = hash_sample(docs.select("doc_id", "text").where("text is not null"), "doc_id", sample_docs).collect()

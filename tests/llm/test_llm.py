@@ -299,6 +299,15 @@ def test_quality_on_held_out_rows(spark):
     assert quality.score(odd, quality.train(odd, labels.where("false"))).count() == 3
 
 
+def test_training_rows_are_bounded_and_repeats_count_once(spark):
+    docs = spark.createDataFrame([(i, "good words, here. " * (2 + i % 5) if i % 2 else "!!! $$$ " * (2 + i % 7)) for i in range(300)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    model = quality.train(docs, labels, sample_rows=100)
+    again = quality.train(docs.unionByName(docs), labels.unionByName(labels).repartition(5), sample_rows=100)
+    assert model == again and model.rules
+    assert {r["predicted"] == r["doc_id"] % 2 for r in quality.score(docs, model).collect()} == {True}
+
+
 def test_rules_as_columns_are_the_model(spark):
     rng = np.random.default_rng(0)
     x = rng.uniform(0, 1, (400, len(quality.NAMES)))
@@ -338,6 +347,14 @@ def test_training_raises_likelihood(docs):
     assert mean(trained) > mean(fresh)
 
 
+@pytest.mark.parametrize("most", [0, 1, 7, 10_000])
+def test_frequent_words(docs, rows, most):
+    count = Counter(w for _, t in rows for w in pseudo_likelihood.words_of((t or "").encode()))
+    top, total = pseudo_likelihood.frequent_words(docs, most)
+    assert [(bytes(r["word"]), r["n"]) for r in top] == sorted(count.items(), key=lambda x: (-x[1], x[0]))[:most]
+    assert total == sum(count.values())
+
+
 def test_pass_over_the_corpus_averages_what_tasks_learn(spark):
     rng = np.random.default_rng(5)
     texts = [" ".join(f"w{x}" for x in np.cumsum(rng.integers(0, 3, 400)) % 40) for _ in range(40)] + [None, "", " "]
