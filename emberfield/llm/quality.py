@@ -5,7 +5,7 @@ rows, give paths; each path is a conjunction of thresholds, a rule. Logistic reg
 rules, and those of weight zero go. The rest compile into one Spark column expression, so scoring is a projection: no
 join, no shuffle, no Python.
 
-Null text counts as empty. Labels that are null take no part; rows that repeat a doc_id weigh as often as they stand.
+Null text counts as empty. Labels that are null take no part; of rows that repeat a doc_id, one trains for each label it has.
 Without labels of both classes the score is the share of label 1 (1 where there is none).
 """
 
@@ -161,13 +161,17 @@ def fold_of(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, **kw) -> RuleEnsemble:
     """Fits on at most sample_rows labelled rows outside the held-out fold, chosen by a hash of doc_id."""
-    few = (
-        labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 1))
-        .select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("y")).orderBy(F.xxhash64("label_id", F.lit(17)), "y").limit(sample_rows)
-    )
+    usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 1))
+    usable = usable.select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int").alias("y")).distinct()
+    n, place = usable.count(), F.xxhash64("label_id", F.lit(17))
+    if n > sample_rows:  # of the smallest hashes, so that tasks send the driver little more than the sample
+        usable = usable.where(place < int(-(2**63) + 2**64 * min(1 - 2**-20, (1.2 * sample_rows + 20) / n)))
+    few = usable.orderBy(place, "y").limit(sample_rows)
     spark = docs.sparkSession
     few = spark.createDataFrame(few.collect(), "label_id long, y int")
-    rows = with_statistics(docs.select(F.col("doc_id").cast("long").alias("label_id"), "text").join(F.broadcast(few), "label_id")).select("row.label_id", "row.y", "stats.*").collect()
+    joined = docs.select(F.col("doc_id").cast("long").alias("label_id"), "text").join(F.broadcast(few), "label_id")
+    once = with_statistics(joined).groupBy("row.label_id", "row.y").agg(F.min("stats").alias("stats"))
+    rows = once.select("label_id", "y", "stats.*").collect()
     rows.sort(key=lambda r: (r["label_id"], tuple(r)))
     x = np.array([[r[n] for n in NAMES] for r in rows], dtype=float).reshape(len(rows), len(NAMES))
     return fit_rules(x, np.array([r["y"] for r in rows], dtype=float), **kw)
