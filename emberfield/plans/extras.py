@@ -154,6 +154,41 @@ def export(t):
     return t.spark.read.parquet(path).agg(F.count("*").alias("zones"), F.sum("n").alias("n"))
 
 
+@query("s02_file_name_columns", """
+SELECT file_name, CASE WHEN file_name LIKE '%ALGERIA%' THEN 'Algeria' WHEN file_name LIKE '%tunis%' THEN 'Tunisia' END AS country,
+  coalesce(type, CASE WHEN file_name LIKE '%type2%' THEN '2' END) AS type
+FROM (SELECT concat(n_name, CASE n_nationkey % 3 WHEN 0 THEN '_tunis' WHEN 1 THEN '_type2' ELSE '' END, '.csv') AS file_name,
+  CASE WHEN n_nationkey % 4 = 0 THEN '0' END AS type FROM nation)
+""")
+def file_names(t):
+    end = F.when(F.col("n_nationkey") % 3 == 0, "_tunis").when(F.col("n_nationkey") % 3 == 1, "_type2").otherwise("")
+    return io.name_columns(t.nation.select(F.concat("n_name", end, F.lit(".csv")).alias("file_name"), F.when(F.col("n_nationkey") % 4 == 0, "0").alias("type")))
+
+
+@query("s04_first_existing", "SELECT CAST(count(*) AS BIGINT) AS n FROM region")
+def first_existing(t):
+    return t.spark.read.parquet(io.first_existing(t.spark, f"{t.dir}/absent.parquet", f"{t.dir}/region.parquet", f"{t.dir}/nation.parquet")).agg(F.count("*").alias("n"))
+
+
+@query("s06_grid_columns", "SELECT lat, lon, soil_id, z FROM (SELECT c_custkey * CAST(0.5 AS DOUBLE) AS lat, c_custkey * CAST(0.25 AS DOUBLE) AS lon, c_nationkey AS soil_id, c_acctbal AS z FROM customer)")
+def grid_names(t):
+    return io.grid_columns(t.customer.select((F.col("c_custkey") * 0.5).alias("Y"), (F.col("c_custkey") * 0.25).alias("x"), F.col("c_nationkey").alias("SMU_code"), F.col("c_acctbal").alias("z")))
+
+
+@query("s08_legend_scan", "SELECT n_nationkey AS value, n_name AS label, CAST(n_regionkey AS VARCHAR) AS code FROM nation")
+def legend(t):
+    path = place(t)
+    t.nation.select(F.col("n_nationkey").alias("MapCode"), F.col("n_regionkey").alias("LCCCode"), F.col("n_name").alias("LCCLabel")).write.option("header", True).csv(path)
+    return io.read_legend(t.spark, path)
+
+
+@query("k05_grid_table", "SELECT r, c, z FROM dem", "dem")
+def grid_table(t):
+    path = place(t)
+    io.write_table(t.dem.select("r", "c", "z"), path, "zstd")
+    return t.spark.read.schema("r int, c int, z double").parquet(path)
+
+
 @query("s03_fallback_chain", "SELECT CAST(count(*) AS BIGINT) AS n FROM nation")
 def fallback(t):
     return io.first_readable(t.spark, f"{t.dir}/absent.parquet", f"{t.dir}/absent.csv", f"{t.dir}/nation.parquet").agg(F.count("*").alias("n"))

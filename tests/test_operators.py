@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from emberfield.functions import scalar as S
 from emberfield.operators import clean as C, eda as E, grid as G, ml as M, sampling as N, spatial as X, tables as T
+from emberfield.sources import io
+
+DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
 
 
 def values(spark, xs, name="x"):
@@ -148,3 +151,23 @@ def test_exact_percentiles(spark):
     ps = [0, 0.01, 0.25, 0.5, 0.9, 0.999, 1]
     got = exact_percentiles(df, ["x", "y"], ps, most=50)
     assert np.allclose(got["x"], np.percentile(x, [100 * p for p in ps])) and got["y"] == [None] * len(ps)
+
+
+def test_jdbc_reads_a_table(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/layers;create=true"
+    want = [(1, "D1"), (2, "D2"), (3, None)]
+    spark.createDataFrame(want, "id int, layer string").write.format("jdbc").options(url=url, dbtable="LAYERS", driver=DERBY).save()
+    got = io.jdbc(spark, url, "LAYERS", driver=DERBY, partitionColumn="id", lowerBound="1", upperBound="3", numPartitions="2")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_grid_columns(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 3, 4)], "Latitude double, X double, grid_id int, soil int")
+    assert io.grid_columns(df).columns == ["lat", "lon", "grid_id", "soil_id"]
+    with pytest.raises(ValueError):
+        io.grid_columns(spark.createDataFrame([(1,)], "a int"))
+
+
+def test_legend_of_values(spark, tmp_path):
+    (tmp_path / "legend.csv").write_text("Value, Label \n1,forest\n1,forest\nbad,x\n2,\n")
+    assert sorted(map(tuple, io.read_legend(spark, str(tmp_path / "legend.csv")).collect())) == [(1, "forest", None), (2, None, None)]
