@@ -6,8 +6,10 @@
    `index` retained values only. Sketches of linked documents share at least `floor` of those values (below), so by the
    prefix argument they meet in a list of one of the `index - floor + 1` rarest values, in the order (frequency, value),
    and values that many documents share are left out of almost every list.
+   A document of up to `index` shingles retains all of them, but a larger partner only some: `least_shared` bounds what
+   they share from the numbers of shingles alone.
 3. A list of up to `short` documents gives its pairs; the union-sketch estimate of the Jaccard similarity filters them,
-   five standard deviations below the threshold. A longer list gives a star of edges, without a filter.
+   at the binomial floor of the values compared. A longer list gives a star of edges, without a filter.
 4. Connected components of these candidate edges are candidate groups: any two linked documents are in one group. Full
    shingle sets verify inside groups by exact integer counts; groups above `block` documents are dealt as pairs of
    blocks, so no task holds more than two blocks. A task returns a spanning forest of its links. Sets are made before
@@ -15,8 +17,8 @@
 5. Components of those links give component_id.
 
 Chance of a miss: a linked pair shares fewer than 14 of the 32 smallest values of its union with probability below
-1e-8 (binomial, 0.85; at 0.8 `floor` is 11, below 1e-8 also), and the filter's five deviations of 64 values 3e-7. Documents of up to 32
-shingles are indexed exactly.
+1e-8 (binomial, 0.85; at 0.8 `floor` is 11, below 1e-8 also), and falls below the filter's floor of its 64 values with
+1e-8 too. Documents of up to 32 shingles are indexed exactly, also for larger partners (where pct is above 50).
 
 Null or empty text, or no words: n_shingles 0, linked with nothing. Null doc_id: component_id null, kept. Rows that
 repeat a doc_id: each is a row of the result, with the component of that id.
@@ -54,6 +56,16 @@ def _binomial_floor(k: int, p: float, chance: float = 1e-8) -> int:
     return c
 
 
+def least_shared(n: int, pct: int, index: int) -> int:
+    """Retained values that a document of n <= index shingles shares at least with any linked one. A partner of m > index
+    shingles retains `index` of them, of which those that are not shared may all be retained."""
+    least = -(-n * pct // 100)
+    for m in range(index + 1, n * 100 // pct + 1):
+        both = -(-pct * (n + m) // (100 + pct))
+        least = min(least, index - (m - both))
+    return max(1, least)
+
+
 def _sketches(docs: DataFrame, shingle: int, k: int) -> DataFrame:
     def run(batches):
         for b in small(batches):
@@ -72,8 +84,9 @@ def _sketches(docs: DataFrame, shingle: int, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sketch array<long>")
 
 
-def _estimate(k: int, shingle_low: float):
-    """Keeps pairs whose union-sketch estimate reaches shingle_low; pairs come with both sketches and sizes."""
+def _estimate(k: int, p: float):
+    """Keeps pairs whose sketches share what a pair of similarity p does but for a chance of 1e-8; pairs come with both sketches."""
+    low = [_binomial_floor(n, p) for n in range(k + 1)]
 
     def run(batches):
         for b in batches:
@@ -82,7 +95,7 @@ def _estimate(k: int, shingle_low: float):
                 u = np.union1d(x, y)[: max(k, 1)]
                 both = np.intersect1d(x, y, assume_unique=True)
                 shared = np.searchsorted(both, u[-1], side="right")
-                keep.append(shared >= shingle_low * len(u))
+                keep.append(shared >= low[len(u)])
             t = pa.Table.from_batches([b.select(["a", "b"])]).filter(pa.array(keep, pa.bool_()))
             yield from t.to_batches()
 
@@ -180,8 +193,8 @@ def near_duplicates(docs: DataFrame, pct: int = 85, shingle: int = 5, k: int = 6
     retained = reps.select("doc_id", "n", F.explode(F.slice("sketch", 1, index)).alias("v"))
     often = materialize(retained.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "often")
     floor = _binomial_floor(index, t)
-    whole = F.col("n") - F.ceil(F.col("n") * pct / F.lit(100)) + 1
-    slots = F.when(F.col("n") <= index, whole).otherwise(F.lit(index - floor + 1)).cast("int")
+    whole = F.array(*(F.lit(n - least_shared(n, pct, index) + 1) for n in range(1, index + 1)))
+    slots = F.when(F.col("n") <= index, F.get(whole, F.col("n").cast("int") - 1)).otherwise(F.lit(index - floor + 1)).cast("int")
     listed = (
         retained.join(often, "v").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
         # values of one document alone come first in the order and need no list
@@ -196,10 +209,9 @@ def near_duplicates(docs: DataFrame, pct: int = 85, shingle: int = 5, k: int = 6
         .select(F.col("x.doc_id").alias("a"), F.col("x.n").alias("na"), F.explode(F.expr("slice(l, p + 2, size(l))")).alias("y"))
         .where(f"100 * least(na, y.n) >= {pct} * greatest(na, y.n)").select("a", F.col("y.doc_id").alias("b")).distinct()
     )
-    low = max(0.0, t - 5 * math.sqrt(t * (1 - t) / k))
     s = reps.select("doc_id", "sketch")
     pairs = pairs.join(s.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
-    pairs = pairs.select("a", "b", "sa", "sb").mapInArrow(_estimate(k, low), "a long, b long")
+    pairs = pairs.select("a", "b", "sa", "sb").mapInArrow(_estimate(k, t), "a long, b long")
     long_lists = listed.where(F.col("df") > short)
     hub = materialize(long_lists.groupBy("v").agg(F.min("doc_id").alias("a")), "hubs")
     stars = long_lists.join(hub, "v").select("a", F.col("doc_id").alias("b")).where("a <> b")

@@ -129,6 +129,28 @@ def test_near_duplicates_edges(docs):
     assert got == [(False, 40, True)] * 2
 
 
+@pytest.mark.parametrize("pct", [85, 80])
+def test_near_duplicates_around_the_index_size(spark, pct):
+    """30 to 45 shingles: the smaller document retains all of them, the larger one only 32."""
+    rows, want = [], {}
+    for p in range(400):
+        n, m = 28 + p % 5, 33 + p // 5 % 13
+        words = [f"p{p}w{k}" for k in range(m + 4)]
+        a, b = 2 * p, 2 * p + 1
+        rows += [(a, " ".join(words[: n + 4])), (b, " ".join(words))]
+        want[a], want[b] = a, a if 100 * n >= pct * m else b
+    assert sum(want[i] != i for i in want) > 30
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(df, pct).collect()} == want
+
+
+def test_least_shared_of_retained_values():
+    for pct in (80, 85):
+        for n in range(1, 33):
+            some = [index - (m - c) if m > (index := 32) else c for m in range(1, 60) for c in range(1, min(n, m) + 1) if 100 * c >= pct * (n + m - c)]
+            assert 0 < near_dups.least_shared(n, pct, 32) <= min(some)
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (1001, 1000), (5, 5)], "a long, b long")
