@@ -5,10 +5,15 @@ context, tanh, then a softmax over classes of words and one over the words of th
 its words' conditional log-probabilities.
 
 The vocabulary and its classes come from the counts of all words of the corpus (summed map-side); other words are dealt
-to `rare` buckets by a hash. The network is trained in numpy: it starts on a bounded sample of documents (`sample_docs`,
+to `rare` buckets by a hash. Vocabulary, classes and buckets grow with the square root of the distinct words. A rare word's
+probability is its bucket's, from the network, times its share of the bucket's counts; a bucket's unseen words share one
+count more. Shares of the `held` most frequent words are broadcast, those of others come by a join on hashes of words.
+
+The network is trained in numpy: it starts on a bounded sample of documents (`sample_docs`,
 `positions`), then every task goes on from there with one document in `every` of its part of the corpus, whole, and the
 tasks' changes are averaged by the places that they saw. So training grows with the corpus, and what comes back to the
-driver is one network, whose size is bounded by the vocabulary (about 1 MB). Scoring is one narrow map.
+driver is one network, whose size is bounded by the vocabulary (about 1 MB for 2,000 words). Scoring is one narrow map and
+the join of the rarest words.
 
 Words are runs without ASCII white space, A-Z lower-cased. Null or empty text: 0 words, log-probability 0, mean null.
 Null doc_id and repeated rows: a row each.
@@ -26,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, texts_of
+from .common import hash_sample, materialize, texts_of
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -54,10 +59,12 @@ def word_counts(docs: DataFrame, flush: int = 200_000) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(docs: DataFrame, most: int) -> tuple[list, int]:
+def frequent_words(docs: DataFrame, most: int, counts: DataFrame | None = None) -> tuple[list, int]:
     """The `most` most frequent words (ties: smaller word) as rows (word, n), and the count of all words. Bands of counts tell
     first how frequent a word must be, so that tasks send the driver little more than those words."""
-    counts = word_counts(docs).cache()
+    own = counts is None
+    if own:
+        counts = word_counts(docs).cache()
     band = F.floor(F.log2("n") * 8)
     left, least, total = most, 0, 0
     for r in counts.groupBy(band.alias("band")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).orderBy(F.desc("band")).collect():
@@ -65,7 +72,8 @@ def frequent_words(docs: DataFrame, most: int) -> tuple[list, int]:
             left, least = left - r["words"], r["band"]
         total += r["n"]
     top = counts.where(band >= least).orderBy(F.desc("n"), "word").limit(most).collect()
-    counts.unpersist()
+    if own:
+        counts.unpersist()
     return top, total
 
 
@@ -254,9 +262,20 @@ def refine(docs: DataFrame, net: WindowNetwork, every: int = 16, held_words: int
     return net
 
 
-def fit(docs: DataFrame, vocabulary: int = 2000, sample_docs: int = 400, positions: int = 150_000, every: int = 16, **kw) -> WindowNetwork:
-    """A network for docs(doc_id, text); `every` 0 leaves out the pass over the corpus."""
-    top, total = frequent_words(docs, vocabulary)
+def sizes(distinct: int) -> dict[str, int]:
+    """Sizes of the vocabulary, the buckets and the classes for a number of distinct words."""
+    vocabulary = max(2000, math.ceil(2 * math.sqrt(distinct)))
+    return {"vocabulary": vocabulary, "rare": max(64, math.ceil(math.sqrt(distinct) / 16)), "classes": round(40 * math.sqrt(vocabulary / 2000))}
+
+
+def fit(docs: DataFrame, vocabulary: int | None = None, sample_docs: int = 400, positions: int = 150_000, every: int = 16, counts: DataFrame | None = None, **kw) -> WindowNetwork:
+    """A network for docs(doc_id, text); `every` 0 leaves out the pass over the corpus. counts: of word_counts, if at hand. A
+    vocabulary that is not given has the size that `sizes` names, with its buckets and classes."""
+    counts = materialize(word_counts(docs), "word-counts") if counts is None else counts
+    if vocabulary is None:
+        kw = sizes(counts.count()) | kw
+        vocabulary = kw.pop("vocabulary")
+    top, total = frequent_words(docs, vocabulary, counts)
     n = np.array([r["n"] for r in top], dtype=float)
     net = WindowNetwork([bytes(r["word"]) for r in top], n, int(total - n.sum()), **kw)
     few = hash_sample(docs.select("doc_id", "text").where("text is not null"), "doc_id", sample_docs).collect()
@@ -269,38 +288,87 @@ def fit(docs: DataFrame, vocabulary: int = 2000, sample_docs: int = 400, positio
     return refine(docs, net, every) if every else net
 
 
-def score(docs: DataFrame, net: WindowNetwork | None = None, **kw) -> DataFrame:
-    """(doc_id, n_words, log_prob, mean_log_prob) of every row of docs(doc_id, text)."""
+def signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+class Shares:
+    """log p(word | bucket) from the corpus counts: `known` for the vocabulary (0) and the most frequent others; `rest`
+    (h, n) has the counts of all words outside the vocabulary by hash, `total` the counts of each bucket."""
+
+    def __init__(self, counts: DataFrame, net: WindowNetwork, held: int):
+        ids = net.ids()
+
+        def run(batches):
+            for b in batches:
+                rows = [(signed(xxhash.xxh3_64_intdigest(w)), ids[w] - ids.n, n) for w, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True) if w not in ids]
+                h, bucket, n = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(bucket, pa.int32()), pa.array(n, pa.int64())], names=["h", "bucket", "n"])
+
+        self.rest = materialize(counts.mapInArrow(run, "h long, bucket int, n long").groupBy("h", "bucket").agg(F.sum("n").alias("n")), "rare-words")
+        self.total = [0] * net.rare
+        for r in self.rest.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+            self.total[r["bucket"]] = r["n"]
+        self.known = dict.fromkeys(ids, 0.0)
+        for r in frequent_words(counts, len(ids) + held, counts)[0]:
+            if (w := bytes(r["word"])) not in ids:
+                self.known[w] = math.log(r["n"] / (self.total[ids[w] - ids.n] + 1))
+
+    def log_share(self, h, n):
+        """The column of log p for a hash and its count, null for an unseen word."""
+        whole = F.expr("cast(18446744073709551616 as decimal(20,0))")
+        bucket = F.pmod(h.cast("decimal(20,0)") + F.when(h < 0, whole).otherwise(F.lit(0).cast("decimal(20,0)")), F.lit(len(self.total)).cast("decimal(20,0)")).cast("int")
+        return F.log(F.coalesce(n, F.lit(1)) / (F.get(F.array(*map(F.lit, self.total)), bucket) + 1))
+
+
+def score(docs: DataFrame, net: WindowNetwork | None = None, counts: DataFrame | None = None, held: int = 100_000, **kw) -> DataFrame:
+    """(doc_id, n_words, log_prob, mean_log_prob) of every row of docs(doc_id, text). counts: of word_counts, for the shares of
+    rare words in their buckets; with a network but no counts, a rare word's probability is its bucket's."""
     docs = docs.select("doc_id", "text")
-    shared = docs.sparkSession.sparkContext.broadcast(net or fit(docs, **kw))
+    if net is None:
+        counts = materialize(word_counts(docs), "word-counts") if counts is None else counts
+        net = fit(docs, counts=counts, **kw)
+    shares = None if counts is None else Shares(counts, net, held)
+    shared = docs.sparkSession.sparkContext.broadcast((net, shares and shares.known))
 
     def run(batches):
-        net = shared.value
+        net, known = shared.value
         ids = net.ids()
         for b in batches:
             texts = texts_of(b.column("text"))
-            n, total = [], []
-            held: list[list[int]] = []
+            n, total, rest = [], [], []
+            waiting: list[list[int]] = []
 
             def flush():
-                padded, at = net.padded(held)
+                padded, at = net.padded(waiting)
                 lp = np.concatenate(([0.0], np.cumsum(net.log_probs(padded, at)))) if len(at) else np.zeros(1)
-                ends = np.cumsum([0] + [len(d) for d in held])
+                ends = np.cumsum([0] + [len(d) for d in waiting])
                 total.extend((lp[ends[1:]] - lp[ends[:-1]]).tolist())
-                held.clear()
+                waiting.clear()
 
             size = 0
+            more = []
             for t in texts:
-                d = list(map(ids.__getitem__, words_of(t)))
+                w = words_of(t)
+                d = list(map(ids.__getitem__, w))
                 n.append(len(d))
-                held.append(d)
+                share = [] if known is None else list(map(known.get, w))
+                more.append(sum(x for x in share if x))
+                rest.append([signed(xxhash.xxh3_64_intdigest(x)) for x, y in zip(w, share, strict=False) if y is None])
+                waiting.append(d)
                 size += len(d)
                 if size > 200_000:
                     flush()
                     size = 0
             flush()
-            mean = [x / c if c else None for x, c in zip(total, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())], names=["doc_id", "n_words", "log_prob", "mean_log_prob"])
+            total = [x + y for x, y in zip(total, more, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(rest, pa.list_(pa.int64()))], names=["doc_id", "n_words", "log_prob", "rest"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_words long, log_prob double, mean_log_prob double")
+    out = docs.mapInArrow(run, f"doc_id {kind}, n_words long, log_prob double, rest array<long>")
+    if shares is not None:
+        out = materialize(out.withColumn("row", F.monotonically_increasing_id()), "scores")
+        parts = out.select("row", F.explode("rest").alias("h")).join(shares.rest.select("h", "n"), "h", "left")
+        more = parts.select("row", shares.log_share(F.col("h"), F.col("n")).alias("p")).groupBy("row").agg(F.sum("p").alias("more"))
+        out = out.drop("rest").join(more, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    return out.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))

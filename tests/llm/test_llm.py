@@ -362,6 +362,30 @@ def test_pseudo_likelihood(docs, rows):
     assert pseudo_likelihood.score(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("held", [0, 20, 10_000])
+def test_rare_words_share_their_bucket(docs, rows, held):
+    count = Counter(w for _, t in rows for w in pseudo_likelihood.words_of((t or "").encode()))
+    net = pseudo_likelihood.fit(docs, vocabulary=100, positions=0, every=0)
+    ids, total = net.ids(), Counter()
+    for w, n in count.items():
+        total[ids[w]] += n
+    unseen = docs.limit(1).select(F.lit(500).cast("long").alias("doc_id"), F.lit("neverseen").alias("text"))
+    both = docs.select("doc_id", "text").unionByName(unseen)
+    base = {r["doc_id"]: r["log_prob"] for r in pseudo_likelihood.score(both, net).collect()}
+    got = {r["doc_id"]: r for r in pseudo_likelihood.score(both, net, counts=pseudo_likelihood.word_counts(docs), held=held).collect()}
+    assert len(got) == len(rows) + 1
+    for i, t in [*rows, (500, "neverseen")]:
+        words = pseudo_likelihood.words_of((t or "").encode())
+        share = sum(np.log(max(1, count[w]) / (total[ids[w]] + 1)) for w in words if ids[w] >= ids.n)
+        assert got[i]["log_prob"] == pytest.approx(base[i] + share, rel=1e-6, abs=1e-6)
+        assert got[i]["mean_log_prob"] == (pytest.approx(got[i]["log_prob"] / len(words)) if words else None)
+
+
+def test_sizes_grow_with_the_distinct_words():
+    small, large = (pseudo_likelihood.sizes(n) for n in (10_000, 40_000_000))
+    assert small == {"vocabulary": 2000, "rare": 64, "classes": 40} and all(large[k] > small[k] for k in small)
+
+
 def test_training_raises_likelihood(docs):
     fresh = pseudo_likelihood.fit(docs, vocabulary=100, positions=0)
     trained = pseudo_likelihood.fit(docs, vocabulary=100, positions=20_000)
