@@ -115,11 +115,11 @@ def _page(text: str) -> int | None:
 
 
 def response_of(pages: DataFrame, least: int = 100) -> DataFrame:
-    """(page_id, refers_to) of the revisits among pages(page_id, payload)."""
+    """(page_id, digest, refers_to) of the revisits among pages(page_id, payload)."""
     brief = materialize(pages.where("page_id is not null").where(F.octet_length("payload") >= least).select("page_id", F.sha2(F.col("payload").cast("binary"), 256).alias("digest")), "digests")
     firsts = brief.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to").select("digest", "refers_to")
     firsts = materialize(firsts, "firsts")
-    return brief.join(firsts, "digest").where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    return brief.join(firsts, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, where: str, least: int = 100, frame_bytes: int = 1 << 18, bundle_bytes: int = 64 << 20) -> DataFrame:
@@ -127,7 +127,8 @@ def write_archives(pages: DataFrame, where: str, least: int = 100, frame_bytes:
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
     # a page_id may repeat with another payload, so the digest decides as well
     revisits = response_of(pages, least)
-    rows = pages.join(revisits, "page_id", "left").withColumn("refers_to", F.when(F.octet_length("payload") >= least, F.col("refers_to")))
+    digest = F.when(F.octet_length("payload") >= least, F.sha2(F.col("payload").cast("binary"), 256))
+    rows = pages.withColumn("digest", digest).join(revisits, ["page_id", "digest"], "left")
 
     def write(batches):
         fs = None

@@ -290,6 +290,13 @@ def test_warc(spark):
     assert warc.round_trip(df.where("false")).count() == 0
 
 
+def test_warc_of_a_page_id_with_other_payloads(spark):
+    a, b, c = "a" * 200, "b" * 200, "c" * 200
+    df = spark.createDataFrame([(1, "u", a), (2, "u", b), (3, "u", a), (3, "u", b), (3, "u", c), (3, "u", a)], "page_id long, url string, html string")
+    got = Counter((r["page_id"], bytes(r["payload"] or b"").decode()[:1], r["record_type"], r["refers_to"]) for r in warc.round_trip(df).collect())
+    assert got == {(1, "a", "response", None): 1, (2, "b", "response", None): 1, (3, "", "revisit", 1): 2, (3, "", "revisit", 2): 1, (3, "c", "response", None): 1}
+
+
 def test_bundle_is_a_series_of_zstd_frames():
     import io
 
