@@ -103,13 +103,13 @@ class MTree:
                     rows = start + np.flatnonzero(able)
                     scores, ids = self.x[rows] @ q, self.ids[rows]
                 computed += len(ids)
+                if own is not None and (other := ids != own).sum() < len(ids):  # the query's own rows, any number of them
+                    scores, ids = scores[other], ids[other]
                 floor = least
-                if len(scores) > k + 1:  # one more than k, as the query itself may be among them
-                    floor = max(floor, np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1])
+                if len(scores) > k:
+                    floor = max(floor, np.partition(scores, len(scores) - k)[len(scores) - k])
                 good = scores >= floor
                 for s, i in zip(scores[good].tolist(), ids[good].tolist(), strict=True):
-                    if i == own:
-                        continue
                     if len(best) < k:
                         heapq.heappush(best, (s, -i))
                     elif (s, -i) > best[0]:

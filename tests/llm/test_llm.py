@@ -229,6 +229,12 @@ def test_top_k(spark):
     assert mtree.top_k(df.where("vec_id < 3")).count() == 2
 
 
+def test_mtree_with_many_own_rows():
+    x = np.arange(1.0, 101.0)[:, None]
+    ids = np.concatenate((np.arange(90), np.full(10, 500)))
+    assert mtree.MTree(ids, x).search(np.array([1.0]), 5, 500)[0] == [(90 - r, 89 - r) for r in range(5)]
+
+
 def test_mtree_skips_computations():
     rng = np.random.default_rng(0)
     centers = rng.normal(size=(40, 4)) * 50
