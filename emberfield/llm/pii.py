@@ -191,7 +191,7 @@ class SkipChain:
         found = sorted(mentions(text), key=lambda m: (m[1], m[2], m[0]))
         base = [m[:3] for m in found if m[3]]
         every = list(base)
-        if len(base) < len(found) and base:
+        if len(base) < len(found):
             taken = sorted((s, e) for _, s, e in base)
             p = self.marginals(text, found)
             for k, m in enumerate(found):

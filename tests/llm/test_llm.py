@@ -281,6 +281,16 @@ def test_pii_random_texts():
         assert model.spans(t)[0] == base_spans(t), t
 
 
+def test_pii_field_without_a_base_span():
+    text = "write to someone@nodots now"
+    model = pii.SkipChain()
+    found = pii.mentions(text)
+    assert len(found) == 1 and not found[0][3]
+    model.unary[:] = 0.0
+    model.unary[1] = 50 * pii.features(text, found[0])
+    assert model.spans(text) == ([], [("email", *found[0][1:3])])
+
+
 def test_warc(spark):
     big = "<p>é</p>" * 50
     pages = [(1, "u1", big), (2, "u\r\n2", big), (3, None, "small"), (4, "u", "small"), (5, "u", None), (6, "u", ""), (7, "u", big + "x"), (2, "again", big), (9, "crlf", "\r\n\r\nWARC/1.1\r\n" * 20)]
