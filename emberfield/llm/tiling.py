@@ -9,7 +9,8 @@ in a document if tiles cover `coverage` of its words. An item of fewer than `see
 Benchmark items go to the tasks in blocks of at most `block_words` words, one pass over the documents a block: the
 broadcast is bounded whatever the size of the benchmark. Documents are not shuffled.
 
-Null or empty text matches nothing; an item without words is in no document. Null doc_id and repeated rows: a row each.
+Null or empty text matches nothing; an item without words is in no document. An item of null item_id
+is matched too, and its id in the array is null. Null doc_id and repeated rows: a row each.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ def _near(doc: list[bytes], hits: np.ndarray, seed: int, span: int) -> list[byte
 
 def item_blocks(benchmark: DataFrame, block_words: int):
     """Lists of (item_id, text) of at most block_words words in all (one item at least)."""
-    rows = benchmark.select("item_id", "text").where("text is not null and item_id is not null")
+    rows = benchmark.select("item_id", "text").where("text is not null")
     held, size = [], 0
     for r in rows.toLocalIterator():
         n = len(words_of(r["text"].encode()))
@@ -122,7 +123,7 @@ class Finder:
             item_id, w = self.items[k]
             n = min(self.seed, len(w))
             out.append((item_id, sum(x for *_, x in greedy_tiles(w, _near(doc, np.array(sorted(at)), n, 0), n)), len(w)))
-        return sorted(out)
+        return sorted(out, key=lambda x: (x[0] is None, x[0] or 0, *x[1:]))
 
 
 def _blocks(docs: DataFrame, benchmark: DataFrame, block_words: int):
@@ -148,7 +149,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, seed: int = 5, coverage
                         best[r] = max(best[r], covered / words)
                         if covered >= coverage * words:
                             hit[r].append({"item_id": item_id, "covered": covered, "words": words})
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(best, pa.float64()), pa.array([sorted(h, key=lambda x: x["item_id"]) for h in hit], item_kind)], names=["doc_id", "text", "max_coverage", "items"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(best, pa.float64()), pa.array([sorted(h, key=lambda x: (x["item_id"] is None, x["item_id"] or 0)) for h in hit], item_kind)], names=["doc_id", "text", "max_coverage", "items"])
 
         out = out.mapInArrow(run, f"doc_id {kind}, text string, max_coverage double, items {ITEMS}")
     return out.drop("text").withColumn("contaminated", F.size("items") > 0)

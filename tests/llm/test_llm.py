@@ -491,3 +491,13 @@ def test_decontamination(spark):
     left = tiling.drop_contaminated(df, bench)
     assert left.columns == df.columns and sorted(r["doc_id"] for r in left.collect()) == [2, 3, 50, 51]
     assert tiling.decontaminate(df, bench.where("false")).where("contaminated").count() == 0
+
+
+def test_decontamination_of_items_without_id(spark):
+    one, other = "a b c d e f g h", "k l m n o p q r"
+    bench = spark.createDataFrame([(None, one), (None, other), (3, other)], "item_id long, text string")
+    df = spark.createDataFrame([(1, f"x {one} y"), (2, f"{one} z {other}"), (3, "a k b l")], "doc_id long, text string")
+    for kw in ({}, {"block_words": 8}):
+        got = {r["doc_id"]: ([x["item_id"] for x in r["items"]], r["contaminated"]) for r in tiling.decontaminate(df, bench, **kw).collect()}
+        assert got == {1: ([None], True), 2: ([3, None, None], True), 3: ([], False)}
+    assert [r["doc_id"] for r in tiling.drop_contaminated(df, bench).collect()] == [3]
