@@ -10,8 +10,8 @@ probability is its bucket's, from the network, times its share of the bucket's c
 count more. Shares of the `held` most frequent words are broadcast, those of others come by a join on hashes of words.
 
 The network is trained in numpy: it starts on a bounded sample of documents (`sample_docs`,
-`positions`), then every task goes on from there with one document in `every` of its part of the corpus, whole, and the
-tasks' changes are averaged by the places that they saw. So training grows with the corpus, and what comes back to the
+`positions`), then every task goes on from there with all documents of its part of the corpus (or with one in `every`,
+whole), and the tasks' changes are averaged by the places that they saw. So training grows with the corpus, and what comes back to the
 driver is one network, whose size is bounded by the vocabulary (about 1 MB for 2,000 words). Scoring is one narrow map and
 the join of the rarest words.
 
@@ -209,7 +209,7 @@ class WindowNetwork:
         return np.array(flat, dtype=np.int64), np.concatenate(places) if places else np.empty(0, np.int64)
 
 
-def refine(docs: DataFrame, net: WindowNetwork, every: int = 16, held_words: int = 50_000, cells: int = 4096) -> WindowNetwork:
+def refine(docs: DataFrame, net: WindowNetwork, every: int = 1, held_words: int = 50_000, cells: int = 4096) -> WindowNetwork:
     """The network after one pass of averaged training over one document in `every`, chosen by a hash of id and text. A task
     holds `held_words` words and a document at once, and sends its change in pieces of `cells` weights, which are summed
     by piece in 64 bits; a sum's task holds no more than one network."""
@@ -268,7 +268,7 @@ def sizes(distinct: int) -> dict[str, int]:
     return {"vocabulary": vocabulary, "rare": max(64, math.ceil(math.sqrt(distinct) / 16)), "classes": round(40 * math.sqrt(vocabulary / 2000))}
 
 
-def fit(docs: DataFrame, vocabulary: int | None = None, sample_docs: int = 400, positions: int = 150_000, every: int = 16, counts: DataFrame | None = None, **kw) -> WindowNetwork:
+def fit(docs: DataFrame, vocabulary: int | None = None, sample_docs: int = 400, positions: int = 150_000, every: int = 1, counts: DataFrame | None = None, **kw) -> WindowNetwork:
     """A network for docs(doc_id, text); `every` 0 leaves out the pass over the corpus. counts: of word_counts, if at hand. A
     vocabulary that is not given has the size that `sizes` names, with its buckets and classes."""
     counts = materialize(word_counts(docs), "word-counts") if counts is None else counts

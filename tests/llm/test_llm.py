@@ -447,6 +447,13 @@ def test_pass_over_the_corpus_averages_what_tasks_learn(spark):
     assert np.array_equal(pseudo_likelihood.refine(docs.limit(0), start).flat(), start.flat())
 
 
+def test_every_document_trains(docs):
+    start = pseudo_likelihood.fit(docs, vocabulary=30, sample_docs=5, every=0)
+    whole = pseudo_likelihood.refine(docs, start, every=1).flat()
+    assert not np.allclose(whole, start.flat(), atol=1e-6)
+    assert np.allclose(pseudo_likelihood.fit(docs, vocabulary=30, sample_docs=5).flat(), whole, atol=1e-6)
+
+
 def slow_tiles(item, doc, seed):
     """Greedy string tiling straight from its definition."""
     mi, md, tiles, seed = set(), set(), [], min(seed, len(item))
