@@ -37,9 +37,12 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g",
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests only) a new temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new temporary folder in local
+    mode; on a cluster an error, as executors don't see the driver's temporary folder."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         where = "file://" + tempfile.mkdtemp(prefix="emberfield-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -50,4 +53,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes the tables that materialize() wrote for these frames. Only for tables that nothing lazy still reads."""
+    for df in frames:
+        if path := vars(df).pop("stored_at", None):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
