@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, shared_dir, ship_code  # noqa: F401
+from ..session import materialize, release, shared_dir, ship_code  # noqa: F401
 
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -21,13 +21,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """At most `rows` rows, chosen by a hash of `key` alone: the same rows whatever the partitioning (up to equal keys)."""
-    n = df.count()
+def hash_sample(df: DataFrame, key: str, text: str, rows: int, most_bytes: int = 16 << 20) -> list[tuple]:
+    """At most `rows` pairs (key, text) of at most `most_bytes` in all (the first may exceed them), in the order of a hash of
+    both: the same pairs whatever the partitioning. Equal rows count once. Rows without text are left out.
+
+    Keys and sizes of little more than the sample reach the driver first; texts come for those that stay only.
+    """
+    some = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("x")).withColumn("h", F.xxhash64("k", "x", F.lit(17)))
+    n = some.count()
     if n > rows:
-        step = 1 << 30
-        df = df.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(step)) < F.lit(int(step * min(1.0, (1.2 * rows + 20) / n))))
-    return df.limit(rows)
+        share = min(1 - 2**-20, (1.2 * rows + 40 + 6 * math.sqrt(rows)) / n)
+        some = some.where(F.col("h") < int(-(2**63) + 2**64 * share))
+    sizes = some.groupBy("h").agg(F.min(F.octet_length("x")).alias("size")).orderBy("h").limit(rows).collect()
+    total, hashes = 0, []
+    for r in sizes:
+        total += r["size"]
+        if hashes and total > most_bytes:
+            break
+        hashes.append((r["h"],))
+    if not hashes:
+        return []
+    few = df.sparkSession.createDataFrame(hashes, "h long")
+    got = some.join(F.broadcast(few), "h").groupBy("h").agg(F.min(F.struct("x", "k")).alias("r")).collect()
+    return [(r["r"]["k"], r["r"]["x"]) for r in sorted(got, key=lambda r: r["h"])]
 
 
 class WordHashes(dict):
@@ -121,29 +137,28 @@ def smallest_reachable(edges: DataFrame, name: str = "cc", rounds: int = 60) ->
     degree is summed map-side. The sums are written before they are joined: a join right above an aggregation shares its
     exchange, and Spark can't split a hub's rows there. Nothing goes to the driver but two numbers a round.
     """
-    edges = materialize(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name
-    )
-
-    def signature(e: DataFrame):
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def written(e: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation()  # of the write itself, without a job of its own
+        e = e.distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s"))
+        return materialize(e, name), seen.get
 
-    was = signature(edges)
+    edges, was = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"))
     for _ in range(rounds):
-        if not was[0]:
+        if not was["n"]:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
+        near = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
         # every larger neighbour goes to the smallest of the neighbourhood
-        large = materialize(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), name)
+        large = materialize(both.join(near, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), name)
         # every smaller neighbour, and the node, go to the smallest
         low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), name)
         small = large.join(low, "a")
         small = small.select(F.col("a"), F.col("m").alias("b")).unionByName(
             small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         )
-        edges = materialize(small.where("a <> b").distinct(), name)
-        now = signature(edges)
+        before = edges
+        edges, now = written(small.where("a <> b"))
+        release(before, near, large, low)
         if now == was:
             break
         was = now

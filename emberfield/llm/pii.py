@@ -11,12 +11,15 @@ Weights come from pseudo-likelihood over a bounded sample of documents: base men
 checks hidden, so that the field learns to lean on context and on alike mentions. With few mentions the prior stays.
 
 Scans are linear in the text: an address is sought around each "@", a dotted number only at the head of a digit run.
-Null or empty text: no spans. Null doc_id and repeated rows: a row each.
+Null or empty text: no spans. Null doc_id and repeated rows: a row each. Ties (equal spans of two kinds): both stand. An
+empty table: no rows, and the prior weights. A very long text is one field of all its mentions; scans, messages and the
+overlap test are linear in text and mentions but for sorting. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 
 import numpy as np
@@ -192,20 +195,28 @@ class SkipChain:
         base = [m[:3] for m in found if m[3]]
         every = list(base)
         if len(base) < len(found):
-            taken = sorted((s, e) for _, s, e in base)
-            p = self.marginals(text, found)
+            # unions of the base spans; added ones come in the order of their starts, so the last end stands for them
+            taken: list[list[int]] = []
+            for _, s, e in sorted(base, key=lambda m: m[1:]):
+                if taken and s < taken[-1][1]:
+                    taken[-1][1] = max(taken[-1][1], e)
+                else:
+                    taken.append([s, e])
+            p, last = self.marginals(text, found), 0
             for k, m in enumerate(found):
                 label = int(p[k].argmax())
-                if not m[3] and label and p[k, label] >= sure and not any(s < m[2] and m[1] < e for s, e in taken):
-                    every.append((KINDS[label - 1], m[1], m[2]))
-                    taken.append((m[1], m[2]))
+                if not m[3] and label and p[k, label] >= sure and m[1] >= last:
+                    at = bisect_left(taken, m[2], key=lambda u: u[0]) - 1  # the last union that begins before the mention ends
+                    if at < 0 or taken[at][1] <= m[1]:
+                        every.append((KINDS[label - 1], m[1], m[2]))
+                        last = m[2]
         order = lambda m: (KINDS.index(m[0]), m[1], m[2])
         return sorted(base, key=order), sorted(every, key=order)
 
 
-def train(docs: DataFrame, sample_docs: int = 1500) -> SkipChain:
-    few = hash_sample(docs.select("doc_id", "text").where(F.col("text").rlike("@|[0-9]{3}")), "doc_id", sample_docs).collect()
-    return SkipChain().fit([r["text"] for r in sorted(few, key=lambda r: (str(r["doc_id"]), r["text"]))])
+def train(docs: DataFrame, sample_docs: int = 1500, sample_bytes: int = 16 << 20) -> SkipChain:
+    few = hash_sample(docs.where(F.col("text").rlike("@|[0-9]{3}")), "doc_id", "text", sample_docs, sample_bytes)
+    return SkipChain().fit([t for _, t in few])
 
 
 SPANS = "array<struct<kind: string, start: long, end: long>>"

@@ -278,9 +278,8 @@ def fit(docs: DataFrame, vocabulary: int | None = None, sample_docs: int = 400,
     top, total = frequent_words(docs, vocabulary, counts)
     n = np.array([r["n"] for r in top], dtype=float)
     net = WindowNetwork([bytes(r["word"]) for r in top], n, int(total - n.sum()), **kw)
-    few = hash_sample(docs.select("doc_id", "text").where("text is not null"), "doc_id", sample_docs).collect()
     ids = net.ids()
-    texts = [[ids[w] for w in words_of(r["text"].encode())] for r in sorted(few, key=lambda r: (str(r["doc_id"]), r["text"]))]
+    texts = [[ids[w] for w in words_of(t.encode())] for _, t in hash_sample(docs, "doc_id", "text", sample_docs)]
     padded, at = net.padded(texts)
     if len(at) > positions:
         at = np.random.default_rng(3).choice(at, positions, replace=False)

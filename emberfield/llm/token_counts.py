@@ -3,10 +3,12 @@
 A broadcast table holds the token lengths of frequent pieces; misses are encoded by the tokenizer and kept in a
 bounded cache of the worker. No pre-token is shuffled: the count is one narrow map over the table.
 
-The frequent table comes from a bounded sample of documents (`sample_docs`, whole texts). It only warms the cache:
+The frequent table comes from a bounded sample of documents (`sample_docs`, `sample_bytes`; whole texts). It only warms the cache:
 every piece that it lacks is encoded, so counts are exact whatever it holds.
 
-Null or empty text: 0 bytes, 0 tokens. Null doc_id and repeated rows: counted like any row.
+Null or empty text: 0 bytes, 0 tokens. Null doc_id and repeated rows: counted like any row. An empty table: no rows. A very
+long text is counted whole, in the worker's memory, piece by piece. A count equal to the limit is not over it. Only doc_id
+and text are looked at, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -23,23 +25,13 @@ from .tokens import CUT, KEEP, Lengths, batches_of
 LIMIT_TOKENS = 512
 
 
-def frequent_lengths(docs: DataFrame, path: str, sample_docs: int = 2000, entries: int = 65_536) -> dict[str, int]:
+def frequent_lengths(docs: DataFrame, path: str, sample_docs: int = 2000, entries: int = 65_536, sample_bytes: int = 16 << 20) -> dict[str, int]:
     """At most `entries` frequent pieces of the sample with their token counts (about 4 MB)."""
-
-    def top(batches):
-        c: Counter = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
-                    c.update(CUT(t)[1:])
-        best = [(p, n) for p, n in c.most_common(entries) if len(p) < KEEP]
-        yield pa.RecordBatch.from_pydict({"p": [p for p, _ in best], "n": [n for _, n in best]}, schema=pa.schema([("p", pa.string()), ("n", pa.int64())]))
-
-    rows = (
-        hash_sample(docs.select("doc_id", "text"), "doc_id", sample_docs).select("text").coalesce(8).mapInArrow(top, "p string, n long")
-        .groupBy("p").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "p").limit(entries).collect()
-    )
-    names = [" " + r["p"] for r in rows]
+    c: Counter = Counter()
+    for _, t in hash_sample(docs, "doc_id", "text", sample_docs, sample_bytes):
+        c.update(CUT(t)[1:])
+    best = sorted(((p, n) for p, n in c.items() if len(p) < KEEP), key=lambda x: (-x[1], x[0]))[:entries]
+    names = [" " + p for p, _ in best]
     return dict(zip(names, Lengths(path).of(names), strict=True))
 
 
