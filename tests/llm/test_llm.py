@@ -104,7 +104,7 @@ def shingles(t):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize(("pct", "kw"), [(85, {}), (80, {}), (85, {"short": 2, "block": 4})])
+@pytest.mark.parametrize(("pct", "kw"), [(85, {}), (80, {}), (85, {"short": 2, "block": 4}), (80, {"short": 2, "block": 4, "pivots": 1}), (85, {"short": 1, "block": 2, "pivots": 2})])
 def test_near_duplicates(docs, rows, pct, kw):
     s = {i: shingles(t) for i, t in rows}
     up = {i: i for i in s}
@@ -129,6 +129,24 @@ def test_near_duplicates_edges(docs):
     assert got == [(False, 40, True)] * 2
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows that share a doc_id are one node, with the links of each text."""
+    rng = random.Random(8)
+    text = lambda: [rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(60)]
+    x, y, z = text(), text(), text()
+    near = lambda w: " ".join(w[:-1] + ["end"])
+    rows = [(3, " ".join(x)), (3, " ".join(y)), (11, near(y)), (12, near(x)), (20, " ".join(z)), (20, " ".join(z)), (21, near(z)), (30, " ".join(text())), (30, None), (None, " ".join(x))]
+    for kw in ({}, {"short": 1, "block": 1, "pivots": 1}):
+        got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **kw).collect())
+        want = Counter()
+        for i, t in rows:
+            c = {3: 3, 11: 3, 12: 3, 20: 20, 21: 20}.get(i, i)
+            want[i, len(shingles(t)), c, c == i] += 1
+        assert got == want
+    left = near_dups.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(r["doc_id"] for r in left) == {3: 2, 20: 2, 30: 2, None: 1}
+
+
 @pytest.mark.parametrize("pct", [85, 80])
 def test_near_duplicates_around_the_index_size(spark, pct):
     """30 to 45 shingles: the smaller document retains all of them, the larger one only 32."""
