@@ -7,14 +7,16 @@ and q.x = (|q|^2 + |x|^2 - d(q, x)^2) / 2, so the bound is the lesser of (|q|^2
 q.c + |q| r. Before anything is computed for an entry e, |d(q, p) - d(e, p)| from the stored parent distance stands for
 d(q, e); entries that this bound excludes cost no computation.
 
-Across the cluster: up to `trees` pivots (a bounded sample) split the vectors into cells, cells of more than `page_rows`
-rows are split further by a hash, and each part is one tree. A query is searched in the tree that promises most; its
-k-th score then excludes whole trees by their radii, and the rest are searched, in blocks of queries. The routing table
-(at most 2 * `trees` objects) is what is broadcast.
+Across the cluster: up to `cells` pivots (a bounded sample) split the vectors into cells, cells of more than `page_rows`
+rows are split further by a hash, and each part is one tree, so a tree has about `page_rows` rows however many vectors there
+are. A query is searched in one tree of the cell that promises most; its k-th score then excludes whole cells by their
+radii, and the trees of the rest are searched, in blocks of queries. The routing table (at most `cells` objects) is what
+is broadcast.
 
 Null vectors, and vectors with null, NaN or infinite components, take no part. Vectors of different lengths are padded
-with zeros. Rows that repeat a vec_id are separate candidates, but one query per distinct vec_id (its smallest vector).
-Scores are exact for components below 2^20 in absolute value.
+with zeros. Rows that repeat a vec_id are separate candidates, but one query per distinct vec_id (its smallest vector), and
+none of the query's own rows is a candidate. Equal scores: the smaller vec_id first. An empty table: no rows. Other columns
+may have any name. Scores are exact for components below 2^20 in absolute value.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-SLACK = 1e-6
+#: What rounding may take off a bound, as a part of the squared norms that it is made of.
+SLACK = 1e-9
 
 
 class MTree:
@@ -86,17 +89,18 @@ class MTree:
         if self.root is None or k < 1:
             return [], 0
         q2 = float(q @ q)
+        slack = SLACK * (1 + q2 + self.pages[self.root][2])
         top, d = self.bound(self.root, q, q2)
         heap, computed = [(-top, self.root, d)], 1
         while heap:
             up, page, d = heapq.heappop(heap)
-            if -up + SLACK < least:
+            if -up + slack < least:
                 break
             c, _, _, leaf, entries, to = self.pages[page]
             if leaf:
                 # stored distances to the parent bound each product before it is computed
                 start, end = entries
-                able = (q2 + self.norm2[start:end] - (d - to) ** 2) / 2 + SLACK >= least
+                able = (q2 + self.norm2[start:end] - (d - to) ** 2) / 2 + slack >= least
                 if able.all():
                     scores, ids = self.x[start:end] @ q, self.ids[start:end]
                 else:
@@ -120,11 +124,11 @@ class MTree:
                 for child, t in zip(entries.tolist(), to.tolist(), strict=True):
                     _, r, high, *_ = self.pages[child]
                     gap = max(0.0, abs(d - t) - r)
-                    if (q2 + high - gap * gap) / 2 + SLACK < least:
+                    if (q2 + high - gap * gap) / 2 + slack < least:
                         continue
                     u, dc = self.bound(child, q, q2)
                     computed += 1
-                    if u + SLACK >= least:
+                    if u + slack >= least:
                         heapq.heappush(heap, (-u, child, dc))
         return [(int(s), -i) for s, i in sorted(best, reverse=True)], computed
 
@@ -136,7 +140,7 @@ def quantize(vectors: DataFrame, key: str, vector: str, scale: float) -> DataFra
     return vectors.where(good & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), v.alias("v"))
 
 
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, page_rows: int = 8192, trees: int = 2048, block: int = 2048, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, page_rows: int = 8192, cells: int = 2048, block: int = 2048, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each vec_id divisible by `every`, its k best other vectors."""
     spark = vectors.sparkSession
     base = materialize(quantize(vectors, key, vector, scale), "vectors")
@@ -145,8 +149,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
     if not n:
         return spark.createDataFrame([], schema)
     width = max(1, width or 1)
-    page_rows = max(page_rows, math.ceil(n / trees))
-    pivots = base.orderBy(F.xxhash64("vec_id", F.lit(17)), "v").limit(min(trees, math.ceil(n / page_rows))).collect()
+    pivots = base.orderBy(F.xxhash64("vec_id", F.lit(17)), "v").limit(min(cells, math.ceil(n / page_rows))).collect()
     pivot = np.zeros((len(pivots), width))
     for i, p in enumerate(sorted(pivots, key=lambda p: (p["vec_id"], p["v"]))):
         pivot[i, : len(p["v"])] = p["v"]
@@ -157,37 +160,43 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
             x[i, : len(v)] = v
         return x
 
-    def cells(batches):
+    def nearest(batches):
         for b in batches:
             x = dense(b.column("v"))
             cell = ((pivot * pivot).sum(axis=1)[None] - 2 * x @ pivot.T).argmin(axis=1)
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(cell.astype(np.int32)), pa.array([r.tobytes() for r in x], pa.binary())], names=["vec_id", "cell", "x"])
 
-    placed = materialize(base.mapInArrow(cells, "vec_id long, cell int, x binary"), "cells")
-    sizes = {r["cell"]: r["c"] for r in placed.groupBy("cell").agg(F.count("*").alias("c")).collect()}
-    first, parts = {}, {}
-    for c in sorted(sizes):
-        first[c], parts[c] = sum(parts.values()), math.ceil(sizes[c] / page_rows)
-    lookup = spark.createDataFrame([(c, first[c], parts[c]) for c in first], "cell int, first int, parts int")
-    placed = placed.join(F.broadcast(lookup), "cell").select((F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int").alias("tree"), "vec_id", "x")
+    placed = materialize(base.mapInArrow(nearest, "vec_id long, cell int, x binary"), "cells")
+    parts = materialize(placed.groupBy("cell").agg(F.count("*").alias("c")).select("cell", F.ceil(F.col("c") / page_rows).cast("int").alias("parts")), "parts")  # a row a cell
+    part = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
+    placed = placed.join(F.broadcast(parts), "cell").select("cell", part.alias("part"), "vec_id", "x")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["vec_id", "x"])
         t = MTree(pdf["vec_id"].to_numpy(), np.stack([np.frombuffer(b) for b in pdf["x"]]))
         c, r, high, *_ = t.pages[t.root]
-        return pd.DataFrame({"tree": [pdf["tree"].iloc[0]], "center": [c.tobytes()], "radius": [r], "high": [high], "pages": [pickle.dumps(t, protocol=5)]})
+        return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "part": [pdf["part"].iloc[0]], "center": [c.tobytes()], "radius": [r], "high": [high], "pages": [pickle.dumps(t, protocol=5)]})
 
-    forest = materialize(placed.groupBy("tree").applyInPandas(build, "tree int, center binary, radius double, high double, pages binary"), "forest")
-    routing = forest.select("tree", "center", "radius", "high").orderBy("tree").collect()
+    forest = materialize(placed.groupBy("cell", "part").applyInPandas(build, "cell int, part int, center binary, radius double, high double, pages binary"), "forest")
+    # a cell is routed to by its first tree's object, with a radius that holds all of its trees
+    reach = forest.where("part = 0").select("cell", F.col("center").alias("c0"))
+
+    def spans(batches):
+        for b in batches:
+            far = [math.dist(np.frombuffer(x), np.frombuffer(y)) + r for x, y, r in zip(*(b.column(c).to_pylist() for c in ("center", "c0", "radius")), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("cell"), b.column("c0"), pa.array(far, pa.float64()), b.column("high")], names=["cell", "center", "radius", "high"])
+
+    spanned = forest.select("cell", "center", "radius", "high").join(F.broadcast(reach), "cell").mapInArrow(spans, "cell int, center binary, radius double, high double")
+    routing = spanned.groupBy("cell").agg(F.min("center").alias("center"), F.max("radius").alias("radius"), F.max("high").alias("high")).orderBy("cell").collect()
     table = spark.sparkContext.broadcast((
-        np.array([r["tree"] for r in routing]), np.stack([np.frombuffer(r["center"]) for r in routing]), np.array([r["radius"] for r in routing]), np.array([r["high"] for r in routing]),
+        np.array([r["cell"] for r in routing]), np.stack([np.frombuffer(r["center"]) for r in routing]), np.array([r["radius"] for r in routing]), np.array([r["high"] for r in routing]),
     ))
 
     def routes(home: bool):
-        """(tree, query_id, q, least): the tree of the greatest bound, or all others that the k-th score doesn't exclude."""
+        """(cell, query_id, q, least): the cell of the greatest product, or all that the k-th score doesn't exclude."""
 
         def run(batches):
-            tree, c, r, high = table.value
+            cell, c, r, high = table.value
             c2 = (c * c).sum(axis=1)
             for b in batches:
                 q = dense(b.column("v"))
@@ -195,17 +204,15 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
                 ip = q @ c.T
                 d = np.sqrt(np.maximum(0, q2[:, None] + c2[None] - 2 * ip))
                 up = np.minimum((q2[:, None] + high[None] - np.maximum(0, d - r[None]) ** 2) / 2, ip + np.sqrt(q2)[:, None] * r[None])
-                best = ip.argmax(axis=1)
                 if home:
-                    i, j = np.arange(len(q)), best
+                    i, j = np.arange(len(q)), ip.argmax(axis=1)
                 else:
                     least = np.nan_to_num(b.column("least").to_numpy(zero_copy_only=False).astype(float), nan=-np.inf)
-                    take = up + 1e-3 >= least[:, None]
-                    take[np.arange(len(q)), best] = False
-                    i, j = np.nonzero(take)
-                cols = [pa.array(tree[j].astype(np.int32)), b.column("vec_id").take(pa.array(i)), pa.array([q[x].tobytes() for x in i], pa.binary())]
+                    slack = SLACK * (1 + q2[:, None] + high[None]) * 10
+                    i, j = np.nonzero(up + slack >= least[:, None])
+                cols = [pa.array(cell[j].astype(np.int32)), b.column("vec_id").take(pa.array(i)), pa.array([q[x].tobytes() for x in i], pa.binary())]
                 cols.append(pa.nulls(len(i), pa.float64()) if home else b.column("least").take(pa.array(i)))
-                yield pa.RecordBatch.from_arrays(cols, names=["tree", "query_id", "q", "least"])
+                yield pa.RecordBatch.from_arrays(cols, names=["cell", "query_id", "q", "least"])
 
         return run
 
@@ -217,18 +224,24 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
                 out += [(i, v, s) for s, v in t.search(np.frombuffer(q), k, i, least)[0]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
+    # the tree of its best cell that a query looks into first
+    start = F.pmod(F.xxhash64("query_id", F.lit(31)), F.col("parts")).cast("int")
+
     def found(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "pairs")
-        units = pairs.select(F.col("tree").alias("at_tree"), F.col("block").alias("at_block")).distinct()
-        needed = units.join(forest.select(F.col("tree").alias("at_tree"), "pages"), "at_tree")
-        return pairs.groupBy("tree", "block").cogroup(needed.groupBy("at_tree", "at_block")).applyInPandas(search, "query_id long, vec_id long, score long")
+        units = pairs.select(F.col("cell").alias("at_cell"), F.col("part").alias("at_part"), F.col("block").alias("at_block")).distinct()
+        needed = units.join(forest.select(F.col("cell").alias("at_cell"), F.col("part").alias("at_part"), "pages"), ["at_cell", "at_part"])
+        key = ["cell", "part", "block"]
+        return pairs.groupBy(*key).cogroup(needed.groupBy(*(f"at_{c}" for c in key))).applyInPandas(search, "query_id long, vec_id long, score long")
 
     queries = materialize(base.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     blocks = max(1, math.ceil(queries.count() / block))
-    pairs_schema = "tree int, query_id long, q binary, least double"
-    home = materialize(found(queries.mapInArrow(routes(True), pairs_schema)), "home")
+    pairs_schema = "cell int, query_id long, q binary, least double"
+    homes = materialize(queries.mapInArrow(routes(True), pairs_schema).join(F.broadcast(parts), "cell").withColumn("part", start).drop("parts"), "homes")
+    home = materialize(found(homes), "home")
     least = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("least"))
     rest = queries.join(least.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").select("vec_id", "v", "least").mapInArrow(routes(False), pairs_schema)
-    both = home.unionByName(found(rest))
+    rest = rest.join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    both = home.unionByName(found(rest.join(homes.select("cell", "part", "query_id"), ["cell", "part", "query_id"], "left_anti")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
