@@ -8,10 +8,13 @@ inside the decompressed frame, so that one record costs one range read and one f
 Writing is a map: each task writes bundles of up to `bundle_bytes` in the shared folder under names of their own attempt,
 and only bundles that the index table names count, so a lost or repeated task leaves no wrong records. Of equal payloads
 of at least `least` bytes the smallest page_id is the response; the table of those groups is a partial aggregation over
-digests, and no html moves for it.
+digests, and no html moves for it. A bitmap of the revisits' page_ids then parts the pages: those that it excludes are written
+where they are read, the others meet the revisits in a join.
 
-Null html: an empty payload. Rows that repeat a page_id: each is a record; with equal payloads, all are the response.
-Null page_id: a record without a number, read back as null; it never is the response of others.
+Null html: an empty payload. Rows that repeat a page_id: each is a record; with equal payloads, all are the response, with
+others each payload is decided on its own. Null page_id: a record without a number, read back as null; it never is the
+response of others, nor a revisit. An empty table: no bundle. A very long html is one record in a frame of its own. Other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import IdFilter, materialize, release, shared_dir
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
@@ -116,6 +119,7 @@ def _page(text: str) -> int | None:
 
 def response_of(pages: DataFrame, least: int = 100) -> DataFrame:
     """(page_id, digest, refers_to) of the revisits among pages(page_id, payload)."""
+    # of page_id and digest alone: no payload is written
     brief = materialize(pages.where("page_id is not null").where(F.octet_length("payload") >= least).select("page_id", F.sha2(F.col("payload").cast("binary"), 256).alias("digest")), "digests")
     firsts = brief.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to").select("digest", "refers_to")
     firsts = materialize(firsts, "firsts")
@@ -126,9 +130,21 @@ def write_archives(pages: DataFrame, where: str, least: int = 100, frame_bytes:
     """Writes pages(page_id, url, html) under `where`; returns the index (page_id, bundle, frame, offset)."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
     # a page_id may repeat with another payload, so the digest decides as well
-    revisits = response_of(pages, least)
+    revisits = materialize(response_of(pages, least), "revisits")
+    wanted = IdFilter(revisits, "page_id")
     digest = F.when(F.octet_length("payload") >= least, F.sha2(F.col("payload").cast("binary"), 256))
-    rows = pages.withColumn("digest", digest).join(revisits, ["page_id", "digest"], "left")
+    placed = pages.withColumn("place", wanted.column("page_id"))
+
+    def possible(batches):
+        for b in batches:
+            yield b.select(["page_id", "url", "payload"]).filter(pa.array(wanted.passes(b.column("place").to_numpy())))
+
+    def others(batches):
+        for b in batches:
+            some = b.select(["page_id", "url", "payload"]).filter(pa.array(~wanted.passes(b.column("place").to_numpy())))
+            yield some.append_column("refers_to", pa.nulls(some.num_rows, pa.int64()))
+
+    moved = placed.mapInArrow(possible, "page_id long, url string, payload string").withColumn("digest", digest).join(revisits, ["page_id", "digest"], "left")
 
     def write(batches):
         fs = None
@@ -157,7 +173,11 @@ def write_archives(pages: DataFrame, where: str, least: int = 100, frame_bytes:
             writer.close()
             out.close()
 
-    return materialize(rows.select("page_id", "url", "payload", "refers_to").mapInArrow(write, "page_id long, bundle string, frame int, offset long"), "warc-index")
+    index = "page_id long, bundle string, frame int, offset long"
+    stay = placed.mapInArrow(lambda batches: write(others(batches)), index)
+    out = materialize(stay.unionByName(moved.select("page_id", "url", "payload", "refers_to").mapInArrow(write, index)), "warc-index")
+    release(revisits)
+    return out
 
 
 def read_archives(index: DataFrame, where: str) -> DataFrame:
