@@ -18,7 +18,8 @@ remove_references() below streams documents past suffix automata of bounded refe
 the reference that can't give whole results in bounded memory (the README has figures), so remove_repeats() counts.
 
 Null or empty text: 0 words, hash of the empty string. Null and repeated doc_ids: such rows take part like any others;
-rows are told apart by doc_id and a hash of the text, and rows equal in both get the same result.
+rows are told apart by doc_id and a hash of the text, and rows equal in both get the same result. An empty table: no rows. A
+very long text is windows of its task, and one list of its spans. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdFilter, materialize, mix, ngram_hashes, small, texts_of, word_hashes
+from .common import IdFilter, materialize, mix, ngram_hashes, release, small, texts_of, word_hashes
 
 
 class SuffixAutomaton:
@@ -170,7 +171,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 8) -> DataFram
     alike = mixed.groupBy("m", "f").agg(F.count("*").alias("c"), F.min(F.struct("d", "t", "s")).alias("one"))
     alike = materialize(alike, "alike")
     mixed = materialize(mixed.join(alike, ["m", "f"]).select("d", "t", "s", "n", (F.col("c") > 1).alias("copied"), (F.col("one") == F.struct("d", "t", "s")).alias("shown")), "mixed")
-    open_runs = mixed.where("shown").groupBy("d", "t").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
+    open_runs = mixed.where("shown").groupBy("d", "t").agg(F.collect_set(F.struct("s", "n")).alias("runs"))
 
     def windows(batches):
         for b in small(batches):
@@ -192,7 +193,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 8) -> DataFram
     twice = materialize(twice, "twice")
     again = w.join(twice, ["x", "y"], "left_semi").select("d", "t", "s", F.lit(1).alias("n"))
     spans = kept.where("settled").select("d", "t", "s", "n").unionByName(mixed.where("copied").select("d", "t", "s", "n")).unionByName(again).unionByName(found.where("own = 1").select("d", "t", "s", "n"))
-    return spans.groupBy("d", "t").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
+    return spans.groupBy("d", "t").agg(F.collect_set(F.struct("s", "n")).alias("spans"))  # equal rows have equal spans: a set stays as small as one row's
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 8) -> DataFrame:
@@ -257,7 +258,14 @@ def remove_references(docs: DataFrame, reference: DataFrame, window: int = 35, s
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.withColumn("spans", F.array().cast("array<struct<s: int, n: int>>"))
+    last = shared = None
     for shard in _shards(reference, shard_words, window):
+        if shared is not None:  # between two shards what is known so far is written, so one automaton lives at a time
+            out, old = materialize(out, "shards"), last
+            shared.destroy()
+            if old is not None:
+                release(old)
+            last = out
         shared = docs.sparkSession.sparkContext.broadcast(shard)
 
         def run(batches, shared=shared):
