@@ -7,16 +7,18 @@ its words' conditional log-probabilities.
 The vocabulary and its classes come from the counts of all words of the corpus (summed map-side); other words are dealt
 to `rare` buckets by a hash. Vocabulary, classes and buckets grow with the square root of the distinct words. A rare word's
 probability is its bucket's, from the network, times its share of the bucket's counts; a bucket's unseen words share one
-count more. Shares of the `held` most frequent words are broadcast, those of others come by a join on hashes of words.
+count more. So the probabilities of all words at a place sum to 1. Shares of up to `held` of the most frequent words are
+broadcast, those of others come by a join on hashes of words.
 
-The network is trained in numpy: it starts on a bounded sample of documents (`sample_docs`,
-`positions`), then every task goes on from there with all documents of its part of the corpus (or with one in `every`,
-whole), and the tasks' changes are averaged by the places that they saw. So training grows with the corpus, and what comes back to the
-driver is one network, whose size is bounded by the vocabulary (about 1 MB for 2,000 words). Scoring is one narrow map and
-the join of the rarest words.
+The network is trained in numpy: it starts on a bounded sample of documents (`sample_docs`, `positions`). Then come `rounds`
+passes, each over the documents of one remainder of a hash, so that every document trains once: every task goes on from the
+network of the round before with all documents of its part, and the tasks' changes are averaged by the places that they saw. So
+training grows with the corpus, and what comes back to the driver in a round is one network, whose size is bounded by the
+vocabulary (about 1 MB for 2,000 words). Scoring is one narrow map and the join of the rarest words.
 
 Words are runs without ASCII white space, A-Z lower-cased. Null or empty text: 0 words, log-probability 0, mean null.
-Null doc_id and repeated rows: a row each.
+Null doc_id and repeated rows: a row each. An empty table: no rows. Very long texts are scored whole, some 200,000 words of a task at a
+time or one document. Words that tie in frequency enter the vocabulary by their bytes. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, materialize, texts_of
+from .common import as_long, hash_sample, materialize, texts_of, word_hashes
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -83,10 +85,27 @@ class WordIds(dict):
     def __init__(self, vocabulary: list[bytes], rare: int):
         super().__init__({w: i for i, w in enumerate(vocabulary)})
         self.n, self.rare = len(vocabulary), rare
+        h = word_hashes(vocabulary)
+        self.order = np.argsort(h)
+        self.hashes = h[self.order]
 
     def __missing__(self, word: bytes) -> int:
         return self.n + xxhash.xxh3_64_intdigest(word) % self.rare
 
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """Ids of words from their hashes."""
+        rare = self.n + (h % np.uint64(self.rare)).astype(np.int64)
+        return _looked_up(h, self.hashes, self.order, rare)
+
+
+def _looked_up(h: np.ndarray, keys: np.ndarray, values: np.ndarray, other) -> np.ndarray:
+    """values of sorted keys for each h, `other` where there is none."""
+    if not len(keys):
+        return np.broadcast_to(other, h.shape)
+    at = np.searchsorted(keys, h)
+    at[at == len(keys)] = 0
+    return np.where(keys[at] == h, values[at], other)
+
 
 class WindowNetwork:
     def __init__(self, vocabulary: list[bytes], counts: np.ndarray, rare_count: int, side: int = 2, width: int = 24, rare: int = 64, classes: int = 40, seed: int = 7):
@@ -106,7 +125,8 @@ class WindowNetwork:
         rng = np.random.default_rng(seed)
         f = np.float32
         self.pad = size
-        self.emb = [rng.normal(0, 0.1, (size + 1, width)).astype(f) for _ in range(2 * side)]
+        #: of a word, side by side, what it adds to the hidden units of each neighbour that it is an offset away from
+        self.emb = rng.normal(0, 0.1, (size + 1, 2 * side * width)).astype(f)
         self.wc = rng.normal(0, 0.1, (width, len(used))).astype(f)
         per_class = np.array([mass[m].sum() for m in self.members])
         self.bc = np.log(per_class / per_class.sum()).astype(f)
@@ -119,73 +139,90 @@ class WindowNetwork:
     def offsets(self) -> list[int]:
         return [o for o in range(-self.side, self.side + 1) if o]
 
-    def hidden(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
-        h = self.emb[0][padded[at + self.offsets()[0]]]
-        for e, o in zip(self.emb[1:], self.offsets()[1:], strict=True):
-            h += e[padded[at + o]]
+    def hidden(self, padded: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Hidden units of all places from low up to high, which have `side` entries around them."""
+        side, width = self.side, self.wc.shape[0]
+        e = self.emb.take(padded[low - side : high + side], axis=0)
+        h = e[: high - low, :width].copy()
+        for k, o in enumerate(self.offsets()[1:], 1):
+            h += e[side + o : side + o + high - low, k * width : (k + 1) * width]
         return np.tanh(h, out=h)
 
-    @staticmethod
-    def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        z -= z.max(axis=1, keepdims=True)
-        e = np.exp(z)
-        total = e.sum(axis=1, keepdims=True)
-        return e / total, z - np.log(total)
+    def _by_class(self, y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order of words by class, and (class, start, end) of each class of more than one word in it."""
+        c = self.cls[y]
+        order = np.argsort(c, kind="stable")
+        edge = np.searchsorted(c[order], np.arange(len(self.members) + 1)).tolist()
+        return order, [(k, s, e) for k, (s, e) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if e > s and len(self.members[k]) > 1]
 
-    def log_probs(self, padded: np.ndarray, at: np.ndarray, step: int = 32_768) -> np.ndarray:
-        """log p(word at each place | its context)."""
+    def log_probs(self, padded: np.ndarray, at: np.ndarray, step: int = 16_384) -> np.ndarray:
+        """log p(word at each place | its context); places ascend."""
         out = np.empty(len(at), dtype=np.float64)
+
+        def taken(h, w, b, pick):
+            z = h @ w
+            z += b
+            z -= z.max(axis=1, keepdims=True)
+            own = z[np.arange(len(z)), pick]
+            return own - np.log(np.exp(z, out=z).sum(axis=1))
+
         for low in range(0, len(at), step):
             places = at[low : low + step]
-            h = self.hidden(padded, places)
+            h = self.hidden(padded, places[0], places[-1] + 1)[places - places[0]]
             y = padded[places]
-            c = self.cls[y]
-            z = h @ self.wc + self.bc
-            z -= z.max(axis=1, keepdims=True)
-            lp = z[np.arange(len(y)), c] - np.log(np.exp(z).sum(axis=1))
-            order = np.argsort(c, kind="stable")
-            edge = np.searchsorted(c[order], np.arange(len(self.members) + 1))
-            for k in range(len(self.members)):
-                rows = order[edge[k] : edge[k + 1]]
-                if len(rows) and len(self.members[k]) > 1:
-                    z = h[rows] @ self.ww[k] + self.bw[k]
-                    z -= z.max(axis=1, keepdims=True)
-                    lp[rows] += z[np.arange(len(rows)), self.place[y[rows]]] - np.log(np.exp(z).sum(axis=1))
-            out[low : low + step] = lp
+            order, classes = self._by_class(y)
+            h, y = h[order], y[order]
+            lp = taken(h, self.wc, self.bc, self.cls[y])
+            for k, s, e in classes:
+                lp[s:e] += taken(h[s:e], self.ww[k], self.bw[k], self.place[y[s:e]])
+            out[low + order] = lp
         return out
 
-    def train(self, padded: np.ndarray, at: np.ndarray, epochs: int = 2, batch: int = 1024, rate: float = 0.5, seed: int = 7) -> None:
-        """Stochastic gradient ascent on the masked log-likelihood; without places the network stays as it is."""
-        if not len(at):
-            return
-        rng = np.random.default_rng(seed)
-        for epoch in range(epochs):
+    def train(self, padded: np.ndarray, at: np.ndarray, epochs: int = 2, batch: int = 8192, rate: float = 1.0) -> None:
+        """Stochastic gradient ascent on the masked log-likelihood of ascending places, in batches of neighbouring places; without
+        places the network stays as it is. A word's share of a batch bounds how far its embedding moves."""
+        width, side = self.wc.shape[0], self.side
+
+        def errors(h, w, b, pick, scale):
+            """Gradient of the hidden units; moves w and b."""
+            z = h @ w
+            z += b
+            z -= z.max(axis=1, keepdims=True)
+            np.exp(z, out=z)
+            z /= z.sum(axis=1, keepdims=True)
+            z[np.arange(len(z)), pick] -= 1
+            g = z @ w.T
+            w -= scale * (h.T @ z)
+            b -= scale * z.sum(axis=0)
+            return g
+
+        for epoch in range(epochs if len(at) else 0):
             step = np.float32(rate / (1 + epoch))
-            for part in np.array_split(rng.permutation(at), max(1, math.ceil(len(at) / batch))):
-                h = self.hidden(padded, part)
+            for part in np.array_split(at, max(1, math.ceil(len(at) / batch))):
+                low, high = int(part[0]), int(part[-1]) + 1
+                rows = part - low
+                h = self.hidden(padded, low, high)[rows]
                 y = padded[part]
-                c = self.cls[y]
-                n = np.float32(len(part))
-                p, _ = self._softmax(h @ self.wc + self.bc)
-                p[np.arange(len(y)), c] -= 1
-                gh = p @ self.wc.T
-                self.wc -= step * (h.T @ p) / n
-                self.bc -= step * p.sum(axis=0) / n
-                for k in np.unique(c):
-                    rows = np.flatnonzero(c == k)
-                    if len(self.members[k]) < 2:
-                        continue
-                    q, _ = self._softmax(h[rows] @ self.ww[k] + self.bw[k])
-                    q[np.arange(len(rows)), self.place[y[rows]]] -= 1
-                    gh[rows] += q @ self.ww[k].T
-                    self.ww[k] -= step * (h[rows].T @ q) / n
-                    self.bw[k] -= step * q.sum(axis=0) / n
-                gh *= 1 - h * h
-                for e, o in zip(self.emb, self.offsets(), strict=True):
-                    np.subtract.at(e, padded[part + o], step * gh / np.float32(32))
+                order, classes = self._by_class(y)
+                hs, ys = h[order], y[order]
+                gs = errors(hs, self.wc, self.bc, self.cls[ys], step / np.float32(len(part)))
+                for k, s, e in classes:
+                    gs[s:e] += errors(hs[s:e], self.ww[k], self.bw[k], self.place[ys[s:e]], step / np.float32(max(e - s, 256)))
+                gs *= 1 - hs * hs
+                g = np.zeros((high - low, width), dtype=np.float32)
+                g[rows[order]] = gs
+                # every word's share of the errors around it, summed by word
+                seen = padded[low - side : high + side]
+                share = np.zeros((len(seen), self.emb.shape[1]), dtype=np.float32)
+                for k, o in enumerate(self.offsets()):
+                    share[side + o : side + o + high - low, k * width : (k + 1) * width] = g
+                by_word = np.argsort(seen, kind="stable")
+                words, first, times = np.unique(seen[by_word], return_index=True, return_counts=True)
+                move = np.add.reduceat(share.take(by_word, axis=0), first, axis=0)
+                self.emb[words] -= move * (step / np.maximum(32, times)).astype(np.float32)[:, None]
 
     def weights(self) -> list[np.ndarray]:
-        return [*self.emb, self.wc, self.bc, *self.ww, *self.bw]
+        return [self.emb, self.wc, self.bc, *self.ww, *self.bw]
 
     def flat(self) -> np.ndarray:
         """All weights in one new array."""
@@ -198,43 +235,65 @@ class WindowNetwork:
             x += change[low : low + x.size].reshape(x.shape)
             low += x.size
 
-    def padded(self, docs: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """All documents in one array, `side` pads around each; and the places of their words."""
-        gap = [self.pad] * self.side
-        flat, places, at = list(gap), [], self.side
-        for d in docs:
-            flat += d + gap
-            places.append(np.arange(at, at + len(d)))
-            at += len(d) + self.side
-        return np.array(flat, dtype=np.int64), np.concatenate(places) if places else np.empty(0, np.int64)
+    def padded(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents, their words' ids in a row, in one array with `side` pads around each; and the places of their words."""
+        gaps = self.side * np.repeat(np.arange(1, len(lengths) + 1), lengths)
+        places = np.arange(len(ids)) + gaps
+        out = np.full(len(ids) + self.side * (len(lengths) + 1), self.pad, dtype=np.int64)
+        out[places] = ids
+        return out, places
+
+
+class _Held:
+    """Words of some documents, until they are looked at together."""
+
+    def __init__(self):
+        self.words: list[bytes] = []
+        self.lengths: list[int] = []
+
+    def add(self, text: bytes | None) -> int:
+        w = words_of(text)
+        self.words += w
+        self.lengths.append(len(w))
+        return len(self.words)
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words, and the documents' lengths."""
+        out = word_hashes(self.words), np.array(self.lengths, dtype=np.int64)
+        self.__init__()
+        return out
 
 
-def refine(docs: DataFrame, net: WindowNetwork, every: int = 1, held_words: int = 50_000, cells: int = 4096) -> WindowNetwork:
-    """The network after one pass of averaged training over one document in `every`, chosen by a hash of id and text. A task
+def refine(docs: DataFrame, net: WindowNetwork, rounds: int = 4, held_words: int = 100_000, cells: int = 4096) -> WindowNetwork:
+    """The network after every document trained it once, in `rounds` averaged passes over parts by a hash of id and text. A task
     holds `held_words` words and a document at once, and sends its change in pieces of `cells` weights, which are summed
     by piece in 64 bits; a sum's task holds no more than one network."""
-    spark = docs.sparkSession
+    net = copy.deepcopy(net)
+    for k in range(rounds):
+        part = F.pmod(F.xxhash64("doc_id", "text", F.lit(23)), F.lit(rounds)) == k
+        _averaged(docs.where(F.col("text").isNotNull() & part).select("text"), net, held_words, cells)
+    return net
+
+
+def _averaged(some: DataFrame, net: WindowNetwork, held_words: int, cells: int) -> None:
+    """Moves the network by what the tasks learn from `some`, averaged."""
+    spark = some.sparkSession
     shared = spark.sparkContext.broadcast(net)
 
     def learn(batches):
         net = copy.deepcopy(shared.value)
-        before, ids, seen = net.flat(), net.ids(), 0
-        held: list[list[int]] = []
+        before, ids, seen, held = net.flat(), net.ids(), 0, _Held()
 
         def flush():
-            padded, at = net.padded(held)
-            net.train(padded, at, epochs=1, rate=0.25)
-            held.clear()
+            h, lengths = held.take()
+            padded, at = net.padded(ids.of(h), lengths)
+            net.train(padded, at, epochs=1)
             return len(at)
 
-        size = 0
         for b in batches:
             for t in texts_of(b.column("text")):
-                held.append(list(map(ids.__getitem__, words_of(t))))
-                size += len(held[-1])
-                if size >= held_words:
+                if held.add(t) >= held_words:
                     seen += flush()
-                    size = 0
         seen += flush()
         if seen:
             change = net.flat() - before
@@ -252,14 +311,12 @@ def refine(docs: DataFrame, net: WindowNetwork, every: int = 1, held_words: int
         keys = list(total)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([(total[k] / seen[k]).astype(np.float32).tobytes() for k in keys], pa.binary())], names=["piece", "change"])
 
-    some = docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", "text", F.lit(23)), F.lit(every)) == 0)).select("text")
     changes = some.mapInArrow(learn, "piece int, seen long, change binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = sorted(changes.repartition(parts, "piece").mapInArrow(add, "piece int, change binary").collect())
-    net = copy.deepcopy(net)
     if rows:
         net.add(np.concatenate([np.frombuffer(bytes(r["change"]), dtype=np.float32) for r in rows]))
-    return net
+    shared.destroy()
 
 
 def sizes(distinct: int) -> dict[str, int]:
@@ -268,9 +325,10 @@ def sizes(distinct: int) -> dict[str, int]:
     return {"vocabulary": vocabulary, "rare": max(64, math.ceil(math.sqrt(distinct) / 16)), "classes": round(40 * math.sqrt(vocabulary / 2000))}
 
 
-def fit(docs: DataFrame, vocabulary: int | None = None, sample_docs: int = 400, positions: int = 150_000, every: int = 1, counts: DataFrame | None = None, **kw) -> WindowNetwork:
-    """A network for docs(doc_id, text); `every` 0 leaves out the pass over the corpus. counts: of word_counts, if at hand. A
-    vocabulary that is not given has the size that `sizes` names, with its buckets and classes."""
+def fit(docs: DataFrame, vocabulary: int | None = None, sample_docs: int = 400, positions: int = 150_000, rounds: int = 4, counts: DataFrame | None = None, **kw) -> WindowNetwork:
+    """A network for docs(doc_id, text); `rounds` 0 leaves out the passes over the corpus. counts: of word_counts, if at hand. A
+    vocabulary that is not given has the size that `sizes` names, with its buckets and classes. The sample is cut
+    after the document that reaches `positions` words."""
     counts = materialize(word_counts(docs), "word-counts") if counts is None else counts
     if vocabulary is None:
         kw = sizes(counts.count()) | kw
@@ -278,40 +336,48 @@ def fit(docs: DataFrame, vocabulary: int | None = None, sample_docs: int = 400,
     top, total = frequent_words(docs, vocabulary, counts)
     n = np.array([r["n"] for r in top], dtype=float)
     net = WindowNetwork([bytes(r["word"]) for r in top], n, int(total - n.sum()), **kw)
-    ids = net.ids()
-    texts = [[ids[w] for w in words_of(t.encode())] for _, t in hash_sample(docs, "doc_id", "text", sample_docs)]
-    padded, at = net.padded(texts)
-    if len(at) > positions:
-        at = np.random.default_rng(3).choice(at, positions, replace=False)
-    net.train(padded, at)
-    return refine(docs, net, every) if every else net
-
-
-def signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
+    held = _Held()
+    for _, t in hash_sample(docs, "doc_id", "text", sample_docs) if positions else ():
+        if held.add(t.encode()) >= positions:
+            break
+    h, lengths = held.take()
+    net.train(*net.padded(net.ids().of(h), lengths))
+    return refine(docs, net, rounds)
 
 
 class Shares:
-    """log p(word | bucket) from the corpus counts: `known` for the vocabulary (0) and the most frequent others; `rest`
-    (h, n) has the counts of all words outside the vocabulary by hash, `total` the counts of each bucket."""
+    """log p(word | bucket) from the corpus counts: `known` (hashes, logs) for the vocabulary (0) and the most frequent
+    others; `rest` (h, n) has the counts of all words outside the vocabulary by hash, `total` the counts of each bucket."""
 
     def __init__(self, counts: DataFrame, net: WindowNetwork, held: int):
         ids = net.ids()
 
         def run(batches):
             for b in batches:
-                rows = [(signed(xxhash.xxh3_64_intdigest(w)), ids[w] - ids.n, n) for w, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True) if w not in ids]
-                h, bucket, n = zip(*rows, strict=True) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(bucket, pa.int32()), pa.array(n, pa.int64())], names=["h", "bucket", "n"])
+                h, n = word_hashes(b.column("word").to_pylist()), b.column("n").to_numpy()
+                bucket = ids.of(h) - ids.n
+                out = bucket >= 0
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(h[out])), pa.array(bucket[out].astype(np.int32)), pa.array(n[out])], names=["h", "bucket", "n"])
 
         self.rest = materialize(counts.mapInArrow(run, "h long, bucket int, n long").groupBy("h", "bucket").agg(F.sum("n").alias("n")), "rare-words")
         self.total = [0] * net.rare
         for r in self.rest.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
             self.total[r["bucket"]] = r["n"]
-        self.known = dict.fromkeys(ids, 0.0)
-        for r in frequent_words(counts, len(ids) + held, counts)[0]:
-            if (w := bytes(r["word"])) not in ids:
-                self.known[w] = math.log(r["n"] / (self.total[ids[w] - ids.n] + 1))
+        # whole bands of frequent words, `held` at most
+        band, least = F.floor(F.log2("n") * 8), None
+        for r in self.rest.groupBy(band.alias("band")).agg(F.count("*").alias("words")).orderBy(F.desc("band")).collect():
+            held -= r["words"]
+            if held < 0:
+                break
+            least = r["band"]
+        keys, logs = [ids.hashes], [np.zeros(ids.n)]
+        if least is not None:
+            t = self.rest.where(band >= least).toArrow()
+            keys.append(t["h"].to_numpy().view(np.uint64))
+            logs.append(np.log(t["n"].to_numpy() / (np.array(self.total)[t["bucket"].to_numpy()] + 1)))
+        keys, logs = np.concatenate(keys), np.concatenate(logs)
+        order = np.argsort(keys)
+        self.known = keys[order], logs[order]
 
     def log_share(self, h, n):
         """The column of log p for a hash and its count, null for an unseen word."""
@@ -320,9 +386,9 @@ class Shares:
         return F.log(F.coalesce(n, F.lit(1)) / (F.get(F.array(*map(F.lit, self.total)), bucket) + 1))
 
 
-def score(docs: DataFrame, net: WindowNetwork | None = None, counts: DataFrame | None = None, held: int = 100_000, **kw) -> DataFrame:
+def score(docs: DataFrame, net: WindowNetwork | None = None, counts: DataFrame | None = None, held: int = 500_000, **kw) -> DataFrame:
     """(doc_id, n_words, log_prob, mean_log_prob) of every row of docs(doc_id, text). counts: of word_counts, for the shares of
-    rare words in their buckets; with a network but no counts, a rare word's probability is its bucket's."""
+    rare words in their buckets; with a network but no counts, a rare word's probability is its bucket's. `held`: 16 bytes each."""
     docs = docs.select("doc_id", "text")
     if net is None:
         counts = materialize(word_counts(docs), "word-counts") if counts is None else counts
@@ -332,36 +398,35 @@ def score(docs: DataFrame, net: WindowNetwork | None = None, counts: DataFrame |
 
     def run(batches):
         net, known = shared.value
-        ids = net.ids()
+        ids, waiting = net.ids(), _Held()
         for b in batches:
-            texts = texts_of(b.column("text"))
-            n, total, rest = [], [], []
-            waiting: list[list[int]] = []
+            n, total, rest, ends = [], [], [], [np.zeros(1, np.int32)]
+
+            def sums(x, lengths):
+                edge = np.concatenate(([0], np.cumsum(lengths)))
+                run = np.concatenate((np.zeros(1, x.dtype), np.cumsum(x)))
+                return run[edge[1:]] - run[edge[:-1]]
 
             def flush():
-                padded, at = net.padded(waiting)
-                lp = np.concatenate(([0.0], np.cumsum(net.log_probs(padded, at)))) if len(at) else np.zeros(1)
-                ends = np.cumsum([0] + [len(d) for d in waiting])
-                total.extend((lp[ends[1:]] - lp[ends[:-1]]).tolist())
-                waiting.clear()
-
-            size = 0
-            more = []
-            for t in texts:
-                w = words_of(t)
-                d = list(map(ids.__getitem__, w))
-                n.append(len(d))
-                share = [] if known is None else list(map(known.get, w))
-                more.append(sum(x for x in share if x))
-                rest.append([signed(xxhash.xxh3_64_intdigest(x)) for x, y in zip(w, share, strict=False) if y is None])
-                waiting.append(d)
-                size += len(d)
-                if size > 200_000:
+                h, lengths = waiting.take()
+                padded, at = net.padded(ids.of(h), lengths)
+                lp = net.log_probs(padded, at)
+                open_ = np.zeros(len(h), dtype=bool)
+                if known is not None:
+                    share = _looked_up(h, *known, np.nan)
+                    open_ = np.isnan(share)
+                    lp += np.where(open_, 0.0, share)
+                n.append(lengths)
+                total.append(sums(lp, lengths))
+                rest.append(as_long(h[open_]))
+                ends.append(ends[-1][-1] + np.cumsum(sums(open_.astype(np.int64), lengths)).astype(np.int32))
+
+            for t in texts_of(b.column("text")):
+                if waiting.add(t) > 200_000:
                     flush()
-                    size = 0
             flush()
-            total = [x + y for x, y in zip(total, more, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(rest, pa.list_(pa.int64()))], names=["doc_id", "n_words", "log_prob", "rest"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(rest), pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate(n), pa.int64()), pa.array(np.concatenate(total), pa.float64()), lists], names=["doc_id", "n_words", "log_prob", "rest"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.mapInArrow(run, f"doc_id {kind}, n_words long, log_prob double, rest array<long>")

@@ -382,7 +382,8 @@ def test_rules_as_columns_are_the_model(spark):
 
 
 def test_pseudo_likelihood(docs, rows):
-    net = pseudo_likelihood.fit(docs, vocabulary=100, sample_docs=60, positions=5000)
+    net = pseudo_likelihood.fit(docs, vocabulary=100, sample_docs=60, positions=5000, rounds=1)
+    width = net.wc.shape[0]
     got = {r["doc_id"]: r for r in pseudo_likelihood.score(docs, net).collect()}
     ids = net.ids()
     for i, t in rows:
@@ -390,7 +391,7 @@ def test_pseudo_likelihood(docs, rows):
         total = 0.0
         for k in range(len(w)):  # one word at a time, the whole distribution
             ctx = [w[k + o] if 0 <= k + o < len(w) else net.pad for o in net.offsets()]
-            h = np.tanh(sum(e[c] for e, c in zip(net.emb, ctx, strict=True)))
+            h = np.tanh(sum(net.emb[c, j * width : (j + 1) * width] for j, c in enumerate(ctx)))
             z = h @ net.wc + net.bc
             c = net.cls[w[k]]
             u = h @ net.ww[c] + net.bw[c]
@@ -406,7 +407,7 @@ def test_pseudo_likelihood(docs, rows):
 @pytest.mark.parametrize("held", [0, 20, 10_000])
 def test_rare_words_share_their_bucket(docs, rows, held):
     count = Counter(w for _, t in rows for w in pseudo_likelihood.words_of((t or "").encode()))
-    net = pseudo_likelihood.fit(docs, vocabulary=100, positions=0, every=0)
+    net = pseudo_likelihood.fit(docs, vocabulary=100, positions=0, rounds=0)
     ids, total = net.ids(), Counter()
     for w, n in count.items():
         total[ids[w]] += n
@@ -427,9 +428,57 @@ def test_sizes_grow_with_the_distinct_words():
     assert small == {"vocabulary": 2000, "rare": 64, "classes": 40} and all(large[k] > small[k] for k in small)
 
 
+def test_probabilities_of_all_words_sum_to_one(docs, rows):
+    """At some places: every vocabulary word, every rare word by its share, and one count more for the unseen of a bucket."""
+    count = Counter(w for _, t in rows for w in pseudo_likelihood.words_of((t or "").encode()))
+    net = pseudo_likelihood.fit(docs, vocabulary=60, sample_docs=30, positions=3000, rounds=0, rare=7)
+    ids = net.ids()
+    shares = pseudo_likelihood.Shares(pseudo_likelihood.word_counts(docs), net, 10_000)
+    keys, logs = shares.known
+    for context in ([b"a", b"b", None, b"c", b"a"], [net.pad, net.pad, None, *list(count)[:2]]):
+        total, bucket = 0.0, {}
+        for k in range(ids.n + net.rare):
+            seq = np.array([k if x is None else x if isinstance(x, int) else ids[x] for x in context])
+            p = float(np.exp(net.log_probs(seq, np.array([2]))[0]))
+            total += p if k < ids.n else 0.0
+            bucket[k - ids.n] = p
+        for w in count:
+            if w not in ids:
+                h = np.array([pseudo_likelihood.xxhash.xxh3_64_intdigest(w)], dtype=np.uint64)
+                total += bucket[ids[w] - ids.n] * float(np.exp(logs[np.searchsorted(keys, h)[0]]))
+        total += sum(bucket[j] / (shares.total[j] + 1) for j in range(net.rare))
+        assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_gibberish_of_rare_words_scores_below_common_words(spark):
+    rng = random.Random(6)
+    common = [f"w{k}" for k in range(50)]
+    rows = [(i, " ".join(rng.choice(common) for _ in range(80))) for i in range(60)]
+    rows += [(100 + i, " ".join("".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(80))) for i in range(5)]
+    got = {r["doc_id"]: r["mean_log_prob"] for r in pseudo_likelihood.score(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary=60, rare=4, classes=5, rounds=1).collect()}
+    assert max(v for i, v in got.items() if i >= 100) < min(v for i, v in got.items() if i < 100)
+
+
+def test_samples_and_scores_do_not_depend_on_the_partitioning(spark, docs, rows):
+    from emberfield.llm.common import hash_sample
+
+    samples = {tuple(hash_sample(docs.repartition(n), "doc_id", "text", 40)) for n in (1, 7)}
+    assert len(samples) == 1 and len(*samples) == 40
+    (sample,) = samples
+    twice = docs.unionByName(docs)
+    assert len(set(hash_sample(twice, "doc_id", "text", 500))) == len(hash_sample(twice, "doc_id", "text", 500)) == len([t for _, t in rows if t is not None])
+    few = hash_sample(docs, "doc_id", "text", 40, most_bytes=2000)
+    assert tuple(few) == sample[: len(few)] and sum(len(t.encode()) for _, t in few) <= 2000
+    assert hash_sample(empty(docs), "doc_id", "text", 5) == []
+    fits = [pseudo_likelihood.fit(docs.repartition(n), vocabulary=50, sample_docs=20, rounds=0).flat() for n in (2, 5)]
+    assert np.array_equal(*fits)
+    found = [{r["doc_id"]: r["spans"] for r in pii.find(docs.repartition(n)).collect()} for n in (2, 5)]
+    assert found[0] == found[1]
+
+
 def test_training_raises_likelihood(docs):
-    fresh = pseudo_likelihood.fit(docs, vocabulary=100, positions=0)
-    trained = pseudo_likelihood.fit(docs, vocabulary=100, positions=20_000)
+    fresh = pseudo_likelihood.fit(docs, vocabulary=100, positions=0, rounds=0)
+    trained = pseudo_likelihood.fit(docs, vocabulary=100, positions=20_000, rounds=0)
     mean = lambda n: pseudo_likelihood.score(docs, n).agg(F.sum("log_prob")).first()[0]
     assert mean(trained) > mean(fresh)
 
@@ -442,34 +491,52 @@ def test_frequent_words(docs, rows, most):
     assert total == sum(count.values())
 
 
-def test_pass_over_the_corpus_averages_what_tasks_learn(spark):
+def test_passes_over_the_corpus_average_what_tasks_learn(spark):
     rng = np.random.default_rng(5)
     texts = [" ".join(f"w{x}" for x in np.cumsum(rng.integers(0, 3, 400)) % 40) for _ in range(40)] + [None, "", " "]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3, "doc_id")
-    start = pseudo_likelihood.fit(docs, vocabulary=30, sample_docs=5, every=0)
-    got = pseudo_likelihood.refine(docs, start, every=1, held_words=1000, cells=100)
-    seen, total = 0, 0.0
-    for part in docs.where("text is not null").rdd.glom().collect():
-        net, held = copy.deepcopy(start), []
-        n = 0
-        for k, r in enumerate(part):
-            held.append([net.ids()[w] for w in pseudo_likelihood.words_of(r["text"].encode())])
-            if sum(map(len, held)) >= 1000 or k == len(part) - 1:
-                padded, at = net.padded(held)
-                net.train(padded, at, epochs=1, rate=0.25)
-                n, held = n + len(at), []
-        seen, total = seen + n, total + n * (net.flat() - start.flat()).astype(float)
-    assert np.allclose(got.flat(), start.flat() + total / seen, atol=1e-6)
+    start = pseudo_likelihood.fit(docs, vocabulary=30, sample_docs=5, rounds=0)
+    got = pseudo_likelihood.refine(docs, start, rounds=2, held_words=1000, cells=100)
+    want, trained = copy.deepcopy(start), 0
+    parts = docs.where("text is not null").withColumn("r", F.expr("pmod(xxhash64(doc_id, text, 23), 2)")).rdd.glom().collect()
+    for k in range(2):
+        seen, total = 0, 0.0
+        for part in parts:
+            net, held, n = copy.deepcopy(want), [], 0
+            mine = [r for r in part if r["r"] == k]
+            for j, r in enumerate(mine):
+                held.append([net.ids()[w] for w in pseudo_likelihood.words_of(r["text"].encode())])
+                if sum(map(len, held)) >= 1000 or j == len(mine) - 1:
+                    padded, at = net.padded(np.array(sum(held, []), dtype=np.int64), np.array([len(d) for d in held]))
+                    net.train(padded, at, epochs=1)
+                    n, held = n + len(at), []
+            seen, total = seen + n, total + n * (net.flat() - want.flat()).astype(float)
+        want.add((total / seen).astype(np.float32))
+        trained += seen
+    assert trained == sum(len((t or "").split()) for t in texts)  # every document, once
+    assert np.allclose(got.flat(), want.flat(), atol=1e-5)
     likelihood = lambda n: pseudo_likelihood.score(docs, n).agg(F.sum("log_prob")).first()[0]
     assert likelihood(got) > likelihood(start)
     assert np.array_equal(pseudo_likelihood.refine(docs.limit(0), start).flat(), start.flat())
 
 
-def test_every_document_trains(docs):
-    start = pseudo_likelihood.fit(docs, vocabulary=30, sample_docs=5, every=0)
-    whole = pseudo_likelihood.refine(docs, start, every=1).flat()
-    assert not np.allclose(whole, start.flat(), atol=1e-6)
-    assert np.allclose(pseudo_likelihood.fit(docs, vocabulary=30, sample_docs=5).flat(), whole, atol=1e-6)
+def test_gradients_are_those_of_the_log_likelihood():
+    """One step on one batch against numeric derivatives."""
+    rng = np.random.default_rng(2)
+    net = pseudo_likelihood.WindowNetwork([b"%d" % k for k in range(9)], np.arange(9, 0, -1) * 10.0, 30, side=2, width=3, rare=2, classes=3)
+    padded, at = net.padded(rng.integers(0, 11, 60), np.array([35, 0, 25]))
+    after = copy.deepcopy(net)
+    after.train(padded, at, epochs=1, rate=1e-3)
+    sizes = [w.size for w in net.weights()]
+    for k in [0, 5, 40, sizes[0] + 1, sizes[0] + 4, sizes[0] + sizes[1]]:
+        up, down = copy.deepcopy(net), copy.deepcopy(net)
+        step = np.zeros(sum(sizes), dtype=np.float32)
+        step[k] = 1e-2
+        up.add(step)
+        down.add(-step)
+        slope = (up.log_probs(padded, at).sum() - down.log_probs(padded, at).sum()) / 2e-2
+        scale = 1e-3 / (32 if k < sizes[0] else len(at))
+        assert after.flat()[k] - net.flat()[k] == pytest.approx(slope * scale, rel=0.05, abs=2e-7)
 
 
 def slow_tiles(item, doc, seed):
