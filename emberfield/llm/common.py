@@ -47,14 +47,21 @@ def hash_sample(df: DataFrame, key: str, text: str, rows: int, most_bytes: int =
 
 
 class WordHashes(dict):
-    """bytes -> unsigned 64-bit hash, remembered up to a bound."""
+    """bytes -> unsigned 64-bit hash. Two generations of at most LIMIT words each: a word that is used again stays."""
 
-    LIMIT = 150_000
+    LIMIT = 75_000
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[bytes, int] = {}
 
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
+        h = self.old.get(word)
+        if h is None:
+            h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
             if len(self) >= self.LIMIT:
+                self.old = dict(self)
                 self.clear()
             self[word] = h
         return h
