@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip
@@ -75,7 +76,10 @@ def mean_or_median(df: DataFrame, columns: list[str], closeness: float = 0.1) ->
 def fill_with(df: DataFrame, columns: list[str], how: str, most_missing: float | None = None) -> DataFrame:
     """Fills NULL with mean, median or mode (smallest on ties); with most_missing only columns of 0 < share <= it."""
     q = exact_percentiles(df, columns, [0.5]) if how == "median" else {}
-    stat = {"mean": F.avg, "median": lambda c: F.lit(q[c][0]).cast("double"), "mode": lambda c: F.mode(c, True)}[how]
+    if how == "mode":  # of counts, so that a column of many values is not gathered
+        q = {c: [r[0] if (r := df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).first()) else None] for c in columns}
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    stat = {"mean": F.avg, "median": lambda c: F.lit(q[c][0]).cast("double"), "mode": lambda c: F.lit(q[c][0]).cast(kinds[c])}[how]
     s = df.agg(*(F.struct(stat(c).alias("v"), F.avg(F.col(c).isNull().cast("int")).alias("miss")).alias(f"__{c}") for c in columns))
     out = df.crossJoin(F.broadcast(s))
     for c in columns:
@@ -86,9 +90,13 @@ def fill_with(df: DataFrame, columns: list[str], how: str, most_missing: float |
     return out.select(*df.columns)
 
 
-def fill_from_cell(df: DataFrame, keys: list[str], column: str) -> Column:
-    """The value, else its cell's mean, else the mean of all."""
-    return F.coalesce(F.col(column), F.avg(column).over(Window.partitionBy(*keys)), F.avg(column).over(Window.partitionBy()))
+def fill_from_cell(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """NULL becomes the mean of its cell, else the mean of all: partial sums and a join on the cell."""
+    per = df.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.avg(column).alias("__cell"))
+    every = df.agg(F.avg(column).alias("__all"))
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)))
+    out = df.join(per, same, "left").crossJoin(F.broadcast(every)).withColumn(column, F.coalesce(column, "__cell", "__all"))
+    return out.select(*df.columns)
 
 
 def range_to_null(x: Column, low: float | None, high: float | None) -> Column:

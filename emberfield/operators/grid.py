@@ -98,3 +98,22 @@ def resample(grid: DataFrame, value: str, factor: float, rows: int, cols: int, b
     w = (1 - F.abs(F.col("y") - F.col("r"))) * (1 - F.abs(F.col("x") - F.col("c")))
     joined = at.withColumn("w", w).where("w > 0").join(src, ["r", "c"])
     return joined.groupBy("tr", "tc").agg((F.sum(F.col("w") * F.col("v")) / F.sum(F.when(F.col("v").isNotNull(), F.col("w")))).alias(value)).withColumnsRenamed({"tr": "r", "tc": "c"})
+
+
+def profile(grid: DataFrame, value: str, axis: str) -> DataFrame:
+    """(axis, n, mean): of each row ("r") or column ("c") of the grid."""
+    return grid.groupBy(axis).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+
+
+def quadrants(grid: DataFrame, value: str, rows: int, cols: int) -> DataFrame:
+    """(quadrant, n, mean) of NW, NE, SW, SE; row 0 is the northernmost."""
+    name = F.concat(F.when(F.col("r") < rows // 2, "N").otherwise("S"), F.when(F.col("c") < cols // 2, "W").otherwise("E"))
+    return grid.groupBy(name.alias("quadrant")).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+
+
+def edge_gradients(grid: DataFrame, value: str, band: int) -> DataFrame:
+    """One row: mean of the last `band` rows minus that of the first, and the same of columns; edges are those of the table."""
+    edge = grid.agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    out = grid.crossJoin(F.broadcast(edge))
+    mean = lambda cond: F.avg(F.when(F.expr(cond), F.col(value)))
+    return out.agg((mean(f"r > r1 - {band}") - mean(f"r < r0 + {band}")).alias("rows_gradient"), (mean(f"c > c1 - {band}") - mean(f"c < c0 + {band}")).alias("cols_gradient"))

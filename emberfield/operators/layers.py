@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import to_null
+from .quantiles import exact_percentiles
+
 # Months of the seasons.
 SEASONS = {"djf": (12, 1, 2), "mam": (3, 4, 5), "jja": (6, 7, 8), "son": (9, 10, 11)}
 
@@ -15,9 +18,12 @@ def temporal_stats(cube: DataFrame, cell: str, v: str) -> DataFrame:
     return out.select("*", F.col("__p")[0].alias(f"{v}_p10"), F.col("__p")[1].alias(f"{v}_p90")).drop("__p")
 
 
-def seasonal_means(cube: DataFrame, cell: str, v: str, include_dec: bool = True) -> DataFrame:
+def seasonal_means(cube: DataFrame, cell: str, v: str, include_dec: bool = True, percentiles: bool = False) -> DataFrame:
+    """Season means; a season without months is NULL. percentiles: the 10th and 90th of each season as well."""
     months = {k: m if include_dec or k != "djf" else (1, 2) for k, m in SEASONS.items()}
-    return cube.groupBy(cell).agg(*(F.avg(F.when(F.col("month").isin(*m), F.col(v))).alias(f"{v}_{k}") for k, m in months.items()))
+    inside = {k: F.when(F.col("month").isin(*m), F.col(v)) for k, m in months.items()}
+    more = [F.percentile(x, p).alias(f"{v}_{k}_p{round(100 * p)}") for k, x in inside.items() for p in (0.1, 0.9)] if percentiles else []
+    return cube.groupBy(cell).agg(*(F.avg(x).alias(f"{v}_{k}") for k, x in inside.items()), *more)
 
 
 def monthly_wide(cube: DataFrame, cell: str, v: str) -> DataFrame:
@@ -29,11 +35,20 @@ def monthly_long(wide: DataFrame, cell: str, v: str) -> DataFrame:
     return out.where(F.col(v).isNotNull()).select(cell, F.substring("name", -2, 2).cast("int").alias("month"), v)
 
 
-def layer_statistics(df: DataFrame, v: str) -> DataFrame:
-    x = F.col(v)
-    return df.agg(
-        F.count(x).alias("n"), F.min(x).alias("lo"), F.avg(x).alias("mean"), F.max(x).alias("hi"), F.stddev_pop(x).alias("sd"), F.percentile(x, 0.5).alias("median"),
-        F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurt"), (100 * F.count_if(x.isNull()) / F.count("*")).alias("pct_nodata"),
+# What stands for no data in rasters.
+RASTER_SENTINELS = (-9999.0, -999.0, -99.0, -9.0, 9999.0, 999.0, 99.0, 9.0)
+
+
+def layer_statistics(df: DataFrame, v: str, sentinels: tuple[float, ...] = RASTER_SENTINELS) -> DataFrame:
+    """One row of statistics of the finite values that are no sentinel; skew and kurt for more than 10 values."""
+    clean = df.select(to_null(F.col(v).cast("double"), sentinels).alias("x"))
+    q1, med, q3 = exact_percentiles(clean, ["x"], [0.25, 0.5, 0.75])["x"]
+    x, number = F.col("x"), lambda y: F.lit(y).cast("double")
+    many = F.count(x) > 10
+    return clean.agg(
+        F.count(x).alias("n"), F.min(x).alias("lo"), F.avg(x).alias("mean"), F.max(x).alias("hi"), F.stddev_pop(x).alias("sd"), number(med).alias("median"),
+        number(q1).alias("q25"), number(q3).alias("q75"), number(None if q1 is None else q3 - q1).alias("iqr"),
+        F.when(many, F.skewness(x)).alias("skew"), F.when(many, F.kurtosis(x)).alias("kurt"), (100 * F.count_if(x.isNull()) / F.count("*")).alias("pct_nodata"),
     )
 
 

@@ -1,40 +1,64 @@
 """Folds, metrics, resampling, clustering and classification.
 
-Metrics are exact: ties of a score are one step of a curve. Curves are aggregated by score before any window, so a window
-sees as many rows as there are distinct scores, in partial sums of score ranges where they are many.
+Metrics are exact: ties of a score are one step of a curve. Curves are aggregated by score, then summed over ranges of scores
+(`tables.running`), so neither a fold nor the whole table is ever in one task. Folds and splits rank rows the same way.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
+from functools import reduce
+from itertools import product
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, release
+from .tables import by_hash, ranked, running
 
 
 # folds
 def stratified_folds(df: DataFrame, y: str, key: str, k: int, seed: int = 0) -> DataFrame:
-    w = Window.partitionBy(y).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    return ranked(df, [y], by_hash(key, seed), "fold").withColumn("fold", ((F.col("fold") - 1) % k).cast("int"))
 
 
-def train_test_split(df: DataFrame, y: str, key: str, test: float = 0.2, seed: int = 0) -> DataFrame:
-    """is_test for a share of each class."""
-    w = Window.partitionBy(y).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
-    return df.withColumn("is_test", F.row_number().over(w) <= F.round(F.count("*").over(Window.partitionBy(y)) * test))
+def spatial_folds(df: DataFrame, key: str, k: int, lat: str = "latitude", lon: str = "longitude", iterations: int = 20) -> DataFrame:
+    """`fold` by k-means on the coordinates: neighbours share a fold. Rows without coordinates have none."""
+    at = df.withColumn("__xy", F.when(F.col(lat).isNotNull() & F.col(lon).isNotNull(), F.array(F.col(lat).cast("double"), F.col(lon).cast("double"))))
+    return at.select("*", nearest_center(F.col("__xy"), kmeans_centers(at.where("__xy is not null"), key, "__xy", k, iterations)).alias("fold")).drop("__xy")
+
+
+def train_test_split(df: DataFrame, y: str, key: str, test: float = 0.2, seed: int = 0, most_classes: int = 20) -> DataFrame:
+    """is_test for a share of each class; of the whole table where there are more than `most_classes`."""
+    by = [y] if df.select(y).distinct().limit(most_classes + 1).count() <= most_classes else []
+    n = df.groupBy(*(F.col(c).alias("__y") for c in by)).agg(F.round(F.count("*") * test).alias("__n"))
+    out = ranked(df, by, by_hash(key, seed), "__rn")
+    out = out.join(n, F.col(y).eqNullSafe(F.col("__y"))) if by else out.crossJoin(F.broadcast(n))
+    return out.select(*df.columns, (F.col("__rn") <= F.col("__n")).alias("is_test"))
+
+
+def class_weights(df: DataFrame, y: str) -> DataFrame:
+    """(y, weight): n / (classes * n of the class)."""
+    n = df.groupBy(y).agg(F.count("*").alias("c"))
+    total = n.agg(F.sum("c").alias("t"), F.count("*").alias("k"))
+    return n.crossJoin(F.broadcast(total)).select(y, (F.col("t") / (F.col("k") * F.col("c"))).alias("weight"))
 
 
 # binary metrics
 def curve(df: DataFrame, y: str, score: str, by: list[str] | None = None) -> DataFrame:
-    """(by, score, tp, fp, p, n) at each distinct score, from the highest down."""
+    """(by, score, tp, fp, p, n, pos, all) at each distinct score, from the highest down."""
     by = by or []
-    steps = df.groupBy(*by, score).agg(F.sum(y).alias("pos"), F.count("*").alias("all"))
-    w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    t = Window.partitionBy(*by)
-    return steps.select(*by, score, F.sum("pos").over(w).alias("tp"), F.sum(F.col("all") - F.col("pos")).over(w).alias("fp"), F.sum("pos").over(t).alias("p"), F.sum(F.col("all") - F.col("pos")).over(t).alias("n"), "pos", "all")
+    steps = df.groupBy(*by, score).agg(F.sum(y).alias("pos"), F.count("*").alias("all")).withColumn("__neg", F.col("all") - F.col("pos"))
+    out = running(steps, by, [F.desc(score)], {"tp": "pos", "fp": "__neg"})
+    total = df.groupBy(*(F.col(b).alias(f"__t{i}") for i, b in enumerate(by))).agg(F.sum(y).alias("p"), (F.count("*") - F.sum(y)).alias("n"))
+    if by:
+        same = reduce(lambda a, b: a & b, (F.col(b).eqNullSafe(F.col(f"__t{i}")) for i, b in enumerate(by)))
+        out = out.join(total, same)
+    else:
+        out = out.crossJoin(F.broadcast(total))
+    return out.select(*by, score, "tp", "fp", "p", "n", "pos", "all")
 
 
 def ranking_metrics(df: DataFrame, y: str, score: str, by: list[str] | None = None) -> DataFrame:
@@ -58,6 +82,23 @@ def threshold_metrics(df: DataFrame, y: str, score: str, threshold: float, by: l
     return out.withColumn("f1", div(2 * p * r, p + r)).withColumn("balanced_accuracy", (r + F.col("specificity")) / 2).withColumn("accuracy", (tp + tn) / (tp + fp + fn + tn))
 
 
+def macro_metrics(df: DataFrame, y: str, predicted: str, by: list[str] | None = None) -> DataFrame:
+    """(by, macro_precision, macro_recall, macro_f1): means over the two classes; 0 where a class is never predicted or absent."""
+    hit = lambda a, b: F.count_if((F.col(y) == a) & (F.col(predicted) == b))
+    out = df.groupBy(*(by or [])).agg(hit(1, 1).alias("tp"), hit(0, 1).alias("fp"), hit(1, 0).alias("fn"), hit(0, 0).alias("tn"))
+    div = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
+    tp, fp, fn, tn = map(F.col, ("tp", "fp", "fn", "tn"))
+    p, r = (div(tp, tp + fp), div(tn, tn + fn)), (div(tp, tp + fn), div(tn, tn + fp))
+    f = [div(2 * a * b, a + b) for a, b in zip(p, r, strict=True)]
+    return out.select(*(by or []), *((sum(x[1:], x[0]) / 2).alias(f"macro_{n}") for n, x in (("precision", p), ("recall", r), ("f1", f))))
+
+
+def over_folds(folds: DataFrame, metrics: list[str]) -> DataFrame:
+    """(metric, mean, std, std_samp) of a table of one row a fold; std is the population's."""
+    long = folds.unpivot([], [*metrics], "metric", "value")
+    return long.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.stddev_samp("value").alias("std_samp"))
+
+
 def best_threshold(df: DataFrame, y: str, score: str, optimize: str = "f1", least: float = 0.8) -> DataFrame:
     """One row (threshold, value): max F1; or max precision at recall >= least; or max recall at precision >= least; ties to the higher score."""
     c = curve(df.select(F.col(y).alias("__y"), F.col(score).alias("__s")), "__y", "__s")
@@ -85,6 +126,42 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
         one(1 - F.col("h_ab") / F.nullif(F.col("ha"), F.lit(0.0))).alias("homogeneity"), one(1 - F.col("h_ba") / F.nullif(F.col("hb"), F.lit(0.0))).alias("completeness"), (F.col("hit") / F.col("t")).alias("purity"))
 
 
+def _log_factorial(x: np.ndarray) -> np.ndarray:
+    """By Stirling's series, above a table."""
+    x = np.asarray(x, dtype=float)
+    small = np.array([math.lgamma(k + 1) for k in range(32)])
+    y = np.maximum(x, 1)
+    series = y * np.log(y) - y + 0.5 * np.log(2 * np.pi * y) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    return np.where(x < 32, small[np.minimum(x, 31).astype(int)], series)
+
+
+def adjusted_mutual_information(df: DataFrame, a: str, b: str, most: int = 100_000) -> float:
+    """(MI - E[MI]) / (mean of the entropies - E[MI]), the expectation over tables of the same margins. The contingency table (levels x
+    levels, at most `most` cells) goes to the driver."""
+    rows = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).count().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError("too many levels")
+    n = float(sum(r["count"] for r in rows))
+    na, nb = Counter(), Counter()
+    for r in rows:
+        na[r["a"]] += r["count"]
+        nb[r["b"]] += r["count"]
+    if not n or len(na) == len(nb) == 1:
+        return 1.0
+    mi = sum(r["count"] / n * math.log(n * r["count"] / (na[r["a"]] * nb[r["b"]])) for r in rows)
+    entropy = lambda c: -sum(v / n * math.log(v / n) for v in c.values())
+    expected = 0.0
+    for (x, tx), (y, ty) in product(Counter(na.values()).items(), Counter(nb.values()).items()):  # equal margins count together
+        mean, sd = x * y / n, math.sqrt(max(1.0, x * y / n * (1 - x / n) * (1 - y / n)))
+        k = np.arange(max(1, int(x + y - n), int(mean - 15 * sd)), min(x, y, int(mean + 15 * sd) + 2) + 1, dtype=float)  # what lies outside weighs nothing
+        if len(k):
+            f = _log_factorial
+            logp = f(x) + f(y) + f(n - x) + f(n - y) - f(n) - f(k) - f(x - k) - f(y - k) - f(n - x - y + k)
+            expected += tx * ty * float((k / n * np.log(n * k / (x * y)) * np.exp(logp)).sum())
+    top = (entropy(na) + entropy(nb)) / 2 - expected
+    return (mi - expected) / top if abs(top) > 1e-15 else 1.0
+
+
 def distance2(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
@@ -97,25 +174,51 @@ def _centers(df: DataFrame, label: str, v: str) -> DataFrame:
     return df.select(label, F.posexplode(v).alias("i", "x")).groupBy(label, "i").agg(F.avg("x").alias("x")).groupBy(label).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("center"))
 
 
-def kmeans(df: DataFrame, key: str, v: str, k: int, iterations: int = 20) -> DataFrame:
-    """(key, v, cluster) by Lloyd's steps from the k rows of smallest hash; an empty cluster becomes the zero vector. Centers (k rows) are the only thing on the driver."""
-    start = [r[0] for r in df.orderBy(F.xxhash64(F.col(key)), key).limit(k).select(v).collect()]
-    centers = [[float(x) for x in c] for c in start]
+def kmeans_centers(df: DataFrame, key: str, v: str, k: int, iterations: int = 20) -> list[list[float]]:
+    """Centers by Lloyd's steps from the k rows of smallest hash; an empty cluster becomes the zero vector. k rows are the only thing
+    on the driver."""
+    centers = [[float(x) for x in r[0]] for r in df.orderBy(F.xxhash64(F.col(key)), key).limit(k).select(v).collect()]
+    if not centers:
+        return []
     for _ in range(iterations):
-        labelled = assign(df, v, centers)
-        got = {r["cluster"]: r["center"] for r in _centers(labelled, "cluster", v).collect()}
+        got = {r["cluster"]: r["center"] for r in _centers(assign(df, v, centers), "cluster", v).collect()}
         new = [list(got.get(c, [0.0] * len(centers[0]))) for c in range(len(centers))]
         done = np.allclose(new, centers)
         centers = new
         if done:
             break
-    return assign(df, v, centers)
+    return centers
+
+
+def kmeans(df: DataFrame, key: str, v: str, k: int, iterations: int = 20) -> DataFrame:
+    """df with `cluster`; an empty table stays empty."""
+    return assign(df, v, kmeans_centers(df, key, v, k, iterations))
+
+
+def nearest_center(v: Column, centers: list[list[float]]) -> Column:
+    """The nearest center's number; ties to the smaller; NULL without a vector or centers."""
+    if not centers:
+        return F.lit(None).cast("int")
+    d = F.array(*(F.struct(distance2(v, F.array(*map(F.lit, c))).alias("d"), F.lit(i).alias("c")) for i, c in enumerate(centers)))
+    return F.when(v.isNotNull(), F.array_min(d)["c"])
 
 
 def assign(df: DataFrame, v: str, centers: list[list[float]]) -> DataFrame:
-    """The nearest center's number; ties to the smaller."""
-    d = F.array(*(F.struct(distance2(F.col(v), F.array(*map(F.lit, c))).alias("d"), F.lit(i).alias("c")) for i, c in enumerate(centers)))
-    return df.withColumn("cluster", F.array_min(d)["c"])
+    return df.withColumn("cluster", nearest_center(F.col(v), centers))
+
+
+def inertia(df: DataFrame, v: str, centers: list[list[float]]) -> float:
+    """Sum of squared distances to the nearest center."""
+    d = F.array_min(F.array(*(distance2(F.col(v), F.array(*map(F.lit, c))) for c in centers)))
+    return float(df.agg(F.sum(d)).first()[0] or 0.0)
+
+
+def center_profile(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
+    """(label, feature, mean, z): each cluster's mean, and its distance from the mean of all in deviations (population)."""
+    every = df.agg(*(F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in columns)).first()
+    per = df.groupBy(label).agg(*(F.avg(c).alias(c) for c in columns)).unpivot([label], columns, "feature", "mean")
+    both = df.sparkSession.createDataFrame([(c, every[c]["m"], every[c]["s"]) for c in columns], "feature string, m double, s double")
+    return per.join(F.broadcast(both), "feature").select(label, "feature", "mean", ((F.col("mean") - F.col("m")) / F.nullif(F.col("s"), F.lit(0.0))).alias("z"))
 
 
 def cluster_quality(df: DataFrame, label: str, v: str) -> DataFrame:
@@ -183,14 +286,28 @@ def edited_neighbours(df: DataFrame, key: str, v: str, y: str, k: int = 3, rule:
 
 
 def smote(df: DataFrame, key: str, v: str, y: str, minority: int, n: int, k: int = 5, seed: int = 0) -> DataFrame:
-    """n synthetic rows (v, y) between a minority row and one of its k nearest of the class; picks come from hashes."""
+    """(s, v, y, base, other, u): n synthetic rows at base + u (other - base), between a minority row and one of its k nearest of the
+    class; picks come from hashes. Fewer than two minority rows: none."""
     few = materialize(df.where(F.col(y) == minority).select(key, F.col(v).cast("array<double>").alias("x")), "minority")
-    near = block_neighbours(few, few, key, "x", k)
     total = few.count()
-    order = few.withColumn("p", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)) - 1)
+    if total < 2:
+        n, total = 0, 2
+    near = block_neighbours(few, few, key, "x", k)
+    order = ranked(few, [], by_hash(key, seed), "p").withColumn("p", F.col("p") - 1)
     pick = df.sparkSession.range(n).select(F.col("id").alias("s"), (F.col("id") % total).alias("p"), (1 + F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(min(k, total - 1)))).cast("int").alias("rank"), (F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(1 << 30)) / float(1 << 30)).alias("u"))
     out = pick.join(order, "p").join(near.select(key, "other", "rank"), [key, "rank"]).join(few.select(F.col(key).alias("other"), F.col("x").alias("x2")), "other")
-    return out.select("s", F.expr("zip_with(x, x2, (a, b) -> a + u * (b - a))").alias(v), F.lit(minority).alias(y))
+    return out.select("s", F.expr("zip_with(x, x2, (a, b) -> a + u * (b - a))").alias(v), F.lit(minority).alias(y), F.col(key).alias("base"), "other", "u")
+
+
+def smote_tomek(df: DataFrame, key: str, v: str, y: str, minority: int, k: int = 5, seed: int = 0) -> DataFrame:
+    """(key, v, y): classes 0 and 1 evened out by synthetic rows (negative keys), then without both members of any Tomek link."""
+    sizes = {r[y]: r["count"] for r in df.where(F.col(y).isin(0, 1)).groupBy(y).count().collect()}
+    more = smote(df, key, v, y, minority, max(0, sizes.get(1 - minority, 0) - sizes.get(minority, 0)), k, seed)
+    both = df.select(key, F.col(v).cast("array<double>").alias(v), y).unionByName(more.select((-F.col("s") - 1).alias(key), v, y))
+    both = materialize(both, "balanced")
+    links = materialize(tomek_links(both, key, v, y), "links")
+    gone = links.select(key).unionByName(links.select(F.col("other").alias(key))).distinct()
+    return both.join(gone, key, "left_anti")
 
 
 def dbscan(df: DataFrame, key: str, v: str, eps: float, least: int, pairs: DataFrame | None = None) -> DataFrame:
@@ -238,13 +355,36 @@ def eps_pairs(df: DataFrame, key: str, v: str, eps: float, metric: str = "euclid
     return materialize(pairs.withColumnRenamed("id", key), "eps")
 
 
+def label_sums(df: DataFrame, key: str, v: str, label: str, block: int = 2048) -> DataFrame:
+    """(key, lo, s, c): the sum of each row's distances to the other rows of each label, and their number. Blocks meet blocks, and give
+    one row a label: no table of pairs."""
+    n = max(1, math.ceil(df.count() / block))
+    base = df.select(F.col(key).alias("id"), F.col(v).cast("array<double>").alias("x"), F.col(label).cast("long").alias("l"), F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int").alias("b"))
+    a = base.select("id", "x", F.col("b").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
+    b = base.select("id", "x", "l", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), F.col("b").alias("j"))
+
+    def sums(left, right):
+        import pandas as pd
+
+        if not len(left) or not len(right):
+            return pd.DataFrame({"id": [], "lo": [], "s": [], "c": []}).astype({"id": "int64", "lo": "int64", "s": "float64", "c": "int64"})
+        labels, at = np.unique(right["l"].to_numpy(), return_inverse=True)
+        y, ids, out = np.stack(right["x"]), right["id"].to_numpy(), []
+        for q, row in zip(left["id"].to_numpy(), np.stack(left["x"]), strict=True):
+            d, other = np.sqrt(((y - row) ** 2).sum(axis=1)), ids != q
+            out.append((np.full(len(labels), q), labels, np.bincount(at[other], d[other], len(labels)), np.bincount(at[other], minlength=len(labels))))
+        return pd.DataFrame({c: np.concatenate([o[k] for o in out]) for k, c in enumerate(("id", "lo", "s", "c"))})
+
+    parts = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(sums, "id long, lo long, s double, c long")
+    return parts.groupBy("id", "lo").agg(F.sum("s").alias("s"), F.sum("c").alias("c")).withColumnRenamed("id", key)
+
+
 def silhouette(df: DataFrame, key: str, v: str, label: str) -> DataFrame:
-    """One row: the exact mean silhouette (Euclidean), in blocks."""
-    lab = df.select(F.col(key).alias("other"), F.col(label).alias("lo"))
-    pairs = eps_pairs(df, key, v, float("inf")).join(lab, "other")
-    per = pairs.groupBy(key, "lo").agg(F.avg("dist").alias("d")).join(df.select(key, F.col(label).alias("ls")), key)
-    s = per.groupBy(key, "ls").agg(F.max(F.when(F.col("lo") == F.col("ls"), F.col("d"))).alias("a"), F.min(F.when(F.col("lo") != F.col("ls"), F.col("d"))).alias("b"))
-    return s.agg(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0))).alias("silhouette"))
+    """One row: the exact mean silhouette (Euclidean); a row alone in its cluster counts 0."""
+    per = label_sums(df, key, v, label).where("c > 0").join(df.select(key, F.col(label).alias("ls")), key)
+    mean = F.col("s") / F.col("c")
+    s = per.groupBy(key, "ls").agg(F.max(F.when(F.col("lo") == F.col("ls"), mean)).alias("a"), F.min(F.when(F.col("lo") != F.col("ls"), mean)).alias("b"))
+    return s.agg(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0))).alias("silhouette"))
 
 
 # trees, level by level
@@ -253,6 +393,7 @@ def grow_tree(df: DataFrame, columns: list[str], y: str, depth: int = 4, bins: i
 
     Nodes: {id, feature, threshold, left, right, value, n}. Leaves vote the majority, ties to 0.
     """
+    # an empty table is a leaf of 0
     q = df.agg(*(F.percentile_approx(c, [i / bins for i in range(1, bins)], 10_000).alias(c) for c in columns)).first()
     cuts = {c: sorted(set(q[c] or [])) for c in columns}
     w = F.col(weight) if weight else F.lit(1.0)
@@ -307,49 +448,129 @@ def tree_column(nodes: list[dict], node: int = 0) -> Column:
     return F.when(F.col(n["feature"]) <= F.lit(n["threshold"]), tree_column(nodes, n["left"])).otherwise(tree_column(nodes, n["right"]))
 
 
-def grow_forest(df: DataFrame, columns: list[str], y: str, key: str, trees: int = 5, depth: int = 4, seed: int = 0) -> Column:
-    """Mean of votes of trees on bootstrap weights (Poisson(1) by a hash of the key)."""
+def grow_forest(df: DataFrame, columns: list[str], y: str, key: str, trees: int = 5, depth: int = 4, seed: int = 0, balanced: bool = False) -> Column:
+    """Mean of votes of trees on bootstrap weights (Poisson(1) by a hash of the key). balanced: each tree sees of the larger class a
+    hashed share as large as the smaller class."""
+    share = {0: 1.0, 1: 1.0}
+    if balanced:
+        sizes = {r[y]: r["count"] for r in df.where(F.col(y).isin(0, 1)).groupBy(y).count().collect()}
+        share = {c: min(sizes.values()) / n for c, n in sizes.items()}
+    uniform = lambda *salt: F.pmod(F.xxhash64(*map(F.lit, salt), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
     out = []
     for k in range(trees):
-        u = F.pmod(F.xxhash64(F.lit(seed + k), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-        w, total = F.lit(0.0), 0.0
+        u, w, total = uniform(seed + k), F.lit(0.0), 0.0
         for j in range(6):
             total += math.exp(-1) / math.factorial(j)
             w = w + (u >= total).cast("double")
+        if balanced:
+            kept = F.when(F.col(y) == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0))
+            w = F.when(uniform(seed + k, 1) < kept, w).otherwise(0.0)
         out.append(tree_column(grow_tree(df.withColumn("__w", w), columns, y, depth, weight="__w")))
     return sum(out[1:], out[0]) / len(out)
 
 
-def kmedoids(df: DataFrame, key: str, v: str, k: int, sample: int = 500, iterations: int = 10) -> DataFrame:
-    """CLARA: medoids of a bounded sample (by hash), then every row to its nearest medoid."""
-    rows = df.orderBy(F.xxhash64(F.col(key)), key).limit(sample).select(key, v).collect()
-    x = np.array([r[v] for r in rows], dtype=float)
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) if len(x) <= 600 else np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T))
-    medoids = list(range(min(k, len(x))))
-    for _ in range(iterations):
-        near = d[:, medoids].argmin(axis=1)
-        new = [int(np.flatnonzero(near == c)[d[np.ix_(near == c, near == c)].sum(axis=1).argmin()]) if (near == c).any() else medoids[c] for c in range(len(medoids))]
-        if new == medoids:
+def kmedoids(df: DataFrame, key: str, v: str, k: int, sample: int = 500, iterations: int = 10, samples: int = 5) -> DataFrame:
+    """CLARA: medoids of each of some bounded samples (by hashes); those of the least cost over all rows win, and every row goes to its
+    nearest. An empty table stays empty."""
+    df = df.withColumn(v, F.col(v).cast("array<double>"))
+    best = None
+    for s in range(samples):
+        rows = df.orderBy(*by_hash(key, s)).limit(sample).select(v).collect()
+        if not rows:
+            return assign(df, v, [])
+        x = np.array([r[v] for r in rows], dtype=float)
+        d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T))
+        medoids = list(range(min(k, len(x))))
+        for _ in range(iterations):
+            near = d[:, medoids].argmin(axis=1)
+            new = [int(np.flatnonzero(near == c)[d[np.ix_(near == c, near == c)].sum(axis=1).argmin()]) if (near == c).any() else medoids[c] for c in range(len(medoids))]
+            if new == medoids:
+                break
+            medoids = new
+        centers = [x[m].tolist() for m in medoids]
+        d = F.array_min(F.array(*(distance2(F.col(v), F.array(*map(F.lit, c))) for c in centers)))
+        cost = df.agg(F.sum(F.sqrt(d))).first()[0]
+        if best is None or cost < best[0]:
+            best = cost, centers
+        if len(rows) < sample:
             break
-        medoids = new
-    return assign(df.withColumn(v, F.col(v).cast("array<double>")), v, [x[m].tolist() for m in medoids])
+    return assign(df, v, best[1])
 
 
-def kmeans_sweep(df: DataFrame, key: str, v: str, ks: list[int], iterations: int = 10) -> list[dict]:
-    """Davies-Bouldin and Calinski-Harabasz of each k; the caller picks."""
+def kmeans_sweep(df: DataFrame, key: str, v: str, ks: list[int], iterations: int = 10) -> dict:
+    """rows (k, davies_bouldin, calinski_harabasz, silhouette, inertia), best by silhouette and by Davies-Bouldin (ties to the smaller k),
+    and the elbow: the k where the inertia's fall slows most."""
     out = []
     for k in ks:
-        q = cluster_quality(kmeans(df, key, v, k, iterations), "cluster", v).first()
-        out.append({"k": k, **q.asDict()})
-    return out
-
-
-def dbscan_grid(df: DataFrame, key: str, v: str, eps: list[float], least: list[int]) -> list[dict]:
-    """Clusters, noise share and a penalty score of each setting; one table of pairs, at the greatest eps, serves all."""
+        centers = kmeans_centers(df, key, v, k, iterations)
+        labelled = materialize(assign(df.select(key, v), v, centers), "labelled")
+        q = cluster_quality(labelled, "cluster", v).first()
+        out.append({"k": k, **q.asDict(), "silhouette": silhouette(labelled, key, v, "cluster").first()[0], "inertia": inertia(df, v, centers)})
+        release(labelled)
+    fall = {out[i]["k"]: out[i - 1]["inertia"] - 2 * out[i]["inertia"] + out[i + 1]["inertia"] for i in range(1, len(out) - 1)}
+    return {
+        "rows": out, "by_silhouette": max(out, key=lambda r: (r["silhouette"] or -1, -r["k"]))["k"], "by_davies_bouldin": min(out, key=lambda r: (math.inf if r["davies_bouldin"] is None else r["davies_bouldin"], r["k"]))["k"],
+        "elbow": max(fall, key=lambda k: (fall[k], -k)) if fall else None,
+    }
+
+
+def dbscan_grid(df: DataFrame, key: str, v: str, eps: list[float], least: list[int], y: str | None = None) -> list[dict]:
+    """Clusters, noise share and score of each setting, and which is best (ties to the first). The score is the adjusted Rand index
+    against y, if given, else the silhouette (noise counts as a cluster; 0 where it isn't defined), less 0.01 for each cluster over ten and
+    half of the noise share over 0.3. One table of pairs, at the greatest eps, serves all."""
     pairs = eps_pairs(df, key, v, max(eps))
     out = []
     for e in eps:
         for m in least:
-            r = dbscan(df, key, v, e, m, pairs).agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("k"), F.avg((F.col("cluster") < 0).cast("int")).alias("noise")).first()
-            out.append({"eps": e, "min_samples": m, "clusters": r["k"], "noise": r["noise"], "score": -max(0, r["k"] - 10) * 0.01 - max(0.0, (r["noise"] or 0) - 0.3) * 0.5})
-    return out
+            labels = materialize(dbscan(df, key, v, e, m, pairs), "labels")
+            r = labels.agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("k"), F.avg((F.col("cluster") < 0).cast("int")).alias("noise"), F.count_distinct("cluster").alias("all")).first()
+            noise = r["noise"] or 0.0
+            if y is not None:
+                main = agreement(labels.join(df.select(key, y), key), y, "cluster").first()["ari"]
+            else:
+                main = silhouette(labels.join(df.select(key, v), key), key, v, "cluster").first()[0] if r["all"] > 1 else 0.0
+            out.append({"eps": e, "min_samples": m, "clusters": r["k"], "noise": noise, "main": main or 0.0, "score": (main or 0.0) - max(0, r["k"] - 10) * 0.01 - max(0.0, noise - 0.3) * 0.5})
+            release(labels)
+    top = max((r["score"] for r in out), default=None)
+    first = next((i for i, r in enumerate(out) if r["score"] == top), None)
+    return [{**r, "best": i == first} for i, r in enumerate(out)]
+
+
+# models of Spark's own library
+def fit_model(df: DataFrame, columns: list[str], y: str, kind: str = "forest", weight: str | None = None, **kw):
+    """A fitted pipeline: "forest", "boosted" or "logistic"; its transform adds probability and prediction."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    one = {"forest": RandomForestClassifier, "boosted": GBTClassifier, "logistic": LogisticRegression}[kind]
+    more = {"weightCol": weight} if weight else {}
+    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="__x"), one(featuresCol="__x", labelCol=y, **more, **kw)]).fit(df)
+
+
+def predict(model, df: DataFrame) -> DataFrame:
+    """df with proba, the probability of label 1."""
+    from pyspark.ml.functions import vector_to_array
+
+    return model.transform(df).select(*df.columns, vector_to_array("probability")[1].alias("proba"))
+
+
+def predict_row(model, spark, row: dict) -> float:
+    return predict(model, spark.createDataFrame([{k: float(x) for k, x in row.items()}])).first()["proba"]
+
+
+def importances(model, columns: list[str]) -> list[tuple[str, float]]:
+    """(feature, importance) of a tree model, best first."""
+    v = model.stages[-1].featureImportances.toArray()
+    return sorted(((c, float(x)) for c, x in zip(columns, v, strict=True)), key=lambda r: (-r[1], r[0]))
+
+
+def cross_validate(df: DataFrame, columns: list[str], y: str, key: str, k: int = 5, kind: str = "forest", seed: int = 0, **kw) -> DataFrame:
+    """(fold, roc_auc, average_precision) of a model trained on the other folds, for each fold with both classes."""
+    dealt = materialize(stratified_folds(df.select(key, y, *columns), y, key, k, seed), "folds")
+    out = None
+    for f in range(k):
+        rest, held = dealt.where(F.col("fold") != f), dealt.where(F.col("fold") == f)
+        part = predict(fit_model(rest, columns, y, kind, **kw), held).select("fold", y, "proba")
+        out = part if out is None else out.unionByName(part)
+    return ranking_metrics(materialize(out, "held-out"), y, "proba", ["fold"])

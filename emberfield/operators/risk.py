@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import bands
+from .quantiles import exact_percentiles
 
 # Limits of risk levels and of management classes.
 RISK_CUTS, RISK_NAMES = [0.4, 0.7], ["Low", "Medium", "High"]
@@ -35,10 +36,10 @@ def zone_drivers(df: DataFrame, zone: str, proba: str, features: list[str], impo
 
 
 def high_low_medians(df: DataFrame, proba: str, features: list[str]) -> DataFrame:
-    med = lambda c, cond: F.percentile(F.when(cond, F.col(c)), 0.5)
-    hi, lo = F.col(proba) >= 0.7, F.col(proba) < 0.4
-    out = df.agg(F.array(*(F.struct(F.lit(c).alias("feature"), med(c, hi).alias("high"), med(c, lo).alias("low")) for c in features)).alias("x"))
-    out = out.select(F.explode("x").alias("x")).select("x.*")
+    """(feature, high, low, direction): exact medians of rows of high and of low risk."""
+    high = exact_percentiles(df.where(F.col(proba) >= RISK_CUTS[1]), features, [0.5])
+    low = exact_percentiles(df.where(F.col(proba) < RISK_CUTS[0]), features, [0.5])
+    out = df.sparkSession.createDataFrame([(c, high[c][0], low[c][0]) for c in features], "feature string, high double, low double")
     return out.withColumn("direction", F.when(F.col("high") > F.col("low"), "higher").when(F.col("high") < F.col("low"), "lower").otherwise("same"))
 
 
@@ -56,3 +57,24 @@ def management_plan(profile: DataFrame, zone: str) -> DataFrame:
     """Zones ranked by mean risk (a row a zone), with a class and an alert threshold of 0.8 of the mean."""
     w = Window.orderBy(F.desc("mean_risk"), zone)
     return profile.select(zone, "n", "mean_risk").withColumn("rank", F.row_number().over(w)).withColumn("plan", bands(F.col("mean_risk"), PLAN_CUTS, PLAN_NAMES)).withColumn("alert", 0.8 * F.col("mean_risk"))
+
+
+def summary_table(df: DataFrame, zone: str, proba: str, actual: str) -> DataFrame:
+    """(metric, value): rows, zones, mean risk, shares of each level, false alarms (predicted, not actual) of all predicted in
+    percent, and the largest and smallest zone (ties to the smaller)."""
+    level, hit = risk_level(F.col(proba)), F.col(proba) >= 0.5
+    share = lambda n: (100 * F.avg((level == n).cast("int"))).alias(f"pct_{n.lower()}")
+    one = df.agg(
+        F.count("*").cast("double").alias("rows"), F.avg(proba).alias("mean_risk"), *map(share, RISK_NAMES),
+        (100 * F.count_if(hit & (F.col(actual) == 0)) / F.nullif(F.count_if(hit), F.lit(0))).alias("pct_false_alarms"))
+    n = df.groupBy(zone).agg(F.count("*").alias("n"))
+    ends = n.agg(F.count("*").cast("double").alias("zones"), F.max_by(zone, F.struct(F.col("n"), -F.col(zone))).cast("double").alias("largest"), F.min_by(zone, F.struct("n", zone)).cast("double").alias("smallest"))
+    both = one.crossJoin(ends)
+    return both.unpivot([], both.columns, "metric", "value")
+
+
+def comparison(df: DataFrame, model: str, metrics: list[str]) -> DataFrame:
+    """(metric, best, value, mean, std) over the rows of a table of one row a model; ties to the smaller model."""
+    long = df.unpivot([model], metrics, "metric", "value")
+    best = long.groupBy("metric").agg(F.max("value").alias("top"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    return long.join(best, "metric").where(F.col("value") == F.col("top")).groupBy("metric").agg(F.min(model).alias("best"), F.first("value").alias("value"), F.first("mean").alias("mean"), F.first("std").alias("std"))

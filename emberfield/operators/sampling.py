@@ -7,9 +7,10 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import destination, haversine_km, uniform
-from ..session import materialize
-from . import spatial
+from ..functions.scalar import coord_text, destination, haversine_km, uniform
+from ..session import materialize, release
+from . import layers, spatial, tables
+from .quantiles import exact_percentiles
 
 
 def target_size(positives: int, ratio: float, most: int | None = None) -> int:
@@ -20,39 +21,54 @@ def target_size(positives: int, ratio: float, most: int | None = None) -> int:
 
 def _box(fires: DataFrame) -> tuple[float, float, float, float]:
     r = fires.agg(F.min("latitude"), F.max("latitude"), F.min("longitude"), F.max("longitude")).first()
+    if r[0] is None:
+        raise ValueError("no positives: there is no box to sample from")
     return tuple(r)
 
 
+def _inside(candidates: DataFrame, aoi: DataFrame | None) -> DataFrame:
+    """The candidates inside one of the polygons (zone, ring), or all where there are none given."""
+    if aoi is None:
+        return candidates
+    return candidates.join(spatial.points_in_polygons(candidates, aoi, "nid", "zone").select("nid").distinct(), "nid", "left_semi")
+
+
 def _candidates(spark: SparkSession, box, start: int, n: int, seed: int) -> DataFrame:
     a, b, c, d = box
     i = F.col("nid")
     return spark.range(start, start + n).select(F.col("id").alias("nid")).select("nid", (a + (b - a) * uniform(seed, i, F.lit("lat"))).alias("latitude"), (c + (d - c) * uniform(seed, i, F.lit("lon"))).alias("longitude"))
 
 
-def random_in_box(fires: DataFrame, n: int, min_km: float, seed: int = 0, batches: int = 6) -> DataFrame:
-    """n points of the positives' box that no positive is nearer than min_km; batches grow until there are enough."""
+def random_in_box(fires: DataFrame, n: int, min_km: float, seed: int = 0, batches: int = 6, aoi: DataFrame | None = None) -> DataFrame:
+    """n points of the positives' box (inside polygons of `aoi`, if given) that no positive is nearer than min_km; batches grow
+    until there are enough."""
     box, size, out = _box(fires), 4 * n, None
     for k in range(batches):
-        good = spatial.farther_than(_candidates(fires.sparkSession, box, 0, size << k, seed), fires, "nid", "id", min_km, haversine_km).persist()
+        good = materialize(spatial.farther_than(_inside(_candidates(fires.sparkSession, box, 0, size << k, seed), aoi), fires, "nid", "id", min_km, haversine_km), "candidates")
         if good.count() >= n or k == batches - 1:
             out = good.orderBy("nid").limit(n)
             break
-        good.unpersist()
+        release(good)
     return out
 
 
-def even_grid(fires: DataFrame, n: int, min_km: float) -> DataFrame:
-    """Up to n points of a regular grid over the box, row by row, far enough from positives; the grid is refined until there are n."""
+def even_grid(fires: DataFrame, n: int, min_km: float, seed: int = 0, refinements: int = 8) -> DataFrame:
+    """Up to n points of a regular grid over the box, row by row, far enough from positives; the grid is refined until there are
+    n, and random points of the box fill what then still lacks."""
     a, b, c, d = _box(fires)
     side = max(math.sqrt((b - a) * (d - c) / n), 0.02)
-    for _ in range(8):
+    for k in range(refinements):
         h, w = int((b - a) / side) + 1, int((d - c) / side) + 1
         cells = fires.sparkSession.range(h * w).select(F.col("id").alias("nid"))
         cells = cells.select("nid", (a + F.floor(F.col("nid") / w) * side).alias("latitude"), (c + (F.col("nid") % w) * side).alias("longitude"))
-        good = spatial.farther_than(cells, fires, "nid", "id", min_km, haversine_km).persist()
-        if good.count() >= n:
+        good = materialize(spatial.farther_than(cells, fires, "nid", "id", min_km, haversine_km), "grid")
+        have = good.count()
+        if have >= n or k == refinements - 1:
             break
+        release(good)
         side /= 1.5
+    if have < n:
+        good = good.unionByName(random_in_box(fires, n - have, min_km, seed).withColumn("nid", F.col("nid") + (1 << 40)))
     return good.orderBy("nid").limit(n)
 
 
@@ -74,6 +90,36 @@ def ring_sample(fires: DataFrame, each: int, low: float, high: float, seed: int
     return out.select("id", "k", "latitude", "longitude", haversine_km(F.col("a"), F.col("o"), F.col("latitude"), F.col("longitude")).alias("km"))
 
 
+def valid_ring_sample(fires: DataFrame, n: int, low: float, high: float, seed: int = 0, aoi: DataFrame | None = None, batches: int = 6) -> DataFrame:
+    """(nid, latitude, longitude): up to n points `low` to `high` km around positives, inside the polygons of `aoi` if given, and no
+    nearer than `low` to any positive; rings are drawn again until there are enough."""
+    out, have = None, 0
+    each = max(1, math.ceil(2 * n / max(1, fires.count())))
+    for k in range(batches):
+        ring = ring_sample(fires, each << k, low, high, seed + k).select(F.pmod(F.xxhash64("id", "k", F.lit(k)), F.lit(1 << 62)).alias("nid"), "latitude", "longitude")
+        good = materialize(spatial.farther_than(_inside(ring, aoi), fires, "nid", "id", low, haversine_km), "rings")
+        have += good.count()
+        out = good if out is None else out.unionByName(good)
+        if have >= n:
+            break
+    return out.orderBy("nid").limit(n)
+
+
+def assemble(positives: DataFrame, negatives: DataFrame, seed: int = 0, digits: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The labelled table and its summary. Columns fire (1, 0), latlon_key (rounded coordinates; of rows that share one the
+    positive stays, else the first by order), neutral metadata of negatives, and `position`, a shuffled order by a hash.
+    Summary, one row: positives, negatives, duplicates that went, share of positives."""
+    both = tables.union_all(positives.withColumn("fire", F.lit(1)), negatives.withColumn("fire", F.lit(0)))
+    key = coord_text(F.col("latitude"), F.col("longitude"), digits)
+    both = materialize(layers.fill_negative_metadata(both.withColumn("latlon_key", key)), "labelled")
+    kept = tables.keep_first(both, ["latlon_key"], [F.desc("fire"), F.xxhash64(*both.columns)])
+    out = kept.withColumn("position", F.xxhash64(F.lit(seed), "latlon_key"))
+    n = both.agg(F.count("*").alias("__rows"))
+    summary = out.agg(F.count_if(F.col("fire") == 1).alias("positives"), F.count_if(F.col("fire") == 0).alias("negatives")).crossJoin(F.broadcast(n))
+    total = F.col("positives") + F.col("negatives")
+    return out, summary.select("positives", "negatives", (F.col("__rows") - total).alias("duplicates"), (F.col("positives") / F.nullif(total, F.lit(0))).alias("share"))
+
+
 def spread(candidates: DataFrame, min_km: float, seed: int = 0, rounds: int = 40) -> DataFrame:
     """A maximal subset whose members are min_km apart: each round keeps candidates that come first among their neighbours."""
     c = candidates.withColumn("rank", F.xxhash64(F.lit(seed), "nid"))
@@ -100,6 +146,16 @@ def polygon_centroids(polygons: DataFrame, fires: DataFrame, n: int, min_km: flo
     return spatial.farther_than(free, fires, "nid", "id", min_km, haversine_km).orderBy("nid").limit(n)
 
 
+def polygons_with_interior(polygons: DataFrame, fires: DataFrame, n: int, min_km: float, step: float = 0.05, gid: str = "zone", ring: str = "ring") -> DataFrame:
+    """polygon_centroids, and where these are fewer than n, points of a grid inside the polygons, by number."""
+    first = materialize(polygon_centroids(polygons, fires, n, min_km, gid, ring), "centroids")
+    lack = n - first.count()
+    if lack <= 0:
+        return first
+    more = polygon_grid(polygons, fires, min_km, step, gid, ring).orderBy("nid").limit(lack)
+    return first.unionByName(more.withColumn("nid", F.col("nid") + (1 << 40)))
+
+
 def polygon_grid(polygons: DataFrame, fires: DataFrame, min_km: float, step: float = 0.05, gid: str = "zone", ring: str = "ring") -> DataFrame:
     """(nid, latitude, longitude): points of a regular grid inside polygons, far enough from positives; nid names the grid point."""
     low = lambda axis: F.floor(F.array_min(F.transform(ring, lambda p: p[axis])) / step).cast("long")
@@ -130,5 +186,6 @@ def adaptive_band(fires: DataFrame, n: int, min_km: float, max_km: float, seed:
 
 def distance_metrics(negatives: DataFrame, fires: DataFrame) -> DataFrame:
     """One row: min_km, median_km, mean_km of the distance to the nearest positive (planar degrees x 111)."""
-    near = spatial.k_nearest(negatives, fires, "nid", "id", 1).select((F.col("dist") * 111).alias("km"))
-    return near.agg(F.min("km").alias("min_km"), F.percentile("km", 0.5).alias("median_km"), F.avg("km").alias("mean_km"))
+    near = materialize(spatial.k_nearest(negatives, fires, "nid", "id", 1).select((F.col("dist") * 111).alias("km")), "distances")
+    med = exact_percentiles(near, ["km"], [0.5])["km"][0]
+    return near.agg(F.min("km").alias("min_km"), F.lit(med).cast("double").alias("median_km"), F.avg("km").alias("mean_km"))

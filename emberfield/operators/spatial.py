@@ -1,57 +1,71 @@
 """Joins by place: nearest and k nearest points, distance bands, raster lookup, points in polygons.
 
-The nearest join cuts space into cells. Each point looks into the cells around its own, `ring` cells far; a k-th distance
-of at most ring * cell is final, as nothing nearer lies outside. Points that are not settled go on with a doubled ring.
+The nearest join cuts space into cells, small enough that the fullest holds few source rows. Each point looks into the
+cells around its own; a k-th distance of at most one cell is final, as nothing nearer lies outside. Points that are not
+settled go on with cells of twice the size, so a point costs nine cells a round however far it lies from the source; a point
+outside the source's box starts with cells of about its distance to the box.
 The equi-join on cells replaces a nested loop, and a source row is copied to no other cell: the points are exploded.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize, release
+
 
 def _cells(df: DataFrame, lat: str, lon: str, cell: float) -> DataFrame:
     return df.withColumn("__i", F.floor(F.col(lat) / cell)).withColumn("__j", F.floor(F.col(lon) / cell))
 
 
-def _around(df: DataFrame, ring: int) -> DataFrame:
-    steps = F.sequence(F.lit(-ring), F.lit(ring))
+def _around(df: DataFrame) -> DataFrame:
+    """A row for each of the nine cells around its own."""
+    steps = F.array(*map(F.lit, (-1, 0, 1)))
     out = df.withColumn("__di", F.explode(steps)).withColumn("__dj", F.explode(steps))
     return out.withColumn("__i", F.col("__i") + F.col("__di")).withColumn("__j", F.col("__j") + F.col("__dj")).drop("__di", "__dj")
 
 
-def cell_size(source: DataFrame, lat: str, lon: str, per_cell: float = 2.0) -> float:
-    """A cell that holds about per_cell source points: one aggregation."""
-    r = source.agg(F.count("*").alias("n"), (F.max(lat) - F.min(lat)).alias("h"), (F.max(lon) - F.min(lon)).alias("w")).first()
-    return max(1e-6, (max(r["h"] or 0, 1e-6) * max(r["w"] or 0, 1e-6) * per_cell / max(r["n"], 1)) ** 0.5)
-
-
-def k_nearest(points: DataFrame, source: DataFrame, pid: str, sid: str, k: int = 1, cell: float | None = None, lat: str = "latitude", lon: str = "longitude", rounds: int = 24, exclude_self: bool = False) -> DataFrame:
-    """(pid, sid, dist, rank): the k nearest source rows by Euclidean distance in degrees, ties to the smaller sid."""
-    cell = cell or cell_size(source, lat, lon, 2.0 * k)
-    n = source.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).count()
-    src = _cells(source.select(F.col(sid).alias("__sid"), F.col(lat).alias("__a"), F.col(lon).alias("__o")).where("__a is not null and __o is not null"), "__a", "__o", cell)
-    todo = _cells(points.select(F.col(pid).alias("__pid"), F.col(lat).alias("__pa"), F.col(lon).alias("__po")).where("__pa is not null and __po is not null"), "__pa", "__po", cell)
-    want = min(k, n - (1 if exclude_self else 0))
-    schema_empty = todo.join(src, F.lit(False)).select(F.col("__pid").alias(pid), F.col("__sid").alias(sid), F.lit(0.0).alias("dist"), F.lit(0).alias("rank"))
+def k_nearest(points: DataFrame, source: DataFrame, pid: str, sid: str, k: int = 1, cell: float | None = None, lat: str = "latitude", lon: str = "longitude", rounds: int = 80, exclude_self: bool = False) -> DataFrame:
+    """(pid, sid, dist, rank): the k nearest source rows by Euclidean distance in degrees, ties to the smaller sid. Points or
+    source rows without a coordinate take no part; an empty source gives no rows."""
+    src = source.select(F.col(sid).alias("__sid"), F.col(lat).cast("double").alias("__a"), F.col(lon).cast("double").alias("__o")).where("__a is not null and __o is not null")
+    todo = points.select(F.col(pid).alias("__pid"), F.col(lat).cast("double").alias("__pa"), F.col(lon).cast("double").alias("__po")).where("__pa is not null and __po is not null")
+    box = src.agg(F.count("*").alias("n"), F.min("__a").alias("a0"), F.max("__a").alias("a1"), F.min("__o").alias("o0"), F.max("__o").alias("o1")).first()
+    want = min(k, box["n"] - (1 if exclude_self else 0))
     if want < 1:
-        return schema_empty
-    out, ring = [], 1
+        return todo.join(src, F.lit(False)).select(F.col("__pid").alias(pid), F.col("__sid").alias(sid), F.lit(0.0).alias("dist"), F.lit(0).alias("rank"))
+    if cell is None:
+        area = max(box["a1"] - box["a0"], 1e-6) * max(box["o1"] - box["o0"], 1e-6)
+        cell, fullest = max(1e-6, (area * 2.0 * k / box["n"]) ** 0.5), None
+        for _ in range(30):  # dense places decide: sparse ones take a round more
+            now = _cells(src, "__a", "__o", cell).groupBy("__i", "__j").count().agg(F.max("count")).first()[0]
+            if now <= max(64, 32 * k) or cell < 1e-6 or (fullest is not None and now > 0.9 * fullest):
+                break
+            cell, fullest = cell / 2, now
+    gap = F.greatest(F.lit(box["a0"]) - F.col("__pa"), F.col("__pa") - F.lit(box["a1"]), F.lit(box["o0"]) - F.col("__po"), F.col("__po") - F.lit(box["o1"]))
+    todo = todo.withColumn("__first", F.when(gap > 2 * cell, F.floor(F.log2(gap / cell)) - 1).otherwise(0).cast("int"))
+    out, last, step, size = [], None, 0, cell
     for _ in range(rounds):
+        size = cell * 2.0**step
         dist = F.sqrt(F.pow(F.col("__pa") - F.col("__a"), 2) + F.pow(F.col("__po") - F.col("__o"), 2))
-        pairs = _around(todo, ring).join(src, ["__i", "__j"])
+        pairs = _around(_cells(todo.where(F.col("__first") <= step), "__pa", "__po", size)).join(_cells(src, "__a", "__o", size), ["__i", "__j"])
         if exclude_self:
             pairs = pairs.where("__pid <> __sid")
         w = Window.partitionBy("__pid").orderBy("dist", "__sid")
         near = pairs.withColumn("dist", dist).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         near = near.withColumn("__last", F.max(F.when(F.col("rank") == want, F.col("dist"))).over(Window.partitionBy("__pid")))
-        near = near.withColumn("__done", F.coalesce(F.col("__last") <= ring * cell, F.lit(False))).select("__pid", "__sid", "dist", "rank", "__done").persist()
-        out.append(near.where("__done"))
-        left = todo.join(near.where("__done").select("__pid").distinct(), "__pid", "left_anti").persist()
-        if left.isEmpty():
+        out.append(materialize(near.where(F.col("__last") <= size).select("__pid", "__sid", "dist", "rank"), "near"))
+        todo = materialize(todo.join(out[-1].select("__pid").distinct(), "__pid", "left_anti"), "far")
+        if last is not None:
+            release(last)
+        last = todo
+        left = todo.agg(F.min("__first")).first()[0]
+        if left is None:
             break
-        todo, ring = left, ring * 2
+        step = max(step + 1, left)
     else:
         raise RuntimeError("points lie too far from the source for this cell")
     found = out[0]
@@ -78,15 +92,33 @@ def knn_aggregate(near: DataFrame, source: DataFrame, pid: str, sid: str, numeri
 
 
 def within_km(points: DataFrame, source: DataFrame, pid: str, sid: str, km: float, metric, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
-    """Pairs (pid, sid, km) at most km apart. Cells are km wide in latitude, and wide enough in longitude below 75 degrees."""
-    cell = km / 111.0 * 1.01
-    stretch = 4.0
-    src = source.select(F.col(sid).alias("__sid"), F.col(lat).alias("__a"), F.col(lon).alias("__o"))
-    pts = points.select(F.col(pid).alias("__pid"), F.col(lat).alias("__pa"), F.col(lon).alias("__po"))
-    src = src.withColumn("__i", F.floor(F.col("__a") / cell)).withColumn("__j", F.floor(F.col("__o") / (cell * stretch)))
-    pts = pts.withColumn("__i", F.floor(F.col("__pa") / cell)).withColumn("__j", F.floor(F.col("__po") / (cell * stretch)))
+    """Pairs (pid, sid, km) at most km apart on the sphere, poles and the date line included; `metric` is a great-circle distance.
+
+    Bands of latitude are km wide; each is cut into cells about km wide at its end nearest the pole. A point looks into three
+    bands, and in each into the cells that its greatest difference of longitude there can reach, around the globe.
+    """
+    band = km / 111.0 * 1.01
+    radians = lambda x: x * (math.pi / 180)
+
+    def narrow(i):  # cosine of the end of band i that is nearest to a pole
+        return F.greatest(F.lit(0.0), F.cos(radians(F.least(F.lit(90.0), F.greatest(F.abs(i * band), F.abs((i + 1) * band))))))
+
+    cells = lambda i: F.greatest(F.lit(1.0), F.floor(360.0 / band * narrow(i)))
+    src = source.select(F.col(sid).alias("__sid"), F.col(lat).cast("double").alias("__a"), F.col(lon).cast("double").alias("__o")).where("__a is not null and __o is not null")
+    pts = points.select(F.col(pid).alias("__pid"), F.col(lat).cast("double").alias("__pa"), F.col(lon).cast("double").alias("__po")).where("__pa is not null and __po is not null")
+    src = src.withColumn("__i", F.floor(F.col("__a") / band))
+    src = src.withColumn("__j", F.least(F.floor(F.pmod(F.col("__o") + 180.0, F.lit(360.0)) / (360.0 / cells(F.col("__i")))), cells(F.col("__i")) - 1).cast("long"))
+    pts = pts.withColumn("__i", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("__pa") / band) + d)))
+    half = min(1.0, math.sin(min(math.pi / 2, km / (2 * 6371.0) * 1.001)))
+    # sin(dlon / 2) is at most sin(d / 2R) over the root of the product of cosines
+    ratio = half / F.sqrt(F.greatest(F.lit(1e-300), F.cos(radians(F.col("__pa"))) * narrow(F.col("__i"))))
+    reach = F.when(ratio >= 1, 180.0).otherwise(F.degrees(2 * F.asin(F.least(F.lit(1.0), ratio))) * 1.0001)
+    n, x = cells(F.col("__i")), F.pmod(F.col("__po") + 180.0, F.lit(360.0))
+    first = F.floor((x - reach) / (360.0 / n))
+    pts = pts.withColumn("__first", first).withColumn("__end", F.least(F.floor((x + reach) / (360.0 / n)), first + n - 1)).withColumn("__n", n)
+    pts = pts.withColumn("__j", F.explode(F.sequence(F.col("__first").cast("long"), F.col("__end").cast("long")))).withColumn("__j", F.pmod("__j", F.col("__n").cast("long")))
     d = metric(F.col("__pa"), F.col("__po"), F.col("__a"), F.col("__o"))
-    return _around(pts, 1).join(src, ["__i", "__j"]).withColumn("km", d).where(F.col("km") <= km).select(F.col("__pid").alias(pid), F.col("__sid").alias(sid), "km")
+    return pts.join(src, ["__i", "__j"]).withColumn("km", d).where(F.col("km") <= km).select(F.col("__pid").alias(pid), F.col("__sid").alias(sid), "km")
 
 
 def farther_than(points: DataFrame, source: DataFrame, pid: str, sid: str, km: float, metric) -> DataFrame:
@@ -151,3 +183,13 @@ def perimeter(ring: str) -> Column:
 
 def valid_ring(ring: str) -> Column:
     return F.expr(f"size({ring}) >= 4 and {ring}[0].x = {ring}[size({ring}) - 1].x and {ring}[0].y = {ring}[size({ring}) - 1].y") & (shoelace(ring) > 0)
+
+
+def zonal_statistics(polygons: DataFrame, by: str, ring: str = "ring") -> DataFrame:
+    """(by, n, area, mean, lo, hi, std, perimeter, compactness): areas and perimeters of valid rings by class; compactness is the
+    mean of 4 pi area / perimeter^2."""
+    area, p = shoelace(ring), perimeter(ring)
+    z = polygons.where(valid_ring(ring)).select(by, area.alias("__a"), p.alias("__p"))
+    return z.groupBy(by).agg(
+        F.count("*").alias("n"), F.sum("__a").alias("area"), F.avg("__a").alias("mean"), F.min("__a").alias("lo"), F.max("__a").alias("hi"), F.stddev_samp("__a").alias("std"),
+        F.sum("__p").alias("perimeter"), F.avg(4 * math.pi * F.col("__a") / (F.col("__p") * F.col("__p"))).alias("compactness"))

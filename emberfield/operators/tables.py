@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .quantiles import exact_percentiles
 
 # Parts of column names that mark derived columns.
@@ -66,20 +67,52 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
 
 
+def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """df with sums {new column: summed column} that run over each `by` group in a total order. Rows are dealt by ranges of
+    (by, order), so no group, however large, is in one task; only the ranges' sums meet in one."""
+    keys = [*map(F.col, by), *order]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("__range", F.shiftrightunsigned(F.monotonically_increasing_id(), 33).cast("int"))
+    placed = materialize(placed, "ranges")
+    total = placed.groupBy("__range", *by).agg(*(F.sum(x).alias(f"__sum_{c}") for c, x in sums.items()))
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    start = total.select(F.col("__range").alias("__at"), *(F.col(b).alias(f"__by{i}") for i, b in enumerate(by)), *(F.coalesce(F.sum(f"__sum_{c}").over(before), F.lit(0)).alias(f"__sum_{c}") for c in sums))
+    inside = Window.partitionBy("__range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.withColumns({c: F.sum(x).over(inside) for c, x in sums.items()})
+    same = reduce(lambda x, y: x & y, (F.col(b).eqNullSafe(F.col(f"__by{i}")) for i, b in enumerate(by)), F.col("__range") == F.col("__at"))
+    return out.join(start, same).select(*df.columns, *((F.col(c) + F.col(f"__sum_{c}")).alias(c) for c in sums))
+
+
+def ranked(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """df with a row's number (from 1) in its group, by ranges like `running`."""
+    return running(df.withColumn("__one", F.lit(1)), by, order, {name: "__one"}).drop("__one")
+
+
+def by_hash(key: str, seed: int = 0) -> list[Column]:
+    """The order of a hash of the key, and the key."""
+    return [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)]
+
+
+def cdf_ranks(df: DataFrame, column: str, order: list[Column], name: str = "p") -> DataFrame:
+    """Non-null rows with their place (rank - 0.5) / n among all values."""
+    some = df.where(F.col(column).isNotNull())
+    n = some.agg(F.count("*").alias("__n"))
+    return ranked(some, [], [F.col(column), *order], "__rank").crossJoin(F.broadcast(n)).withColumn(name, (F.col("__rank") - 0.5) / F.col("__n")).drop("__rank", "__n")
+
+
 def stratified_sample(df: DataFrame, by: str, key: str, n: int, seed: int = 0) -> DataFrame:
-    """About n rows, from each class its share, at least one."""
-    sizes = df.groupBy(by).agg(F.count("*").alias("__c"))
+    """About n rows, from each class its share, at least one. Null is a class."""
+    sizes = df.groupBy(F.col(by).alias("__k")).agg(F.count("*").alias("__c"))
     total = df.agg(F.count("*").alias("__t"))
-    take = sizes.crossJoin(F.broadcast(total)).select(by, F.greatest(F.lit(1), F.floor(F.lit(n) * F.col("__c") / F.col("__t"))).alias("__take"))
-    w = Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
-    return df.withColumn("__rn", F.row_number().over(w)).join(F.broadcast(take), by).where("__rn <= __take").drop("__rn", "__take")
+    take = sizes.crossJoin(F.broadcast(total)).select("__k", F.greatest(F.lit(1), F.floor(F.lit(n) * F.col("__c") / F.col("__t"))).alias("__take"))
+    out = ranked(df, [by], by_hash(key, seed), "__rn")
+    return out.join(take, F.col(by).eqNullSafe(F.col("__k"))).where("__rn <= __take").select(*df.columns)
 
 
 def undersample(df: DataFrame, by: str, key: str, seed: int = 0) -> DataFrame:
     """Every class cut to the size of the smallest."""
     least = df.groupBy(by).agg(F.count("*").alias("c")).agg(F.min("c").alias("__m"))
-    w = Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
-    return df.withColumn("__rn", F.row_number().over(w)).crossJoin(F.broadcast(least)).where("__rn <= __m").drop("__rn", "__m")
+    return ranked(df, [by], by_hash(key, seed), "__rn").crossJoin(F.broadcast(least)).where("__rn <= __m").select(*df.columns)
 
 
 def union_all(*frames: DataFrame) -> DataFrame:

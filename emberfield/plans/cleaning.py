@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import clean as C, layers as L
+from ..operators import clean as C, features as X, layers as L
 from .registry import query, rounded
 
 
@@ -15,13 +15,15 @@ from .registry import query, rounded
 , f AS (SELECT cell, month, coalesce(prec, avg(prec) OVER (PARTITION BY cell), avg(prec) OVER ()) AS x FROM climate)
 SELECT cell, round(avg(x), 4) AS prec_mean, round(min(x), 4) AS prec_min, round(max(x), 4) AS prec_max, round(stddev_pop(x), 4) AS prec_std, round(quantile_cont(x, 0.1), 4) AS prec_p10, round(quantile_cont(x, 0.9), 4) AS prec_p90 FROM f GROUP BY cell""", "climate")
 def temporal(t):
-    return rounded(L.temporal_stats(t.climate.withColumn("prec", C.fill_from_cell(t.climate, ["cell"], "prec")), "cell", "prec"), 4)
+    return rounded(L.temporal_stats(C.fill_from_cell(t.climate, ["cell"], "prec"), "cell", "prec"), 4)
 
 
-@query("a02_seasonal_means", """SELECT cell, round(avg(tmax) FILTER (WHERE month IN (12, 1, 2)), 4) AS tmax_djf, round(avg(tmax) FILTER (WHERE month IN (3, 4, 5)), 4) AS tmax_mam,
-round(avg(tmax) FILTER (WHERE month IN (6, 7, 8)), 4) AS tmax_jja, round(avg(tmax) FILTER (WHERE month IN (9, 10, 11)), 4) AS tmax_son FROM climate GROUP BY cell""", "climate")
+SEASON = {"djf": "12, 1, 2", "mam": "3, 4, 5", "jja": "6, 7, 8", "son": "9, 10, 11"}
+
+
+@query("a02_seasonal_means", "SELECT cell, " + ", ".join(f"round(avg(tmax) FILTER (WHERE month IN ({m})), 4) AS tmax_{k}, " + ", ".join(f"round(quantile_cont(tmax, {q}) FILTER (WHERE month IN ({m})), 4) AS tmax_{k}_p{p}" for q, p in ((0.1, 10), (0.9, 90))) for k, m in SEASON.items()) + " FROM climate GROUP BY cell", "climate")
 def seasonal(t):
-    return rounded(L.seasonal_means(t.climate, "cell", "tmax"), 4)
+    return rounded(L.seasonal_means(t.climate, "cell", "tmax", percentiles=True), 4)
 
 
 @query("a03_monthly_pivot", "SELECT cell, " + ", ".join(f"max(CASE WHEN month = {m} THEN tmin END) AS tmin_{m:02d}" for m in range(1, 13)) + " FROM climate GROUP BY cell", "climate")
@@ -36,12 +38,29 @@ def to_long(t):
 
 @query("c13_cell_mean_impute", "SELECT cell, month, round(coalesce(prec, avg(prec) OVER (PARTITION BY cell), avg(prec) OVER ()), 4) AS prec FROM climate", "climate")
 def cell_mean(t):
-    return rounded(t.climate.select("cell", "month", C.fill_from_cell(t.climate, ["cell"], "prec").alias("prec")), 4)
+    return rounded(C.fill_from_cell(t.climate.select("cell", "month", "prec"), ["cell"], "prec"), 4)
+
+
+STATS = """, s AS (SELECT cell, avg(tmax) AS tmax_mean, max(tmax) AS tmax_max, avg(tmin) AS tmin_mean, min(tmin) AS tmin_min, avg(prec) AS prec_mean, stddev_pop(prec) AS prec_std, quantile_cont(prec, 0.1) AS prec_p10,
+avg(tmax) FILTER (WHERE month IN (6, 7, 8)) AS tj, avg(tmax) FILTER (WHERE month IN (12, 1, 2)) AS td, avg(prec) FILTER (WHERE month IN (6, 7, 8)) AS pj, avg(prec) FILTER (WHERE month IN (12, 1, 2)) AS pd FROM climate GROUP BY cell)
+"""
+
 
+def cell_stats(t):
+    out = L.temporal_stats(t.climate, "cell", "tmax").join(L.temporal_stats(t.climate, "cell", "tmin"), "cell").join(L.temporal_stats(t.climate, "cell", "prec"), "cell")
+    return out.join(L.seasonal_means(t.climate, "cell", "tmax"), "cell").join(L.seasonal_means(t.climate, "cell", "prec"), "cell")
 
-@query("e01_climate_derived", "SELECT cell, month, round(tmax - tmin, 4) AS t_range, round(tmax / (prec + 1), 4) AS dryness_index FROM climate", "climate")
+
+@query("e01_climate_derived", STATS + "SELECT cell, round(tmax_mean - tmin_mean, 4) AS t_range, round(12 * prec_mean, 4) AS prec_total, round(tmax_mean / (prec_mean + 1), 4) AS dryness_index, round((tj / (pj + 1)) / (td / (pd + 1)), 4) AS dryness_season_ratio FROM s", "climate")
 def derived(t):
-    return rounded(t.climate.select("cell", "month", (F.col("tmax") - F.col("tmin")).alias("t_range"), (F.col("tmax") / (F.col("prec") + 1)).alias("dryness_index")), 4)
+    return rounded(X.climate_derived(cell_stats(t)).select("cell", "t_range", "prec_total", "dryness_index", "dryness_season_ratio"), 4)
+
+
+@query("e02_climate_features", STATS + """SELECT cell, round(tmax_max - tmin_min, 4) AS annual_temp_range, round(tmax_mean, 4) AS avg_tmax, round(tmin_mean, 4) AS avg_tmin, round(tmax_mean - tmin_mean, 4) AS diurnal_temp_range,
+round(12 * prec_mean, 4) AS total_annual_precip, round(prec_std, 4) AS precip_variability, round(prec_p10, 4) AS dry_season_intensity, round(tmax_mean * (1 - prec_p10 / (12 * prec_mean + 1e-6)), 4) AS heat_dryness_index, round(tmax_mean / (12 * prec_mean + 1e-6), 4) AS drought_index FROM s""", "climate")
+def climate_features(t):
+    names = ["annual_temp_range", "avg_tmax", "avg_tmin", "diurnal_temp_range", "total_annual_precip", "precip_variability", "dry_season_intensity", "heat_dryness_index", "drought_index"]
+    return rounded(X.climate_features(X.climate_derived(cell_stats(t))).select("cell", *names), 4)
 
 
 IQR = """
@@ -166,7 +185,10 @@ def texture_total(t):
     return t.soil.select("soil_id", total.alias("texture_total"), ((total > 120) | (total < 60)).alias("texture_flag"))
 
 
-@query("a20_layer_statistics", """, v AS (SELECT CASE WHEN z <> -9999 THEN z END AS z FROM dem), m AS (SELECT avg(z) AS m, stddev_pop(z) AS s FROM v)
-SELECT CAST(count(z) AS BIGINT) AS n, round(min(z), 4) AS lo, round(avg(z), 4) AS mean, round(max(z), 4) AS hi, round(stddev_pop(z), 4) AS sd, round(median(z), 4) AS median, round(avg(pow((z - m.m) / m.s, 3)), 4) AS skew, round(avg(pow((z - m.m) / m.s, 4)) - 3, 4) AS kurt, round(100.0 * (count(*) - count(z)) / count(*), 4) AS pct_nodata FROM v, m""", "dem")
+@query("a20_layer_statistics", """, v AS (SELECT CASE WHEN z NOT IN (-9999, -999, -99, -9, 9999, 999, 99, 9) THEN z END AS z FROM dem), m AS (SELECT avg(z) AS m, stddev_pop(z) AS s FROM v)
+SELECT CAST(count(z) AS BIGINT) AS n, round(min(z), 4) AS lo, round(avg(z), 4) AS mean, round(max(z), 4) AS hi, round(stddev_pop(z), 4) AS sd, round(median(z), 4) AS median, round(quantile_cont(z, 0.25), 4) AS q25, round(quantile_cont(z, 0.75), 4) AS q75, round(quantile_cont(z, 0.75) - quantile_cont(z, 0.25), 4) AS iqr,
+round(avg(pow((z - m.m) / m.s, 3)), 4) AS skew, round(avg(pow((z - m.m) / m.s, 4)) - 3, 4) AS kurt, round(100.0 * (count(*) - count(z)) / count(*), 4) AS pct_nodata FROM v, m""", "dem")
 def layer_stats(t):
-    return rounded(L.layer_statistics(t.dem.select(S.to_null(F.col("z"), S.SENTINELS).alias("z")), "z"), 4)
+    return rounded(L.layer_statistics(t.dem, "z"), 4)
+
+

@@ -30,6 +30,7 @@ FROM orders GROUP BY CAST(o_custkey % 25 AS INT), (o_custkey % 25), month(o_orde
 SELECT CAST(n_nationkey AS INT) AS soil_id, CAST(20 + (n_nationkey * 7) % 50 AS DOUBLE) AS sand, CAST(10 + (n_nationkey * 5) % 30 AS DOUBLE) AS silt,
   CASE WHEN n_nationkey % 6 = 5 THEN -9e0 ELSE CAST(5 + (n_nationkey * 11) % 60 AS DOUBLE) END AS clay, CAST(n_nationkey % 9 AS DOUBLE) / 2 AS org_carbon,
   CAST(4 + n_nationkey % 6 AS DOUBLE) AS ph_water, CAST(n_nationkey * 3 % 40 AS DOUBLE) AS cec_soil, CAST((n_nationkey * 13) % 130 AS DOUBLE) AS bsat,
+  CAST(n_nationkey * 2 % 35 AS DOUBLE) AS coarse, 1 + (n_nationkey % 8) / 1e1 AS bulk, (n_nationkey % 5) / 1e1 AS total_n, CAST(n_nationkey * 3 % 30 AS DOUBLE) AS cec_eff,
   n_name AS texture FROM nation WHERE n_nationkey <> 11"""),
     "features": (("lineitem",), """
 SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, l_tax AS tax,
@@ -41,6 +42,10 @@ SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_returnflag = 'R' THEN 1
     "zones": (("nation",), """
 SELECT CAST(n_nationkey AS INT) AS zone, CAST(n_regionkey AS INT) AS class, -8 + (n_nationkey % 5) * 4e0 + 0.0005e0 AS x0, 20 + floor(n_nationkey / 5) * 3.4e0 + 0.0005e0 AS y0,
   -8 + (n_nationkey % 5) * 4e0 + 3.7005e0 AS x1, 20 + floor(n_nationkey / 5) * 3.4e0 + 3.1005e0 AS y1 FROM nation"""),
+    # zones, and the same once more to the east of all detections
+    "areas": (("nation",), """
+SELECT CAST(n_nationkey + 100 * k AS INT) AS zone, -8 + (n_nationkey % 5) * 4e0 + 20.2e0 * k + 0.0005e0 AS x0, 20 + floor(n_nationkey / 5) * 3.4e0 + 0.0005e0 AS y0,
+  -8 + (n_nationkey % 5) * 4e0 + 20.2e0 * k + 3.7005e0 AS x1, 20 + floor(n_nationkey / 5) * 3.4e0 + 3.1005e0 AS y1 FROM nation CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) AS twice"""),
 }
 
 

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import eda as E, grid as G, layers as L, ml as M, risk as R, sampling as N, spatial as X, tables as T
+from ..operators import eda as E, features as X2, grid as G, layers as L, ml as M, risk as R, sampling as N, spatial as X, tables as T
 from ..session import shared_dir
 from ..sources import ascii_grid, io
 from .modelling import place, vectors
@@ -28,9 +28,9 @@ def negative_distances(t):
     return rounded(N.distance_metrics(t.stations.withColumnRenamed("sid", "nid"), t.fires), 6)
 
 
-@query("n03_polygon_centroids", f", p AS (SELECT zone AS sid, (y0 + y1) / 2 AS latitude, (x0 + x1) / 2 AS longitude FROM zones WHERE zone NOT IN (SELECT zone FROM zones JOIN fires f ON f.id % 800 = 0 AND f.longitude > x0 AND f.longitude < x1 AND f.latitude > y0 AND f.latitude < y1)) SELECT CAST(sid AS BIGINT) AS nid, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude FROM p s WHERE NOT EXISTS (SELECT 1 FROM fires f WHERE f.id % 800 = 0 AND {HAVERSINE.format(a=A)} < 20)", "zones", "fires")
+@query("n03_polygon_centroids", f", p AS (SELECT zone AS sid, (y0 + y1) / 2 AS latitude, (x0 + x1) / 2 AS longitude FROM areas WHERE zone NOT IN (SELECT zone FROM areas JOIN fires f ON f.longitude > x0 AND f.longitude < x1 AND f.latitude > y0 AND f.latitude < y1)) SELECT CAST(sid AS BIGINT) AS nid, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude FROM p s WHERE NOT EXISTS (SELECT 1 FROM fires f WHERE {HAVERSINE.format(a=A)} < 250)", "areas", "fires")
 def centroids(t):
-    return rounded(N.polygon_centroids(zones(t), t.fires.where("id % 800 = 0"), 100, 20.0), 6)
+    return rounded(N.polygon_centroids(zones(t, "areas"), t.fires, 100, 250.0), 6)
 
 
 @query("n04_polygon_grid", f", g AS (SELECT DISTINCT i, j FROM (SELECT unnest(range(30, 80)) AS i), (SELECT unnest(range(-20, 30)) AS j) JOIN zones ON j * 0.5e0 > x0 AND j * 0.5e0 < x1 AND i * 0.5e0 > y0 AND i * 0.5e0 < y1), s AS (SELECT i, j, i * 0.5e0 AS latitude, j * 0.5e0 AS longitude FROM g) SELECT CAST(count(*) AS BIGINT) AS n FROM s WHERE NOT EXISTS (SELECT 1 FROM fires f WHERE {HAVERSINE.format(a=A)} < 8)", "zones", "fires")
@@ -82,30 +82,33 @@ def k_per_key(t):
     return t.fires.select("user_id", "id", "frp").withColumn("k", F.row_number().over(w)).where("k <= 3").select("user_id", "id")
 
 
-@query("h05_normality_w", "SELECT true AS below_one")
+@query("h05_normality_w")
 def normality(t):
-    return t.spark.range(1).select(F.lit(0 < E.shapiro_francia(t.features, "price", "id") < 1).alias("below_one"))
+    r = E.shapiro_wilk(t.features, "price", "id")
+    return t.spark.createDataFrame([(round(r["w"], 6), round(r["p"], 6))], "w double, p double")
 
 
-@query("h06_qq_points")
+@query("h06_qq_points", ", q AS (SELECT unnest(range(0, 100)) AS k, unnest(quantile_cont(price, [" + ", ".join(str((k + 0.5) / 100) for k in range(100)) + "])) AS s FROM features), x AS (SELECT 2 * (k + 0.5e0) / 100 - 1 AS x, s FROM q) SELECT round(sqrt(2e0) * x * (1 - x * x / 3), 6) AS theoretical, round(s, 6) AS sample FROM x", "features")
 def qq(t):
-    return rounded(E.qq_points(t.features, "price", 100), 6)
+    return rounded(E.qq_points(t.features, "price", "id", 100), 6)
 
 
-@query("h07_normality_heuristic", "SELECT 'quantity' AS \"column\", 'symmetric' AS skew_label, false AS normal", "features")
+@query("h07_normality_heuristic", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CASE WHEN abs(k) < 0.5 THEN 'symmetric' WHEN k > 0 THEN 'right' ELSE 'left' END AS skew_label, CASE WHEN cv < 15 THEN 'low' WHEN cv < 35 THEN 'moderate' WHEN cv < 50 THEN 'high' ELSE 'very high' END AS variability, abs(k) < 0.5 AND abs(q) < 0.5 AND gap < 0.1 AS normal FROM (SELECT avg(pow((x - m) / s, 3)) AS k, avg(pow((x - m) / s, 4)) - 3 AS q, 100 * max(ss) / max(m) AS cv, abs(max(m) - median(x)) / max(ss) AS gap FROM (SELECT {c} AS x, avg({c}) OVER () AS m, stddev_pop({c}) OVER () AS s, stddev_samp({c}) OVER () AS ss FROM features))" for c in ("quantity", "price", "season")), "features")
 def heuristic(t):
-    return E.shape(t.features, ["quantity"]).select("column", "skew_label", "normal")
+    return E.shape(t.features, ["quantity", "price", "season"]).select("column", "skew_label", "variability", "normal")
 
 
-@query("h09_recommendations")
+@query("h09_recommendations", """, f AS (SELECT price, price * price * price AS cube, CASE WHEN quantity > 45 THEN 1 ELSE 0 END AS rare FROM features), s AS (SELECT avg(rare) AS y, corr(price, cube) AS r FROM f)
+SELECT 'imbalance' AS topic, 'rare' AS detail FROM s WHERE y < 0.3 OR y > 0.7 UNION ALL SELECT 'collinear', 'price, cube' FROM s WHERE abs(r) > 0.85
+""" + "".join(f"UNION ALL SELECT 'skewed', '{c}' FROM (SELECT avg(pow((x - m) / s, 3)) AS k FROM (SELECT {c} AS x, avg({c}) OVER () AS m, stddev_pop({c}) OVER () AS s FROM f)) WHERE abs(k) > 1 UNION ALL SELECT 'outliers', '{c}' FROM (SELECT avg(CASE WHEN {c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a) THEN 1 ELSE 0 END) AS o FROM f, (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM f)) WHERE o > 0.1 " for c in ("price", "cube")), "features")
 def recommendations(t):
-    return E.recommendations(t.features.withColumn("rare", (F.col("quantity") > 48).cast("int")), ["price", "tax"], "rare").unionByName(t.spark.createDataFrame([("rows", "checked")], "topic string, detail string"))
+    f = t.features.select("price", (F.col("price") * F.col("price") * F.col("price")).alias("cube"), (F.col("quantity") > 45).cast("int").alias("rare"))
+    return E.recommendations(f, ["price", "cube"], "rare")
 
 
 @query("e16_column_category", "SELECT 'climate' AS category, 'prec' AS name UNION ALL SELECT 'climate', 'tmax' UNION ALL SELECT 'climate', 'tmin' UNION ALL SELECT 'other', 'cell' UNION ALL SELECT 'other', 'month'")
 def categories(t):
-    rows = [("climate" if any(p in c for p in ("prec", "tmax", "tmin")) else "other", c) for c in t.climate.columns]
-    return t.spark.createDataFrame(rows, "category string, name string")
+    return t.spark.createDataFrame([(X2.category(c), c) for c in t.climate.columns], "category string, name string")
 
 
 @query("f12_snake_case", "SELECT 'id' AS name UNION ALL SELECT 'acq_date' UNION ALL SELECT 'bright_t31'")
@@ -131,13 +134,15 @@ def stems(t):
 
 @query("m02_kmeans_sweep")
 def sweep(t):
-    return rounded(t.spark.createDataFrame([(r["k"], float(r["davies_bouldin"]), float(r["calinski_harabasz"])) for r in M.kmeans_sweep(vectors(t), "vec_id", "v", [2, 4], 4)], "k int, davies_bouldin double, calinski_harabasz double"), 6)
+    got = M.kmeans_sweep(vectors(t), "vec_id", "v", [2, 3, 4], 3)
+    rows = [(r["k"], *(float(r[c]) for c in ("davies_bouldin", "calinski_harabasz", "silhouette", "inertia")), r["k"] == got["by_silhouette"], r["k"] == got["elbow"]) for r in got["rows"]]
+    return rounded(t.spark.createDataFrame(rows, "k int, davies_bouldin double, calinski_harabasz double, silhouette double, inertia double, best boolean, elbow boolean"), 6)
 
 
 @query("m04_dbscan_grid")
 def dbscan_grid(t):
-    rows = M.dbscan_grid(vectors(t), "vec_id", "v", [0.7, 0.8], [4])
-    return t.spark.createDataFrame([(r["eps"], r["min_samples"], r["clusters"], float(r["noise"]), float(r["score"])) for r in rows], "eps double, min_samples int, clusters long, noise double, score double")
+    rows = M.dbscan_grid(vectors(t), "vec_id", "v", [0.7, 0.8], [4], "y")
+    return t.spark.createDataFrame([(r["eps"], r["min_samples"], r["clusters"], float(r["noise"]), float(r["score"]), r["best"]) for r in rows], "eps double, min_samples int, clusters long, noise double, score double, best boolean")
 
 
 @query("m19_prediction_sink", "SELECT id, CAST(proba >= 0.5 AS INT) AS y_pred FROM scored", "scored")
@@ -194,13 +199,14 @@ def fallback(t):
     return io.first_readable(t.spark, f"{t.dir}/absent.parquet", f"{t.dir}/absent.csv", f"{t.dir}/nation.parquet").agg(F.count("*").alias("n"))
 
 
-@query("s05_ascii_grid_scan", "SELECT r, c, CAST(z AS DOUBLE) AS value FROM dem WHERE r < 5", "dem")
+@query("s05_ascii_grid_scan", "SELECT r, c, CAST(z AS DOUBLE) AS value FROM dem", "dem")
 def grid_scan(t):
-    path = place(t)
+    # a round trip: the format is one file with a row of the grid a line, so its writer gathers it
+    path, n = place(t), t.dem.agg(F.max("r")).first()[0] + 1
     cells = F.transform(F.sort_array(F.collect_list(F.struct("c", F.coalesce("z", F.lit(-1e9)).alias("z")))), lambda x: x["z"].cast("string"))
-    lines = t.dem.where("r < 5").groupBy("r").agg(F.concat_ws(" ", cells).alias("l"))
+    lines = t.dem.groupBy("r").agg(F.concat_ws(" ", cells).alias("l"))
     body = lines.agg(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("r", "l"))), lambda x: x["l"])).alias("b"))
-    head = "ncols 40\nnrows 5\nxllcorner -8\nyllcorner 20\ncellsize 0.5\nNODATA_value -1e9\n"
+    head = f"ncols 40\nnrows {n}\nxllcorner -8\nyllcorner 20\ncellsize 0.5\nNODATA_value -1e9\n"
     body.select(F.concat(F.lit(head), "b").alias("value")).coalesce(1).write.option("lineSep", "\n").text(path)
     return ascii_grid.read(t.spark, f"{path}/part-*").select("r", "c", "value")
 

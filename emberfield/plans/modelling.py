@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import eda as E, features as X, ml as M, risk as R, sampling as N, tables as T
@@ -22,31 +19,31 @@ def one(tables, /, **values):
     return tables.spark.range(1).select(*(F.lit(v).alias(k) for k, v in values.items()))
 
 
-@query("e02_climate_features", "SELECT cell, month, round(tmax - tmin, 4) AS annual_temp_range, round((tmax - tmin) / 2, 4) AS diurnal, round(tmax / (prec + 1e-6), 4) AS drought FROM climate", "climate")
-def climate_features(t):
-    return rounded(X.climate_features(t.climate).select("cell", "month", "annual_temp_range", "diurnal", "drought"), 4)
-
-
-@query("e03_topography_features", "SELECT sid, round(pow(abs(slope), 1.5), 4) AS complexity, round(elevation * abs(slope) / ((SELECT max(abs(slope)) FROM stations) + 1e-6), 4) AS elev_rug, round(1 / (1 + abs(slope)), 6) AS stability FROM stations", "stations")
+@query("e03_topography_features", """, s AS (SELECT sid, elevation, abs(slope) AS rug, elevation / 2 AS rel FROM stations)
+SELECT sid, round(rug * rel, 6) AS terrain_complexity, round(elevation * (rug / ((SELECT max(rug) FROM s) + 1e-6)), 6) AS elevation_terrain_interaction, round(rel * rel, 6) AS relative_elevation_effect, round(1 / (1 + rug), 6) AS terrain_roughness_index FROM s""", "stations")
 def topography(t):
-    s = t.stations.select("sid", "elevation", F.abs("slope").alias("rug"))
-    return rounded(rounded(X.topography_features(s, "elevation", "rug").select("sid", "complexity", "elev_rug", "stability"), 4, "complexity", "elev_rug"), 6, "stability")
+    s = t.stations.select("sid", "elevation", F.abs("slope").alias("ruggedness"), (F.col("elevation") / 2).alias("relative_elev"))
+    out = X.topography_features(s).drop("elevation", "ruggedness", "relative_elev")
+    return rounded(out, 6)
 
 
-@query("e04_soil_features", "SELECT soil_id, round(sand / (clay + 1e-6), 4) AS sand_clay, silt + clay AS fine, abs(7 - ph_water) AS ph_gap, cec_soil AS cec FROM soil", "soil")
+@query("e04_soil_features", "SELECT soil_id, round(sand / (clay + 1e-6), 4) AS sand_clay_ratio, silt + clay AS fine_fraction, org_carbon AS organic_matter_content, round(clay * (org_carbon / ((SELECT max(org_carbon) FROM soil) + 1e-6)), 4) AS moisture_retention, abs(7 - ph_water) AS soil_acidity, cec_soil AS nutrient_richness FROM soil", "soil")
 def soil_features(t):
-    return rounded(X.soil_features(t.soil).select("soil_id", "sand_clay", "fine", "ph_gap", "cec"), 4, "sand_clay")
+    return rounded(X.soil_features(t.soil).select("soil_id", "sand_clay_ratio", "fine_fraction", "organic_matter_content", "moisture_retention", "soil_acidity", "nutrient_richness"), 4)
 
 
-@query("e05_soil_ratios", "SELECT soil_id, round((silt + clay) / 100, 4) AS fine_fraction, round(clay / (silt + 1), 4) AS clay_silt, round(sand / (CASE WHEN clay + 1 = 0 THEN NULL ELSE clay + 1 END), 4) AS sand_clay_1, round(bsat / (cec_soil + 1), 4) AS bsat_cec FROM soil", "soil")
+@query("e05_soil_ratios", "SELECT soil_id, 100 - coarse AS fine_fraction, round(clay / (silt + 1), 4) AS clay_to_silt_ratio, round(sand / nullif(clay + 1, 0), 4) AS sand_to_clay_ratio, round(org_carbon / 100 * bulk, 6) AS organic_bulk_density, round(bsat / (cec_soil + 1), 4) AS base_saturation_ratio, round(cec_eff / (cec_soil + 1), 4) AS cec_eff_ratio, round((total_n + org_carbon / 100) / (bulk + 1), 6) AS nutrient_index FROM soil", "soil")
 def soil_ratios(t):
-    return rounded(X.soil_ratios(t.soil).select("soil_id", "fine_fraction", "clay_silt", "sand_clay_1", "bsat_cec"), 4)
+    upper = t.soil.select(*(F.col(c).alias(c.upper()) for c in t.soil.columns))  # names in any case
+    names = ["fine_fraction", "clay_to_silt_ratio", "sand_to_clay_ratio", "organic_bulk_density", "base_saturation_ratio", "cec_eff_ratio", "nutrient_index"]
+    out = X.soil_ratios(upper).select(F.col("SOIL_ID").alias("soil_id"), *names)
+    return rounded(rounded(out, 6, "organic_bulk_density", "nutrient_index"), 4, "clay_to_silt_ratio", "sand_to_clay_ratio", "base_saturation_ratio", "cec_eff_ratio")
 
 
-@query("e06_relative_elevation", "SELECT r, c, round(z - (SELECT avg(z) FROM dem), 4) AS relative_elev, round((z - (SELECT avg(z) FROM dem)) / (SELECT stddev_pop(z) FROM dem), 5) AS z_score FROM dem", "dem")
+@query("e06_relative_elevation", "SELECT r, c, round(z - (SELECT median(z) FROM dem), 4) AS relative_elev, round((z - (SELECT avg(z) FROM dem)) / (SELECT stddev_pop(z) FROM dem), 5) AS elevation_z, round(radians(c), 6) AS slope_rad FROM dem", "dem")
 def relative_elevation(t):
-    s = t.dem.agg(F.avg("z").alias("m"), F.stddev_pop("z").alias("s"))
-    return rounded(rounded(t.dem.crossJoin(F.broadcast(s)).select("r", "c", (F.col("z") - F.col("m")).alias("relative_elev"), ((F.col("z") - F.col("m")) / F.col("s")).alias("z_score")), 4, "relative_elev"), 5, "z_score")
+    out = X.relative_elevation(t.dem.select("r", "c", "z"), "z", "c").drop("z")
+    return rounded(rounded(rounded(out, 4, "relative_elev"), 5, "elevation_z"), 6, "slope_rad")
 
 
 @query("e07_one_hot", "SELECT r, c, CAST(kind = 'ECONOMY' AS INT) AS \"kind_ECONOMY\", CAST(kind = 'LARGE' AS INT) AS \"kind_LARGE\", CAST(kind = 'MEDIUM' AS INT) AS \"kind_MEDIUM\", CAST(kind = 'PROMO' AS INT) AS \"kind_PROMO\", CAST(kind = 'SMALL' AS INT) AS \"kind_SMALL\", CAST(kind = 'STANDARD' AS INT) AS \"kind_STANDARD\" FROM dem", "dem")
@@ -98,6 +95,13 @@ def mutual(t):
     return rounded(X.mutual_information(t.features, "price", "fire"), 8)
 
 
+@query("e13_composite_score", ", v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, var_samp({c}) AS v, abs(corr({c}, fire)) AS r FROM features" for c in COLS) + """), s AS (SELECT feature, ((v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()) + (r - min(r) OVER ()) / (max(r) OVER () - min(r) OVER ())) / 2 AS c FROM v)
+SELECT feature, round(c, 6) AS composite, CAST(row_number() OVER (ORDER BY c DESC, feature) AS INT) AS rank FROM s ORDER BY c DESC, feature LIMIT 3""", "features")
+def composite(t):
+    scores = X.variance_ranking(t.features, COLS, len(COLS)).join(X.target_correlations(t.features, COLS, "fire", len(COLS)), "feature")
+    return rounded(X.composite_scores(scores, "feature", ["variance", "r"], 3), 6)
+
+
 @query("e14_standard_scaling", "SELECT id, round((price - (SELECT avg(price) FROM features)) / (SELECT stddev_pop(price) FROM features), 5) AS price FROM features", "features")
 def scaling(t):
     return rounded(X.zscore(t.features.select("id", "price"), ["price"]), 5)
@@ -111,7 +115,7 @@ def variance(t):
 # statistical tests
 @query("h01_shape", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(avg(pow((x - m) / s, 3)), 4) AS skew, round(avg(pow((x - m) / s, 4)) - 3, 4) AS kurt, round(100 * max(ss) / max(m), 4) AS cv FROM (SELECT {c} AS x, avg({c}) OVER () AS m, stddev_pop({c}) OVER () AS s, stddev_samp({c}) OVER () AS ss FROM features)" for c in ("price", "quantity")), "features")
 def shape(t):
-    return rounded(E.shape(t.features, ["price", "quantity"]).drop("skew_label", "normal"), 4)
+    return rounded(E.shape(t.features, ["price", "quantity"]).drop("skew_label", "variability", "normal"), 4)
 
 
 @query("h02_point_biserial", "SELECT round(corr(price, fire), 6) AS r FROM features", "features")
@@ -125,14 +129,16 @@ def two_sample(t):
 
 
 @query("h04_chi_square", """, n AS (SELECT flag, status, CAST(count(*) AS DOUBLE) AS n FROM features GROUP BY ALL), e AS (SELECT a.flag, b.status, a.x * b.y / t AS e FROM (SELECT flag, sum(n) AS x FROM n GROUP BY 1) a, (SELECT status, sum(n) AS y FROM n GROUP BY 1) b, (SELECT sum(n) AS t FROM n))
-SELECT round(sum(pow(coalesce(n, 0) - e, 2) / e), 4) AS chi2, CAST(2 AS BIGINT) AS dof FROM e LEFT JOIN n USING (flag, status)""", "features")
+SELECT round(x, 4) AS chi2, d AS dof, round(exp(-x / 2), 6) AS p FROM (SELECT sum(pow(coalesce(n, 0) - e, 2) / e) AS x, CAST((count(DISTINCT flag) - 1) * (count(DISTINCT status) - 1) AS BIGINT) AS d FROM e LEFT JOIN n USING (flag, status))""", "features")
 def chi(t):
-    return rounded(E.chi_square(t.features, "flag", "status"), 4)
+    return rounded(rounded(E.chi_square(t.features, "flag", "status"), 4, "chi2"), 6, "p")  # of 2 degrees of freedom p is exp(-chi2 / 2)
 
 
-@query("h06_kde")
+@query("h06_kde", """, s AS (SELECT count(price) AS n, stddev_samp(price) AS sd, min(price) AS lo, max(price) AS hi FROM features), b AS (SELECT least(floor((price - lo) / ((hi - lo) / 4096)), 4095) AS b, count(*) AS w FROM features, s GROUP BY 1),
+x AS (SELECT lo + i * (hi - lo) / 199 AS x, lo, n, pow(n, -0.2e0) * sd AS h, (hi - lo) / 4096 AS width FROM (SELECT unnest(range(0, 200)) AS i), s)
+SELECT round(x, 6) AS x, round(sum(w * exp(-pow((x - (lo + (b + 0.5e0) * width)) / h, 2) / 2)) / max(n * h * sqrt(2 * pi())), 12) AS density FROM x, b GROUP BY x""", "features")
 def kde(t):
-    return rounded(E.kde(t.features, "price"), 12)
+    return rounded(rounded(E.kde(t.features, "price"), 12, "density"), 6, "x")
 
 
 @query("h08_linear_trend", "SELECT round(regr_slope(price, quantity), 5) AS slope, round(regr_intercept(price, quantity), 4) AS intercept, round(corr(quantity, price), 6) AS r, round(regr_r2(price, quantity), 6) AS r2 FROM features", "features")
@@ -161,21 +167,44 @@ def ranking(t):
     return rounded(M.ranking_metrics(t.scored, "y_true", "proba"), 8)
 
 
-@query("m13_confusion_by_fold", """, c AS (SELECT fold, CAST(sum(CASE WHEN proba >= 0.5 THEN y_true ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN proba >= 0.5 THEN 1 - y_true ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN proba < 0.5 THEN y_true ELSE 0 END) AS BIGINT) AS fn, CAST(sum(CASE WHEN proba < 0.5 THEN 1 - y_true ELSE 0 END) AS BIGINT) AS tn FROM scored GROUP BY fold)
-SELECT fold, tp, fp, fn, tn, round(tp / CAST(tp + fp AS DOUBLE), 6) AS precision, round(tp / CAST(tp + fn AS DOUBLE), 6) AS recall, round(2 * tp / CAST(2 * tp + fp + fn AS DOUBLE), 6) AS f1 FROM c""", "scored")
+CELLS = """, c AS (SELECT fold, CAST(sum(CASE WHEN proba >= 0.5 THEN y_true ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN proba >= 0.5 THEN 1 - y_true ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN proba < 0.5 THEN y_true ELSE 0 END) AS BIGINT) AS fn, CAST(sum(CASE WHEN proba < 0.5 THEN 1 - y_true ELSE 0 END) AS BIGINT) AS tn FROM scored GROUP BY fold)
+"""
+
+
+@query("m13_confusion_by_fold", CELLS + "SELECT fold, tp, fp, fn, tn, round(tp / CAST(tp + fp AS DOUBLE), 6) AS precision, round(tp / CAST(tp + fn AS DOUBLE), 6) AS recall, round(2 * tp / CAST(2 * tp + fp + fn AS DOUBLE), 6) AS f1 FROM c", "scored")
 def confusion(t):
     return rounded(M.threshold_metrics(t.scored, "y_true", "proba", 0.5, ["fold"]).select("fold", "tp", "fp", "fn", "tn", "precision", "recall", "f1"), 6)
 
 
+@query("m13_over_folds", CELLS + ", m AS (SELECT (tp / CAST(tp + fp AS DOUBLE) + tn / CAST(tn + fn AS DOUBLE)) / 2 AS p, (tp / CAST(tp + fn AS DOUBLE) + tn / CAST(tn + fp AS DOUBLE)) / 2 AS r, (2 * tp / CAST(2 * tp + fp + fn AS DOUBLE) + 2 * tn / CAST(2 * tn + fp + fn AS DOUBLE)) / 2 AS f FROM c) " + " UNION ALL ".join(f"SELECT 'macro_{n}' AS metric, round(avg({x}), 6) AS mean, round(stddev_pop({x}), 6) AS std, round(stddev_samp({x}), 6) AS std_samp FROM m" for n, x in (("precision", "p"), ("recall", "r"), ("f1", "f"))), "scored")
+def over_folds(t):
+    predicted = t.scored.withColumn("y_pred", (F.col("proba") >= 0.5).cast("int"))
+    return rounded(M.over_folds(M.macro_metrics(predicted, "y_true", "y_pred", ["fold"]), ["macro_precision", "macro_recall", "macro_f1"]), 6)
+
+
 @query("m12_best_threshold", CURVE + "SELECT arg_max(proba, (v, proba)) AS threshold, round(max(v), 8) AS value FROM (SELECT proba, 2 * (tp / (tp + fp)) * (tp / p) / nullif(tp / (tp + fp) + tp / p, 0) AS v FROM c)", "scored")
 def best(t):
     return rounded(M.best_threshold(t.scored, "y_true", "proba"), 8, "value")
 
 
-@query("m10_stratified_folds", "SELECT true AS balanced")
+@query("m10_stratified_folds", "SELECT fire, CAST(k AS INT) AS fold, CAST(n // 5 + CASE WHEN k < n % 5 THEN 1 ELSE 0 END AS BIGINT) AS n FROM (SELECT fire, count(*) AS n FROM features GROUP BY fire), (SELECT unnest(range(0, 5)) AS k)", "features")
 def folds(t):
-    n = M.stratified_folds(t.features, "fire", "id", 5).groupBy("fire", "fold").agg(F.count("*").alias("n")).groupBy("fire").agg((F.max("n") - F.min("n") <= 1).alias("ok"))
-    return n.agg(F.bool_and("ok").alias("balanced"))
+    return M.stratified_folds(t.features, "fire", "id", 5).groupBy("fire", "fold").agg(F.count("*").alias("n"))
+
+
+@query("m10_spatial_folds")
+def spatial_folds(t):
+    return M.spatial_folds(t.stations.select("sid", "latitude", "longitude"), "sid", 5)
+
+
+@query("m17_class_weights", "SELECT fire, round((SELECT count(*) FROM features) / CAST(2 * count(*) AS DOUBLE), 6) AS weight FROM features GROUP BY fire", "features")
+def class_weights(t):
+    return rounded(M.class_weights(t.features, "fire"), 6)
+
+
+@query("m17_smote_tomek")
+def smote_tomek(t):
+    return M.smote_tomek(vectors(t), "vec_id", "v", "y", 1).groupBy("y").agg(F.count("*").alias("n"))
 
 
 @query("m11_train_test_split", "SELECT fire, CAST(round(count(*) * 0.2) AS BIGINT) AS n_test FROM features GROUP BY fire", "features")
@@ -226,7 +255,11 @@ def smote(t):
     return M.smote(vectors(t), "vec_id", "v", "y", 1, 100).agg(F.count("*").alias("n"), F.min(F.size("v")).alias("width"))
 
 
-@query("m03_dbscan")
+@query("m03_dbscan", """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_distance(a.e, b.e) <= 0.75),
+k AS MATERIALIZED (SELECT a AS id FROM p GROUP BY a HAVING count(*) + 1 >= 5), l AS MATERIALIZED (SELECT p.a, p.b FROM p JOIN k x ON x.id = p.a JOIN k y ON y.id = p.b),
+r(node, root) AS (SELECT id, id FROM k UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node), c AS MATERIALIZED (SELECT node, min(root) AS cluster FROM r GROUP BY node),
+n AS (SELECT p.a AS node, min(c.cluster) AS cluster FROM p JOIN c ON c.node = p.b GROUP BY p.a)
+SELECT v.vec_id, CAST(coalesce(c.cluster, n.cluster, -1) AS BIGINT) AS cluster FROM v LEFT JOIN c ON c.node = v.vec_id LEFT JOIN n ON n.node = v.vec_id""")
 def dbscan(t):
     return M.dbscan(vectors(t), "vec_id", "v", 0.75, 5)
 
@@ -236,12 +269,18 @@ def kmeans(t):
     return M.kmeans(vectors(t), "vec_id", "v", 5, 10).select("vec_id", "cluster")
 
 
-@query("m02_m14_cluster_quality")
+CENTERS = """WITH v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, CASE WHEN label < 5 THEN 1 ELSE 0 END AS y FROM embeddings),
+u AS MATERIALIZED (SELECT y, unnest(range(1, len(e) + 1)) AS i, unnest(e) AS x FROM v), c AS MATERIALIZED (SELECT y, list(x ORDER BY i) AS c FROM (SELECT y, i, avg(x) AS x FROM u GROUP BY y, i) GROUP BY y), g AS (SELECT list(x ORDER BY i) AS g FROM (SELECT i, avg(x) AS x FROM u GROUP BY i)),
+s AS MATERIALIZED (SELECT v.y, count(*) AS n, avg(list_distance(e, c)) AS s, sum(pow(list_distance(e, c), 2)) AS w, any_value(c) AS c FROM v JOIN c USING (y) GROUP BY v.y)
+"""
+
+
+@query("m02_m14_cluster_quality", CENTERS + ", d AS (SELECT avg(r) AS db FROM (SELECT max((a.s + b.s) / list_distance(a.c, b.c)) AS r FROM s a JOIN s b ON a.y <> b.y GROUP BY a.y)), h AS (SELECT sum(n * pow(list_distance(c, g), 2)) / (count(*) - 1) / (sum(w) / (sum(n) - count(*))) AS ch FROM s, g) SELECT round(db, 6) AS davies_bouldin, round(ch, 6) AS calinski_harabasz FROM d, h")
 def quality(t):
-    return rounded(M.cluster_quality(M.kmeans(vectors(t), "vec_id", "v", 3, 5), "cluster", "v"), 6)
+    return rounded(M.cluster_quality(vectors(t), "y", "v"), 6)
 
 
-@query("m14_silhouette")
+@query("m14_silhouette", NN + ", m AS (SELECT a, ya, avg(d) FILTER (WHERE ya = yb) AS i, avg(d) FILTER (WHERE ya <> yb) AS o FROM d GROUP BY a, ya) SELECT round(avg((o - i) / greatest(i, o)), 6) AS silhouette FROM m")
 def silhouette(t):
     return rounded(M.silhouette(vectors(t), "vec_id", "v", "y"), 6)
 
@@ -264,21 +303,20 @@ def forest(t):
     return rounded(f.select("fire", M.grow_forest(f, COLS, "fire", "id", 3, 3).alias("p")).groupBy("fire").agg(F.avg("p").alias("mean_vote")), 6)
 
 
-def assembled(t):
-    return VectorAssembler(inputCols=COLS, outputCol="x").transform(t.features)
-
-
 @query("m18_logistic")
 def logistic(t):
-    df = assembled(t)
-    m = LogisticRegression(featuresCol="x", labelCol="fire", maxIter=20).fit(df)
-    return rounded(m.transform(df).select("id", vector_to_array("probability")[1].alias("p")), 6)
+    return rounded(M.predict(M.fit_model(t.features, COLS, "fire", "logistic", maxIter=20), t.features).select("id", F.col("proba").alias("p")), 6)
 
 
 @query("m18_forest_importance")
 def importance(t):
-    m = RandomForestClassifier(featuresCol="x", labelCol="fire", numTrees=8, maxDepth=4, featureSubsetStrategy="all", seed=1).fit(assembled(t))
-    return t.spark.createDataFrame([(c, round(float(v), 4)) for c, v in zip(COLS, m.featureImportances.toArray(), strict=True)], "feature string, importance double")
+    m = M.fit_model(t.features, COLS, "fire", "forest", numTrees=8, maxDepth=4, featureSubsetStrategy="all", seed=1)
+    return rounded(t.spark.createDataFrame(M.importances(m, COLS), "feature string, importance double"), 4)
+
+
+@query("m18_boosted_cross_validation")
+def boosted(t):
+    return rounded(M.cross_validate(t.features, COLS, "fire", "id", 2, "boosted", maxIter=3, maxDepth=3, seed=1), 4)
 
 
 @query("n01_target_size", "SELECT 2333 AS a, 1 AS b, 500 AS c")
@@ -325,16 +363,18 @@ def plan(t):
     return rounded(R.management_plan(R.zone_profile(t.scored, "cluster", "proba", "y_true"), "cluster"), 6)
 
 
-@query("r07_model_comparison", ", m AS (SELECT fold, avg(CASE WHEN (proba >= 0.5) = (y_true = 1) THEN 1e0 ELSE 0e0 END) AS a FROM scored GROUP BY fold) SELECT arg_max(fold, (a, -fold)) AS best, round(max(a), 6) AS accuracy FROM m", "scored")
+@query("r07_model_comparison", CELLS + """, m AS (SELECT fold, (tp + tn) / CAST(tp + fp + fn + tn AS DOUBLE) AS accuracy, 2 * tp / CAST(2 * tp + fp + fn AS DOUBLE) AS f1 FROM c)
+SELECT 'accuracy' AS metric, arg_max(fold, (accuracy, -fold)) AS best, round(max(accuracy), 6) AS value, round(avg(accuracy), 6) AS mean, round(stddev_pop(accuracy), 6) AS std FROM m UNION ALL SELECT 'f1', arg_max(fold, (f1, -fold)), round(max(f1), 6), round(avg(f1), 6), round(stddev_pop(f1), 6) FROM m""", "scored")
 def comparison(t):
-    m = M.threshold_metrics(t.scored, "y_true", "proba", 0.5, ["fold"])
-    return rounded(m.agg(F.max_by("fold", F.struct(F.col("accuracy"), -F.col("fold"))).alias("best"), F.max("accuracy").alias("accuracy")), 6)
+    return rounded(R.comparison(M.threshold_metrics(t.scored, "y_true", "proba", 0.5, ["fold"]), "fold", ["accuracy", "f1"]), 6)
 
 
-@query("r08_summary", ", p AS (SELECT cluster, count(*) AS n FROM scored GROUP BY cluster) SELECT arg_max(cluster, (n, -cluster)) AS largest, arg_min(cluster, (n, cluster)) AS smallest FROM p", "scored")
+@query("r08_summary", f""", o AS (SELECT CAST(count(*) AS DOUBLE) AS rows, avg(proba) AS mean_risk, 100 * avg(CASE WHEN {LEVEL} = 'Low' THEN 1 ELSE 0 END) AS pct_low, 100 * avg(CASE WHEN {LEVEL} = 'Medium' THEN 1 ELSE 0 END) AS pct_medium, 100 * avg(CASE WHEN {LEVEL} = 'High' THEN 1 ELSE 0 END) AS pct_high,
+100.0 * count(*) FILTER (WHERE proba >= 0.5 AND y_true = 0) / count(*) FILTER (WHERE proba >= 0.5) AS pct_false_alarms FROM scored), n AS (SELECT cluster, count(*) AS n FROM scored GROUP BY cluster),
+e AS (SELECT CAST(count(*) AS DOUBLE) AS zones, CAST(arg_max(cluster, (n, -cluster)) AS DOUBLE) AS largest, CAST(arg_min(cluster, (n, cluster)) AS DOUBLE) AS smallest FROM n), b AS (SELECT * FROM o, e)
+SELECT metric, round(value, 6) AS value FROM (""" + " UNION ALL ".join(f"SELECT '{c}' AS metric, CAST({c} AS DOUBLE) AS value FROM b" for c in ("rows", "mean_risk", "pct_low", "pct_medium", "pct_high", "pct_false_alarms", "zones", "largest", "smallest")) + ")", "scored")
 def summary(t):
-    p = t.scored.groupBy("cluster").agg(F.count("*").alias("n"))
-    return p.agg(F.max_by("cluster", F.struct(F.col("n"), -F.col("cluster"))).alias("largest"), F.min_by("cluster", F.struct("n", "cluster")).alias("smallest"))
+    return rounded(R.summary_table(t.scored, "cluster", "proba", "y_true"), 6)
 
 
 # sources and sinks, as round trips

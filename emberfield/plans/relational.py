@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -158,9 +157,9 @@ def scores(t):
     return a.join(b, "cluster", "left")
 
 
-@query("j17_outer_align", "SELECT coalesce(a.cell, b.cell) AS cell, coalesce(a.month, b.month) AS month, a.prec, b.tmax FROM (SELECT * FROM climate WHERE cell < 15) a FULL JOIN (SELECT * FROM climate WHERE cell > 10) b ON a.cell = b.cell AND a.month = b.month", "climate")
+@query("j17_outer_align", "SELECT coalesce(a.cell, b.soil_id) AS cell, a.tmax, b.sand FROM (SELECT cell, max(tmax) AS tmax FROM climate GROUP BY cell) a FULL JOIN soil b ON a.cell = b.soil_id", "climate", "soil")
 def outer(t):
-    return t.climate.where("cell < 15").select("cell", "month", "prec").join(t.climate.where("cell > 10").select("cell", "month", "tmax"), ["cell", "month"], "full")
+    return t.climate.groupBy("cell").agg(F.max("tmax").alias("tmax")).join(t.soil.select(F.col("soil_id").alias("cell"), "sand"), "cell", "full")
 
 
 # aggregations
@@ -222,12 +221,12 @@ def fire_rate(t):
 
 
 @query("a16_time_series", """
-, d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM fires WHERE type = 0 AND id % 29 = 0 GROUP BY 1), a AS (SELECT CAST(min(ts) AS DATE) AS lo, CAST(max(ts) AS DATE) AS hi FROM fires)
+, d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM fires GROUP BY 1), a AS (SELECT CAST(min(ts) AS DATE) AS lo, CAST(max(ts) AS DATE) AS hi FROM fires)
 SELECT CAST(g.day AS DATE) AS day, CAST(coalesce(d.n, 0) AS BIGINT) AS n FROM (SELECT unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS day FROM a) g LEFT JOIN d ON d.day = CAST(g.day AS DATE)""", "fires")
 def series(t):
     f = t.fires
     days = f.agg(F.to_date(F.min("ts")).alias("lo"), F.to_date(F.max("ts")).alias("hi")).select(F.explode(F.sequence("lo", "hi")).alias("day"))
-    return days.join(f.where("type = 0 and id % 29 = 0").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n")), "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
+    return days.join(f.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n")), "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("a17_histogram", """
@@ -298,10 +297,9 @@ def gap_fill(t):
     return T.fill_nearest(t.dem.select("r", "c", "z"), ["r"], "c", "z", 2)
 
 
-@query("w07_cdf_ranks", "SELECT r, c, round((row_number() OVER (ORDER BY z, r, c) - 0.5) / count(*) OVER (), 6) AS p FROM dem WHERE r = 7 AND z IS NOT NULL", "dem")
+@query("w07_cdf_ranks", "SELECT r, c, round((row_number() OVER (ORDER BY z, r, c) - 0.5) / count(*) OVER (), 6) AS p FROM dem WHERE z IS NOT NULL", "dem")
 def cdf(t):
-    one = t.dem.where("r = 7 and z is not null")  # one row of the grid, as asked: its window is one group
-    return rounded(one.select("r", "c", ((F.row_number().over(Window.partitionBy("r").orderBy("z", "c")) - 0.5) / F.count("*").over(Window.partitionBy("r"))).alias("p")), 6)
+    return rounded(T.cdf_ranks(t.dem.select("r", "c", "z"), "z", [F.col("r"), F.col("c")]).drop("z"), 6)
 
 
 # samples and order
@@ -428,8 +426,8 @@ def label01(t):
 @query("f13_unit_conversion", "SELECT cell, month, round(CASE WHEN (SELECT median(tmax + 273.15e0) FROM climate) > 150 THEN tmax + 273.15e0 - 273.15e0 ELSE tmax END, 4) AS tmax FROM climate", "climate")
 def units(t):
     k = t.climate.select("cell", "month", (F.col("tmax") + 273.15).alias("tmax"))
-    med = k.agg(F.percentile("tmax", 0.5).alias("m"))
-    return rounded(k.crossJoin(F.broadcast(med)).select("cell", "month", F.when(F.col("m") > 150, F.col("tmax") - 273.15).otherwise(F.col("tmax")).alias("tmax")), 4)
+    med = exact_percentiles(k, ["tmax"], [0.5])["tmax"][0]
+    return rounded(k.select("cell", "month", F.when(F.lit(med) > 150, F.col("tmax") - 273.15).otherwise(F.col("tmax")).alias("tmax")), 4)
 
 
 @query("f14_log1p", "SELECT cell, month, round(ln(1 + greatest(prec - 14, 0)), 6) AS x FROM climate WHERE prec IS NOT NULL UNION ALL SELECT cell, month, NULL FROM climate WHERE prec IS NULL", "climate")

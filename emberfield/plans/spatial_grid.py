@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import grid as G, sampling as N, spatial as X
+from ..operators.quantiles import exact_percentiles
+from ..session import materialize
 from .registry import query, rounded
 
 NEAR = """, d AS (SELECT f.id, s.sid, sqrt(pow(f.latitude - s.latitude, 2) + pow(f.longitude - s.longitude, 2)) AS dist, s.elevation, s.slope, s.label FROM fires f, stations s WHERE f.id % 10 = 0),
@@ -27,9 +29,9 @@ def knn(t):
     return rounded(rounded(out, 4, "slope"), 6, "knn_mean_dist")
 
 
-def zones(t):
+def zones(t, table="zones"):
     c = F.col
-    return t.zones.withColumn("ring", X.box_ring(c("x0"), c("y0"), c("x1"), c("y1")))
+    return getattr(t, table).withColumn("ring", X.box_ring(c("x0"), c("y0"), c("x1"), c("y1")))
 
 
 @query("j05_point_in_polygon", "SELECT f.id, z.zone FROM fires f JOIN zones z ON longitude > x0 AND longitude < x1 AND latitude > y0 AND latitude < y1", "fires", "zones")
@@ -38,10 +40,10 @@ def in_polygon(t):
     return X.points_in_polygons(t.fires, zones(t), "id", "zone")
 
 
-@query("j06_polygon_anti_join", "SELECT zone FROM zones WHERE zone NOT IN (SELECT z.zone FROM fires f JOIN zones z ON f.id % 800 = 0 AND longitude > x0 AND longitude < x1 AND latitude > y0 AND latitude < y1)", "fires", "zones")
+@query("j06_polygon_anti_join", "SELECT zone FROM areas WHERE zone NOT IN (SELECT z.zone FROM fires f JOIN areas z ON longitude > x0 AND longitude < x1 AND latitude > y0 AND latitude < y1)", "fires", "areas")
 def anti_polygon(t):
-    hit = X.points_in_polygons(t.fires.where("id % 800 = 0"), zones(t), "id", "zone")
-    return t.zones.select("zone").join(hit.select("zone").distinct(), "zone", "left_anti")
+    hit = X.points_in_polygons(t.fires, zones(t, "areas"), "id", "zone")
+    return t.areas.select("zone").join(hit.select("zone").distinct(), "zone", "left_anti")
 
 
 @query("j07_raster_nearest", "SELECT f.id, d.z FROM fires f LEFT JOIN dem d ON d.r = greatest(0, least(49, CAST(round((latitude - 20) / 0.34e0) AS INT))) AND d.c = greatest(0, least(39, CAST(round((longitude + 8) / 0.5e0) AS INT)))", "fires", "dem")
@@ -69,7 +71,9 @@ def exclusion(t):
 SELECT round(min(m), 6) AS lo, round(median(m), 6) AS med, round(avg(m), 6) AS mean FROM d""", "stations")
 def self_nearest(t):
     d = X.k_nearest(t.stations, t.stations.withColumnRenamed("sid", "other"), "sid", "other", 1, exclude_self=True)
-    return rounded(d.agg(F.min("dist").alias("lo"), F.percentile("dist", 0.5).alias("med"), F.avg("dist").alias("mean")), 6)
+    d = materialize(d.select("dist"), "distances")
+    med = exact_percentiles(d, ["dist"], [0.5])["dist"][0]
+    return rounded(d.agg(F.min("dist").alias("lo"), F.lit(med).cast("double").alias("med"), F.avg("dist").alias("mean")), 6)
 
 
 @query("j16_cell_overlap_dominant", """, g AS (SELECT i, j FROM (SELECT unnest(range(0, 16)) AS i), (SELECT unnest(range(0, 20)) AS j)),
@@ -88,23 +92,26 @@ def density(t):
     return t.fires.groupBy("month", f.alias("r"), F.floor((F.col("longitude") + 8) / 0.5).cast("int").alias("c")).agg(F.count("*").alias("n"))
 
 
-@query("a21_edge_gradients", "SELECT round(avg(z) FILTER (WHERE r >= 40) - avg(z) FILTER (WHERE r < 10), 4) AS rows_gradient, round(avg(z) FILTER (WHERE c >= 30) - avg(z) FILTER (WHERE c < 10), 4) AS cols_gradient FROM dem", "dem")
+@query("a21_edge_gradients", ", e AS (SELECT min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM dem) SELECT round(avg(z) FILTER (WHERE r > r1 - 10) - avg(z) FILTER (WHERE r < r0 + 10), 4) AS rows_gradient, round(avg(z) FILTER (WHERE c > c1 - 10) - avg(z) FILTER (WHERE c < c0 + 10), 4) AS cols_gradient FROM dem, e", "dem")
 def edge_gradients(t):
-    m = lambda cond: F.avg(F.when(F.expr(cond), F.col("z")))
-    return rounded(t.dem.agg((m("r >= 40") - m("r < 10")).alias("rows_gradient"), (m("c >= 30") - m("c < 10")).alias("cols_gradient")), 4)
+    return rounded(G.edge_gradients(t.dem, "z", 10), 4)
+
+
+@query("a22_profiles", "SELECT 'r' AS axis, r AS at, CAST(count(z) AS BIGINT) AS n, round(avg(z), 4) AS mean FROM dem GROUP BY r UNION ALL SELECT 'c', c, CAST(count(z) AS BIGINT), round(avg(z), 4) FROM dem GROUP BY c", "dem")
+def profiles(t):
+    one = lambda axis: G.profile(t.dem, "z", axis).select(F.lit(axis).alias("axis"), F.col(axis).alias("at"), "n", "mean")
+    return rounded(one("r").unionByName(one("c")), 4)
 
 
 @query("a22_quadrants", "SELECT CASE WHEN r < 25 THEN 'N' ELSE 'S' END || CASE WHEN c < 20 THEN 'W' ELSE 'E' END AS quadrant, CAST(count(z) AS BIGINT) AS n, round(avg(z), 4) AS mean FROM dem GROUP BY 1", "dem")
 def quadrants(t):
-    q = F.concat(F.when(F.col("r") < 25, "N").otherwise("S"), F.when(F.col("c") < 20, "W").otherwise("E"))
-    return rounded(t.dem.groupBy(q.alias("quadrant")).agg(F.count("z").alias("n"), F.avg("z").alias("mean")), 4)
+    return rounded(G.quadrants(t.dem, "z", 50, 40), 4)
 
 
-@query("a23_zonal_area", "SELECT class, round(sum((x1 - x0) * (y1 - y0)), 4) AS area, round(avg(4 * pi() * (x1 - x0) * (y1 - y0) / pow(2 * ((x1 - x0) + (y1 - y0)), 2)), 6) AS compactness, CAST(count(*) AS BIGINT) AS n FROM zones GROUP BY class", "zones")
+@query("a23_zonal_area", """, a AS (SELECT class, (x1 - x0) * (y1 - y0) AS a, 2 * ((x1 - x0) + (y1 - y0)) AS p FROM zones)
+SELECT class, CAST(count(*) AS BIGINT) AS n, round(sum(a), 4) AS area, round(avg(a), 4) AS mean, round(min(a), 4) AS lo, round(max(a), 4) AS hi, round(stddev_samp(a), 4) AS std, round(sum(p), 4) AS perimeter, round(avg(4 * pi() * a / pow(p, 2)), 4) AS compactness FROM a GROUP BY class""", "zones")
 def zonal_area(t):
-    area, p = X.shoelace("ring"), X.perimeter("ring")
-    z = zones(t).where(X.valid_ring("ring")).select("class", area.alias("a"), (4 * F.lit(3.141592653589793) * area / (p * p)).alias("k"))
-    return z.groupBy("class").agg(F.round(F.sum("a"), 4).alias("area"), F.round(F.avg("k"), 6).alias("compactness"), F.count("*").alias("n"))
+    return rounded(X.zonal_statistics(zones(t), "class"), 4)
 
 
 @query("a24_class_area_pivot", "SELECT country, " + ", ".join(f"round(coalesce(sum(a) FILTER (WHERE class = {k}), 0), 4) AS class_{k}" for k in range(5)) + " FROM (SELECT CASE WHEN x0 < 2 THEN 'west' ELSE 'east' END AS country, class, (x1 - x0) * (y1 - y0) AS a FROM zones) GROUP BY country", "zones")
@@ -182,9 +189,11 @@ def resample(t):
     return G.resample(t.dem, "z", 2, 50, 40, False)
 
 
-@query("g08_resample_bilinear")
+@query("g08_resample_bilinear", """, e AS (SELECT max(r) AS r1, max(c) AS c1 FROM dem), t AS (SELECT i, j, greatest(0, least(r1, (i + 0.5e0) / 2 - 0.5e0)) AS y, greatest(0, least(c1, (j + 0.5e0) / 2 - 0.5e0)) AS x FROM (SELECT unnest(range(0, 100)) AS i), (SELECT unnest(range(0, 80)) AS j), e),
+w AS (SELECT i, j, z, (1 - abs(y - r)) * (1 - abs(x - c)) AS w FROM t JOIN dem ON abs(y - r) < 1 AND abs(x - c) < 1)
+SELECT CAST(i AS INT) AS r, CAST(j AS INT) AS c, round(sum(w * z) / sum(CASE WHEN z IS NOT NULL THEN w END), 4) AS z FROM w GROUP BY i, j""", "dem")
 def bilinear(t):
-    return G.resample(t.dem, "z", 2, 50, 40)
+    return rounded(G.resample(t.dem, "z", 2, 50, 40), 4)
 
 
 @query("g09_class_code_grid", "SELECT r, c, CAST(dense_rank() OVER (ORDER BY kind) AS INT) AS code FROM dem", "dem")
@@ -209,11 +218,13 @@ def aligned(t):
 
 
 # constrained samples: the rows are free, so the queries return what must hold
-@query("n02_random_negatives", "SELECT CAST(200 AS BIGINT) AS n, true AS far_enough")
+@query("n02_random_negatives", "SELECT CAST(200 AS BIGINT) AS n, true AS far_enough, true AS inside")
 def random_negatives(t):
-    neg = N.random_in_box(t.fires, 200, 5.0, seed=1).persist()
+    aoi = zones(t).where("class <> 3")
+    neg = materialize(N.random_in_box(t.fires, 200, 5.0, seed=1, aoi=aoi), "sample")
     near = X.within_km(neg, t.fires, "nid", "id", 5.0, S.haversine_km).where("km < 5")
-    return neg.agg(F.count("*").alias("n")).crossJoin(near.agg((F.count("*") == 0).alias("far_enough")))
+    inside = X.points_in_polygons(neg, aoi, "nid", "zone").agg((F.count_distinct("nid") == 200).alias("inside"))
+    return neg.agg(F.count("*").alias("n")).crossJoin(near.agg((F.count("*") == 0).alias("far_enough"))).crossJoin(inside)
 
 
 @query("n05_even_grid", "SELECT CAST(150 AS BIGINT) AS n, CAST(150 AS BIGINT) AS distinct_points")
@@ -227,10 +238,12 @@ def fixed_grid(t):
     return N.from_candidates(t.stations.withColumnRenamed("sid", "nid"), t.fires, None, 10.0).agg(F.count("*").alias("candidates"))
 
 
-@query("n08_ring_sample", "SELECT true AS inside_band")
+@query("n08_ring_sample", "SELECT CAST(300 AS BIGINT) AS n, true AS inside_band, true AS ring_in_band")
 def rings(t):
-    ring = N.ring_sample(t.fires, 1, 5.0, 10.0, seed=3)
-    return ring.agg(F.min("km").alias("lo"), F.max("km").alias("hi")).select(((F.col("lo") >= 4.9) & (F.col("hi") <= 10.1)).alias("inside_band"))
+    ring = N.ring_sample(t.fires, 1, 5.0, 10.0, seed=3).agg(F.min("km").alias("lo"), F.max("km").alias("hi"))
+    some = materialize(N.valid_ring_sample(t.fires, 300, 3.0, 10.0, seed=3), "sample")
+    near = X.within_km(some, t.fires, "nid", "id", 10.2, S.haversine_km).groupBy("nid").agg(F.min("km").alias("km")).agg(((F.min("km") >= 3) & (F.count("*") == 300)).alias("inside_band"))
+    return some.agg(F.count("*").alias("n")).crossJoin(near).crossJoin(ring.select(((F.col("lo") >= 4.9) & (F.col("hi") <= 10.1)).alias("ring_in_band")))
 
 
 @query("n09_spread_sample", "SELECT true AS apart, true AS maximal")
@@ -243,10 +256,13 @@ def spread(t):
     return pairs.agg((F.count("*") == 0).alias("apart")).crossJoin(free.agg((F.count("*") == 0).alias("maximal")))
 
 
-@query("n10_dataset_assembly", "SELECT fire, CAST(count(*) AS BIGINT) AS n FROM (SELECT 1 AS fire FROM fires UNION ALL SELECT 0 FROM stations) GROUP BY fire", "fires", "stations")
+KEYED = """, a AS (SELECT 1 AS fire, latitude, longitude FROM fires UNION ALL SELECT 0, latitude, longitude FROM stations), k AS (SELECT max(fire) AS fire, count(*) AS n FROM a GROUP BY printf('%.5f', latitude), printf('%.5f', longitude))
+"""
+
+
+@query("n10_dataset_assembly", KEYED + "SELECT CAST(count(*) FILTER (WHERE fire = 1) AS BIGINT) AS positives, CAST(count(*) FILTER (WHERE fire = 0) AS BIGINT) AS negatives, CAST(sum(n) - count(*) AS BIGINT) AS duplicates, round(avg(fire), 6) AS share FROM k", "fires", "stations")
 def assembly(t):
-    from ..operators import layers, tables
+    pos = t.fires.select("latitude", "longitude", "frp", "country")
+    return rounded(N.assemble(pos, t.stations.select("latitude", "longitude"))[1], 6)
+
 
-    pos = t.fires.select("latitude", "longitude", "frp", "country", F.lit(1).alias("fire"))
-    both = tables.union_all(pos, t.stations.select("latitude", "longitude", F.lit(0).alias("fire")))
-    return layers.fill_negative_metadata(both).groupBy("fire").agg(F.count("*").alias("n"))

@@ -33,12 +33,13 @@ def test_labels(spark):
     assert [r["y"] for r in df.collect()] == [1, 0, 1, None, None]
 
 
-def test_symmetric_outlier_becomes_the_mean_of_the_rest(spark):
-    xs = [10, 12, 11, 13, 12, 11, 100, 10, 12, 11]
-    out, d = C.impute_smart(values(spark, xs), "x")
-    rest = [x for x in xs if x != 100]
-    want = np.median(rest) if not d.symmetric else np.mean(rest)
-    assert sorted(r["x"] for r in out.collect())[-2:] == sorted([*rest, want])[-2:]
+def test_outliers_become_the_mean_or_median_of_the_rest(spark):
+    even = [21.0, 24.0, 22.5, 25.5, 27.0, 400.0, -350.0]  # fewer than ten values count as symmetric: the mean
+    out, d = C.impute_smart(values(spark, even), "x")
+    assert d.symmetric and sorted(r["x"] for r in out.collect()) == [21.0, 22.5, 24.0, 24.0, 24.0, 25.5, 27.0]
+    skewed = [3.0, 4.0, 4.0, 5.0, 5.0, 5.0, 6.0, 6.0, 7.0, 7.0, 900.0]  # the median
+    out, d = C.impute_smart(values(spark, skewed), "x")
+    assert not d.symmetric and max(r["x"] for r in out.collect()) == 7.0 and sorted(r["x"] for r in out.collect())[4] == 5.0
 
 
 def test_few_values_are_not_categorical(spark):
@@ -171,3 +172,163 @@ def test_grid_columns(spark):
 def test_legend_of_values(spark, tmp_path):
     (tmp_path / "legend.csv").write_text("Value, Label \n1,forest\n1,forest\nbad,x\n2,\n")
     assert sorted(map(tuple, io.read_legend(spark, str(tmp_path / "legend.csv")).collect())) == [(1, "forest", None), (2, None, None)]
+
+
+def places(spark, a, name="id"):
+    return spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(a)], f"{name} long, latitude double, longitude double")
+
+
+def great_circle(p, s):
+    (a1, o1), (a2, o2) = (np.radians(x).T for x in (p, s))
+    h = np.sin((a2[None] - a1[:, None]) / 2) ** 2 + np.cos(a1)[:, None] * np.cos(a2)[None] * np.sin((o2[None] - o1[:, None]) / 2) ** 2
+    return 2 * 6371 * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
+
+
+@pytest.mark.parametrize(("center", "km"), [((45, 10), 10), ((80, 10), 10), ((89.9, 0), 15), ((10, 180), 10), ((-88, 179), 30), ((0, 0), 4000)])
+def test_within_km_is_brute_force(spark, center, km):
+    rng = np.random.default_rng(int(km))
+    spread = 0.4 if km < 100 else 60
+    make = lambda n: np.column_stack((np.clip(center[0] + rng.uniform(-spread, spread, n), -90, 90), (center[1] + rng.uniform(-spread, spread, n) / max(0.01, math.cos(math.radians(center[0]))) + 180) % 360 - 180))
+    p, s = make(60), make(80)
+    got = {(r["id"], r["sid"]) for r in X.within_km(places(spark, p), places(spark, s, "sid"), "id", "sid", km, S.haversine_km).collect()}
+    d = great_circle(p, s)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(d <= km), strict=True)}
+    close = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.abs(d - km) < 1e-6), strict=True)}
+    assert want and got ^ want <= close
+
+
+def test_k_nearest_with_far_points_and_a_dense_cell(spark):
+    rng = np.random.default_rng(4)
+    s = np.concatenate((rng.normal(0, 1e-4, (1500, 2)), rng.uniform(-5, 5, (40, 2)), np.zeros((30, 2))))
+    p = np.concatenate((rng.uniform(-6, 6, (20, 2)), rng.normal(0, 1e-4, (20, 2)), [[85.0, 170.0], [-80.0, -179.0]]))
+    got = {(r["id"], r["rank"]): r["sid"] for r in X.k_nearest(places(spark, p), places(spark, s, "sid"), "id", "sid", 3).collect()}
+    d = np.sqrt(((p[:, None] - s[None]) ** 2).sum(2))
+    for i in range(len(p)):
+        assert [got[i, r + 1] for r in range(3)] == np.lexsort((np.arange(len(s)), d[i]))[:3].tolist()
+
+
+def test_running_sums_and_ranks_in_ranges(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, None if i % 7 == 0 else "a" if i % 3 else "b", int(v)) for i, v in enumerate(rng.integers(0, 50, 400))]
+    df = spark.createDataFrame(rows, "id long, g string, v long").repartition(5)
+    want, total = {}, {}
+    for i, g, v in sorted(rows, key=lambda r: (-r[2], r[0])):
+        total[g] = total.get(g, 0) + v
+        want[i] = total[g]
+    assert {r["id"]: r["t"] for r in T.running(df, ["g"], [F.desc("v"), F.col("id")], {"t": "v"}).collect()} == want
+    p = {r["id"]: r["p"] for r in T.cdf_ranks(df, "v", [F.col("id")]).collect()}
+    assert p == {i: pytest.approx((k + 0.5) / 400) for k, (i, _, _) in enumerate(sorted(rows, key=lambda r: (r[2], r[0])))}
+
+
+def test_samples_of_classes(spark):
+    df = spark.createDataFrame([(i, i % 10 == 0) for i in range(1000)], "id long, y boolean").selectExpr("id", "cast(y as int) as y")
+    count = lambda d: {r["y"]: r["count"] for r in d.groupBy("y").count().collect()}
+    assert count(T.stratified_sample(df, "y", "id", 100)) == {0: 90, 1: 10}
+    assert count(T.undersample(df, "y", "id")) == {0: 100, 1: 100}
+    assert count(M.train_test_split(df, "y", "id").where("is_test")) == {0: 180, 1: 20}
+    many = M.train_test_split(df.withColumn("z", F.col("id") % 50), "z", "id")
+    assert many.where("is_test").count() == 200  # too many classes: the whole table is split
+    assert T.undersample(df.where("false"), "y", "id").count() == 0
+
+
+def test_kmeans_is_lloyds(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(c, 0.5, (30, 2)) for c in ((0, 0), (5, 5), (0, 6))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    start = [r["id"] for r in df.orderBy(F.xxhash64("id"), "id").limit(3).collect()]
+    c = x[start]
+    for _ in range(50):
+        near = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        c = np.array([x[near == k].mean(0) if (near == k).any() else np.zeros(2) for k in range(3)])
+    assert np.allclose(M.kmeans_centers(df, "id", "v", 3, 50), c)
+    assert M.inertia(df, "v", c.tolist()) == pytest.approx(((x[:, None] - c[None]) ** 2).sum(2).min(1).sum())
+    assert M.kmeans(df.where("false"), "id", "v", 3).count() == 0 and M.kmedoids(df.where("false"), "id", "v", 3).count() == 0
+    got = M.kmedoids(df, "id", "v", 3).groupBy("cluster").count().collect()
+    assert sorted(r["count"] for r in got) == [30, 30, 30]
+    grid = M.dbscan_grid(df.withColumn("y", F.floor(F.col("id") / 30).cast("int")), "id", "v", [0.01, 1.0], [4], "y")
+    assert [r["best"] for r in grid] == [False, True] and grid[1]["score"] > 0.8
+
+
+def test_smote_lies_between_neighbours(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 3))
+    df = spark.createDataFrame([(i, v.tolist(), int(i < 12)) for i, v in enumerate(x)], "id long, v array<double>, y int")
+    out = M.smote(df, "id", "v", "y", 1, 25, k=4).collect()
+    assert len(out) == 25
+    for r in out:
+        near = np.argsort(((x[:12] - x[r["base"]]) ** 2).sum(1), kind="stable")[1:5]
+        assert r["other"] in near.tolist()
+        assert np.allclose(r["v"], x[r["base"]] + r["u"] * (x[r["other"]] - x[r["base"]]))
+    assert M.smote(df.where("id <> id or id > 10 and id < 13"), "id", "v", "y", 1, 5).count() == 0
+    both = M.smote_tomek(df, "id", "v", "y", 1)
+    assert M.tomek_links(both, "id", "v", "y").count() == 0 or both.count() < 56
+
+
+def test_adjusted_mutual_information_against_all_tables(spark):
+    from itertools import permutations
+
+    a, b = [0, 0, 0, 1, 1, 2], [1, 1, 0, 0, 0, 1]
+
+    def mi(x, y):
+        n = len(x)
+        return sum(c / n * math.log(n * c / (x.count(i) * y.count(j))) for i in set(x) for j in set(y) if (c := sum(p == (i, j) for p in zip(x, y, strict=True))))
+
+    h = lambda x: mi(x, x)
+    e = np.mean([mi(a, list(p)) for p in permutations(b)])
+    df = spark.createDataFrame(list(zip(a, b, strict=True)), "a int, b int")
+    assert M.adjusted_mutual_information(df, "a", "b") == pytest.approx((mi(a, b) - e) / ((h(a) + h(b)) / 2 - e))
+
+
+def test_tree_takes_the_best_first_cut(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 8, (300, 2)).astype(float)
+    y = ((x[:, 0] > 4) ^ (rng.uniform(size=300) < 0.1)).astype(int)
+    df = spark.createDataFrame([(float(p), float(q), int(t)) for (p, q), t in zip(x, y, strict=True)], "a double, b double, y int")
+    nodes = M.grow_tree(df, ["a", "b"], "y", depth=1, least=1)
+    gini = lambda s: 2 * s.mean() * (1 - s.mean()) * len(s) if len(s) else 0.0
+    best = min((gini(y[x[:, f] <= c]) + gini(y[x[:, f] > c]), f, c) for f in (0, 1) for c in range(7))
+    assert (nodes[0]["feature"], nodes[0]["threshold"]) == ("ab"[best[1]], best[2])
+    assert M.grow_tree(df.where("false"), ["a"], "y")[0]["value"] == 0
+
+
+def test_shapiro_wilk(spark):
+    weights = [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]  # the example of the 1965 paper, W = 0.79
+    assert E.royston(np.array(weights, dtype=float))[0] == pytest.approx(0.79, abs=0.005)
+    rng = np.random.default_rng(0)
+    flat, bell = (E.shapiro_wilk(values(spark, x), "x", "id") for x in (rng.exponential(size=300), rng.normal(size=300)))
+    assert flat["p"] < 1e-6 and bell["p"] > 0.05 and bell["w"] > 0.98
+    assert E.shapiro_wilk(values(spark, [3.0] * 30), "x", "id") == {"w": None, "p": None}
+
+
+def test_tests_of_empty_or_one_sided_tables(spark):
+    df = spark.createDataFrame([(1.0, 1), (2.0, 1)], "x double, y int")
+    assert E.two_sample_t(df, "x", "y") == {"t": None, "p": None} and E.point_biserial(df, "x", "y")["p"] is None
+    assert E.two_sample_t(df.where("false"), "x", "y")["t"] is None
+    two = spark.createDataFrame([(0, 0)] * 8 + [(0, 1)] * 2 + [(1, 0)] * 3 + [(1, 1)] * 7, "a int, b int")
+    want = sum((abs(o - e) - 0.5) ** 2 / e for o, e in ((8, 5.5), (2, 4.5), (3, 5.5), (7, 4.5)))
+    assert E.chi_square(two, "a", "b", True).first()["chi2"] == pytest.approx(want)
+    with pytest.raises(ValueError):
+        N.random_in_box(spark.createDataFrame([], "id long, latitude double, longitude double"), 5, 1.0)
+
+
+def test_days_without_detections_count_zero(spark, tmp_path):
+    import datetime
+
+    from emberfield.plans import catalog
+
+    day = datetime.datetime(2024, 3, 1, 5)
+    rows = [(k, day + datetime.timedelta(days=d), 1, "a", 1.0, "{}") for k, d in enumerate((0, 0, 3))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted((r["day"].day, r["n"]) for r in catalog.queries()["a16_time_series"](spark, str(tmp_path)).collect())
+    assert got == [(1, 2), (2, 0), (3, 0), (4, 1)]
+
+
+def test_top_ups(spark):
+    fires = places(spark, [(30.0, 5.0), (30.5, 5.5)])
+    ring = [(5.0, 30.0), (5.5, 30.0), (5.5, 30.5), (5.0, 30.5), (5.0, 30.0)]
+    poly = spark.createDataFrame([(1, ring), (2, [(x + 2, y) for x, y in ring])], "zone int, ring array<struct<x: double, y: double>>")
+    got = N.polygons_with_interior(poly, fires, 10, 5.0, 0.1).collect()
+    assert len(got) == 10 and [r["nid"] for r in got][0] == 2  # polygon 2 has no detection: its centroid, then interior points
+    assert X.within_km(spark.createDataFrame(got), fires, "nid", "id", 5.0, S.haversine_km).where("km < 5").count() == 0
+    few = N.even_grid(fires, 30, 1.0, refinements=1)
+    assert few.count() == 30 and few.select("nid").distinct().count() == 30
