@@ -10,7 +10,9 @@ One narrow map: a partition packs its own documents, `pool` remainders at a time
 Step groups gather windows of one tier up to `step_tokens`, so that every group holds the same number of tokens
 (but for the last of each tier and partition).
 
-Null or empty text: the closing id alone. Null doc_id and repeated rows: packed like any row.
+Null or empty text: the closing id alone. Null doc_id and repeated rows: packed like any row. Remainders that tie in length are
+taken by their order in the partition. An empty table: no pieces. A very long text is encoded whole in its task and cut into
+windows. Only doc_id and text are looked at, so other columns may have any name.
 """
 
 from __future__ import annotations

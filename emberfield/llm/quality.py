@@ -6,7 +6,9 @@ rules, and those of weight zero go. The rest compile into one Spark column expre
 join, no shuffle, no Python.
 
 Null text counts as empty. Labels that are null take no part; of rows that repeat a doc_id, one trains for each label it has.
-Without labels of both classes the score is the share of label 1 (1 where there is none).
+Without labels of both classes the score is the share of label 1 (1 where there is none). A score of exactly 1/2 predicts 1. An
+empty table: no rows. A very long text is one row of statistics, in its task. Repeated rows and null doc_ids: a score each. Other
+columns may have any name.
 """
 
 from __future__ import annotations

@@ -371,6 +371,80 @@ def test_training_rows_are_bounded_and_repeats_count_once(spark):
     assert {r["predicted"] == r["doc_id"] % 2 for r in quality.score(docs, model).collect()} == {True}
 
 
+def test_statistics_against_python(spark, docs, rows):
+    from math import log
+
+    texts = [t for _, t in rows] + ["A|b?c.d!e, F9 #$%&*", "a a b\nb b\n\n", "é É ß"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for r in quality.with_statistics(df).select("row.i", "stats.*").collect():
+        t = texts[r["i"]] or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        n, c, some = max(len(w), 1), max(len(t), 1), lambda chars: sum(x in chars for x in t)  # noqa: B023, E731
+        want = {
+            "chars": len(t), "words": len(w), "word_length": len(t) / n, "upper": some("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / c, "digits": some("0123456789") / c, "bang": some("!") / n,
+            "symbols": some("#$%&*") / c, "pipes": some("|") / n, "stops": some(".?") / n, "commas": some(",") / n, "lines": some("\n") / n,
+            "herdan": log(len(set(w)) + 1) / log(len(w) + 2), "adjacent": sum(p == q for p, q in zip(w, w[1:], strict=False)) / n,
+        }
+        assert set(want) == set(quality.NAMES)
+        for k, v in want.items():
+            assert r[k] == pytest.approx(v, abs=1e-12), (k, t[:40])
+
+
+def test_lasso_weights_are_an_optimum():
+    """The conditions of a minimum of weighted logistic loss + penalty * |w| over standardised rules."""
+    rng = np.random.default_rng(4)
+    x = rng.uniform(0, 1, (300, len(quality.NAMES)))
+    y = ((x[:, 1] > 0.4) & (rng.uniform(size=300) < 0.9)).astype(float)
+    penalty = 0.01
+    model = quality.fit_rules(x, y, penalty=penalty, steps=6000)
+    a = np.column_stack([r.holds(x) for r in model.rules]).astype(float)
+    scale = np.maximum(a.std(axis=0), 1e-3)
+    weight = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
+    r = weight / weight.sum() * (model.score(x) - y)
+    assert abs(r.sum()) < 1e-4
+    assert np.allclose(((a - a.mean(axis=0)) / scale).T @ r, -penalty * np.sign(model.weights), atol=1e-4)
+
+
+def test_scores_at_the_threshold_and_of_an_empty_table(spark):
+    model = quality.RuleEnsemble(0.0)  # every score is 1/2
+    df = spark.createDataFrame([(1, "a"), (None, None), (1, "a")], "doc_id long, text string")
+    assert [(r["score"], r["predicted"]) for r in quality.score(df, model).collect()] == [(0.5, 1)] * 3
+    assert quality.keep_good(df, model).count() == 3 and quality.score(df.where("false"), model).count() == 0
+
+
+def test_nulls_and_repeated_rows(spark):
+    """Each row counts on its own: token counts, pieces, scores, items."""
+    t = Tokenizer.from_file(BPE)
+    odd = [(None, "one two three"), (5, "x y"), (5, "x y"), (5, "other text"), (6, None), (None, None)]
+    df = spark.createDataFrame([(i, x, 1, "w") for i, x in odd], "doc_id long, text string, n_tokens int, ids string")
+    n = lambda x: len(t.encode(x or "", add_special_tokens=False).ids)
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in token_counts.count_tokens(df, BPE).collect()) == Counter((i, len(x or ""), n(x)) for i, x in odd)
+    pieces = packing.pack(df, BPE).collect()
+    assert sum(r["length"] for r in pieces) == sum(n(x) + 1 for _, x in odd)
+    assert Counter(r["doc_id"] for r in pieces if r["start"] == 0) == Counter(i for i, _ in odd)
+    scores = pseudo_likelihood.score(df, vocabulary=5, rounds=1).collect()
+    assert Counter((r["doc_id"], r["n_words"]) for r in scores) == Counter((i, len(words_in(x))) for i, x in odd)
+    assert len({round(r["log_prob"], 6) for r in scores if r["doc_id"] == 5}) == 2 and all(r["mean_log_prob"] is None for r in scores if not r["n_words"])
+    bench = spark.createDataFrame([(1, "x y"), (2, "one two three")], "item_id long, text string")
+    got = Counter((r["doc_id"], tuple(x["item_id"] for x in r["items"])) for r in tiling.decontaminate(df, bench).collect())
+    assert got == {(None, (2,)): 1, (5, (1,)): 2, (5, ()): 1, (6, ()): 1, (None, ()): 1}
+
+
+def test_pages_without_id_and_very_long(spark):
+    big = "b" * 700_000
+    df = spark.createDataFrame([(None, "u", big), (2, "u", big), (None, "u", big), (3, "u", big)], "page_id long, url string, html string")
+    got = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(df).collect())
+    assert got == {(None, len(big), "response", None): 2, (2, len(big), "response", None): 1, (3, len(big), "revisit", 2): 1}
+
+
+def test_many_equal_rows_keep_one_list_of_spans(spark):
+    words = " ".join(f"w{k}" for k in range(80))
+    df = spark.createDataFrame([(None, words)] * 40 + [(7, words)], "doc_id long, text string").repartition(4)
+    spans = substrings.repeated_spans(substrings._keyed(df)).collect()
+    assert len(spans) == 2 and all(len(r["spans"]) < 80 for r in spans)
+    assert {r["n_removed"] for r in substrings.remove_repeats(df).collect()} == {80}
+
+
 def test_rules_as_columns_are_the_model(spark):
     rng = np.random.default_rng(0)
     x = rng.uniform(0, 1, (400, len(quality.NAMES)))
@@ -607,6 +681,27 @@ def test_tiles():
         assert tiling.greedy_tiles(item, doc, 3) == slow_tiles(item, doc, 3)
 
 
+def test_long_repetitive_texts_tile_fast():
+    import time
+
+    rng = random.Random(9)
+    item = ["x", *["same"] * 60, "y", *["same"] * 60, "z", *["a", "b"] * 15]
+    doc = ["same"] * 12_000 + ["a", "b"] * 4000
+    finder = tiling.Finder([(k, " ".join(item)) for k in range(3)], 5)
+    began = time.process_time()
+    tiles = tiling.greedy_tiles(item, doc, 5)
+    best, hit = finder.covered(" ".join(doc).encode(), 0.8)
+    assert time.process_time() - began < 3
+    assert [n for *_, n in tiles] == [60, 60, 30] and best == pytest.approx(150 / 153) and len(hit) == 3
+    for _ in range(60):  # the bound never hides an item
+        items = [[rng.choice("abc") for _ in range(rng.randint(1, 12))] for _ in range(4)]
+        doc = [rng.choice("abc") for _ in range(rng.randint(0, 40))]
+        f = tiling.Finder([(k, " ".join(w)) for k, w in enumerate(items)], 3)
+        share = [sum(n for *_, n in slow_tiles(w, doc, 3)) / len(w) for w in items]
+        best, hit = f.covered(" ".join(doc).encode(), 0.8)
+        assert best == pytest.approx(max(share)) and [k for k, *_ in hit] == [k for k, x in enumerate(share) if x >= 0.8 - 1e-12]
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))

@@ -54,3 +54,24 @@ def test_pipeline_of_an_empty_table(spark):
         out = stage(spark, docs, SF)
         docs = out if "text" in out.columns else docs
         assert out.count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Null text, null doc_id, repeated rows, a very long text: each stage gives what its docstring says."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = docs.where("length(text) between 300 and 2000").orderBy("doc_id").limit(3).collect()
+    long = " ".join(f"word{k} here." for k in range(30_000))
+    rows = [(None, good[0]["text"]), (1, None), (2, ""), (3, good[1]["text"]), (3, good[1]["text"]), (4, good[1]["text"]), (5, long), (6, good[2]["text"] + " mail a.b@mail.example")]
+    odd = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], docs.schema)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality classifier"](spark, odd, SF)
+    assert kept.columns == docs.columns and kept.count() <= len(rows)
+    once = stages["near duplicates"](spark, odd, SF).collect()
+    assert sorted((r["doc_id"] or 0) for r in once) == [0, 1, 2, 3, 3, 5, 6]
+    clean = stages["benchmark decontamination"](spark, odd, SF)
+    assert {1, 2, 5} <= {r["doc_id"] for r in clean.collect()}
+    safe = {(r["doc_id"], r["text"]) for r in stages["personal data"](spark, odd, SF).collect()}
+    assert (1, None) in safe and (2, "") in safe and not any("a.b@mail.example" in (t or "") for _, t in safe)
+    pieces = stages["packing"](spark, odd, SF)
+    starts = sorted((r["doc_id"] or 0) for r in pieces.where("start = 0").collect())
+    assert starts == sorted((i or 0) for i, _ in rows)
