@@ -1,4 +1,10 @@
-"""Corpus pipeline: quality classifier, near duplicates, benchmark decontamination, personal data, packing."""
+"""Corpus pipeline: quality classifier, near duplicates, benchmark decontamination, personal data, packing.
+
+In every stage null text counts as empty, rows of null doc_id are rows like others (near duplicates: always kept), an empty
+table gives an empty table, texts are taken whole however long, and other columns pass through whatever their names. Rows that
+repeat a doc_id are judged each on its own text, but by the second stage, where a doc_id is one document: its rows stay or go
+together.
+"""
 
 from __future__ import annotations
 
@@ -16,22 +22,22 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near duplicates (five words, similarity 0.8 or more)."""
+    """Keeps the smallest doc_id of each group of near duplicates (five words, similarity 0.8 or more); texts without words stay."""
     return near_dups.drop_near_duplicates(docs, pct=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item."""
+    """Drops the documents that hold a benchmark item; ties at the coverage go; null items match nothing."""
     return tiling.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in the texts by its kind."""
+    """Replaces personal data in the texts by its kind; null text stays null."""
     return pii.redact_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences; null or empty text is its closing id."""
     return digest_pieces(packing.pack(docs, public_tokenizers.path(BPE)))
 
 
