@@ -37,3 +37,9 @@ def test_query(spark, con, name):
     out = con.execute(sql)
     at = [[d[0] for d in out.description].index(c) for c in cols]
     assert got == sorted(repr(tuple(normal(r[k]) for k in at)) for r in out.fetchall())
+
+
+def test_ring_sample_is_of_all_fires(spark, con, tmp_path):
+    con.execute(f"copy (select * from events where event_id % 20 = 7) to '{tmp_path}/events.parquet' (format parquet)")
+    row = catalog.queries()["n08_ring_sample"](spark, str(tmp_path)).first()
+    assert row["ring_in_band"] and row["inside_band"] and row["n"] == 300
