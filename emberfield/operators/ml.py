@@ -234,22 +234,102 @@ def cluster_quality(df: DataFrame, label: str, v: str) -> DataFrame:
     return worst.agg(F.avg("r").alias("davies_bouldin")).crossJoin(ch.select(((F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k")))).alias("calinski_harabasz")))
 
 
-# neighbours of vectors, in blocks
+# neighbours of vectors: leaves of a tree, in blocks
+def _finite(df: DataFrame, key: str, v: str, name: str) -> DataFrame:
+    """(name, x) of the rows with a vector; null or non-finite components have no distance to anything."""
+    rows = df.select(F.col(key).cast("long").alias(name), F.col(v).cast("array<double>").alias("x"))
+    return rows.where(F.coalesce(F.forall("x", lambda t: F.abs(t) < math.inf), F.lit(False)))
+
+
+def _split(rows: np.ndarray, leaves: int) -> tuple[np.ndarray, ...]:
+    """(dim or -1, cut, left, right) of each node of a tree of at most `leaves` leaves: halves along the widest dimension."""
+    dim, cut, left, right, todo = [-1], [0.0], [0], [0], [(0, rows)]
+    while todo and len(dim) < 2 * leaves - 1:
+        node, part = todo.pop(0)
+        wide = np.ptp(part, axis=0) if part.size else np.zeros(0)
+        if not wide.any():
+            continue
+        dim[node] = int(np.argmax(wide))
+        c = part[:, dim[node]]
+        cut[node] = float(min(np.median(c), c[c < c.max()].max()))
+        left[node], right[node] = len(dim), len(dim) + 1
+        low = c <= cut[node]
+        for half in (part[low], part[~low]):
+            todo.append((len(dim), half))
+            dim.append(-1)
+            cut.append(0.0)
+            left.append(0)
+            right.append(0)
+    return tuple(map(np.array, (dim, cut, left, right)))
+
+
+def _tree(data: DataFrame, block: int, most: int = 512, each: int = 64):
+    """place(rows, name), which adds the leaf `j` to (name, x), of a tree for data (o, x). The tree comes from at most `most` * `each`
+    rows, and only steers which blocks meet: results do not depend on it."""
+    leaves = min(most, math.ceil(data.count() / block))
+    rows = data.orderBy(F.xxhash64("o"), "o").limit(each * leaves).select("x").collect() if leaves > 1 else []
+    dim, cut, left, right = _split(np.array([r["x"] for r in rows]).reshape(len(rows), -1) if rows else np.zeros((0, 0)), max(1, leaves))
+
+    def place(batches):
+        for p in batches:
+            at = np.zeros(len(p), dtype=np.int32)
+            x = np.stack(p["x"]) if len(p) else None
+            while (inner := dim[at] >= 0).any():
+                low = x[np.arange(len(x)), np.maximum(dim[at], 0)] <= cut[at]
+                at = np.where(inner, np.where(low, left[at], right[at]), at).astype(np.int32)
+            yield p.assign(j=at)
+
+    return (lambda df, name: df.select(name, "x").mapInPandas(place, f"{name} long, x array<double>, j int")), len(dim) > 1
+
+
+def _boxes(placed: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(leaf, low corner, high corner) of all rows of each leaf: as many as the tree has."""
+    ends = placed.select("j", F.posexplode("x").alias("i", "t")).groupBy("j", "i").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    per = ends.groupBy("j").agg(F.sort_array(F.collect_list(F.struct("i", "lo", "hi"))).alias("b"))
+    return [(r["j"], np.array([e["lo"] for e in r["b"]]), np.array([e["hi"] for e in r["b"]])) for r in per.collect()]
+
+
+def _route(df: DataFrame, boxes, metric: str) -> DataFrame:
+    """(q, x, j) of df (q, x, own, reach): each leaf but `own` whose box is within reach."""
+
+    def run(batches):
+        import pandas as pd
+
+        for p in batches:
+            if not len(p):
+                continue
+            x, own, reach = np.stack(p["x"]), p["own"].to_numpy(), p["reach"].to_numpy() * (1 + 1e-9)
+            for j, lo, hi in boxes:
+                gap = np.maximum(np.maximum(lo - x, x - hi), 0)
+                d = gap.sum(axis=1) if metric == "manhattan" else np.sqrt((gap * gap).sum(axis=1))
+                hit = (d <= reach) & (own != j)
+                if hit.any():
+                    yield pd.DataFrame({"q": p["q"][hit], "x": p["x"][hit], "j": np.full(hit.sum(), j, dtype=np.int32)})
+
+    return df.select("q", "x", "own", "reach").mapInPandas(run, "q long, x array<double>, j int")
+
+
+def _meet(left: DataFrame, right: DataFrame, block: int, fn, schema: str) -> DataFrame:
+    """fn over blocks of left (q, x, j) and right (o, x, j) rows of one leaf; a leaf of many rows is cut by hashes of the keys."""
+    sizes = [df.groupBy("j").agg(F.ceil(F.count("*") / block).cast("int").alias(n)) for df, n in ((left, "m"), (right, "n"))]
+    cuts = F.broadcast(materialize(sizes[0].join(sizes[1], "j"), "cuts"))  # a row a leaf
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    a = left.join(cuts, "j").select("q", F.col("x").alias("x"), F.col("j").alias("j"), part("q", "m").alias("a"), F.explode(F.expr("sequence(0, n - 1)")).alias("b"))
+    b = right.join(cuts, "j").select("o", "x", "j", F.explode(F.expr("sequence(0, m - 1)")).alias("a"), part("o", "n").alias("b"))
+    return a.groupBy("j", "a", "b").cogroup(b.groupBy("j", "a", "b")).applyInPandas(fn, schema)
+
+
 def block_neighbours(queries: DataFrame, data: DataFrame, key: str, v: str, k: int, metric: str = "euclidean", block: int = 4096, exclude_self: bool = True) -> DataFrame:
-    """(key, other, dist, rank): exact k nearest of each query. Data is cut into blocks by a hash; each block meets blocks of queries in numpy."""
-    n, m = max(1, math.ceil(data.count() / block)), max(1, math.ceil(queries.count() / block))
-    a = queries.select(F.col(key).alias("q"), F.col(v).cast("array<double>").alias("x"), F.pmod(F.xxhash64(F.col(key)), F.lit(m)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
-    b = data.select(F.col(key).alias("o"), F.col(v).cast("array<double>").alias("x"), F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i"))
+    """(key, other, dist, rank): exact k nearest of each query, ties to the smaller key; fewer if there are fewer. Data lies in the leaves
+    of a tree. A query meets its own leaf first, and then the leaves whose box is no farther than its k-th distance so far."""
 
     def near(left, right):
         import pandas as pd
 
         if not len(left) or not len(right):
             return pd.DataFrame({"q": [], "o": [], "dist": []}).astype({"q": "int64", "o": "int64", "dist": "float64"})
-        x, y = np.stack(left["x"]), np.stack(right["x"])
-        ids = right["o"].to_numpy()
-        out = []
-        for q, row in zip(left["q"].to_numpy(), x, strict=True):
+        y, ids, out = np.stack(right["x"]), right["o"].to_numpy(), []
+        for q, row in zip(left["q"].to_numpy(), np.stack(left["x"]), strict=True):
             d = np.abs(y - row).sum(axis=1) if metric == "manhattan" else np.sqrt(((y - row) ** 2).sum(axis=1))
             if exclude_self:
                 d = np.where(ids == q, np.inf, d)
@@ -257,9 +337,20 @@ def block_neighbours(queries: DataFrame, data: DataFrame, key: str, v: str, k: i
             out += [(q, ids[t], d[t]) for t in order if np.isfinite(d[t])]
         return pd.DataFrame(out, columns=["q", "o", "dist"])
 
-    pairs = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(near, "q long, o long, dist double")
-    w = Window.partitionBy("q").orderBy("dist", "o")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(key), F.col("o").alias("other"), "dist", "rank")
+    def best(df):
+        return df.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("dist", "o"))).where(F.col("rank") <= k)
+
+    data = _finite(data, key, v, "o")
+    place, many = _tree(data, block)
+    b, a = materialize(place(data, "o"), "data"), materialize(place(_finite(queries, key, v, "q"), "q"), "queries")
+    found = best(_meet(a, b, block, near, "q long, o long, dist double"))
+    if many:
+        own = materialize(found.select("q", "o", "dist"), "own")
+        reach = own.groupBy("q").agg(F.when(F.count("*") >= k, F.max("dist")).alias("reach"))
+        ask = a.join(reach, "q", "left").select("q", "x", F.col("j").alias("own"), F.coalesce("reach", F.lit(math.inf)).alias("reach"))
+        far = materialize(_route(ask, _boxes(b), metric), "far")
+        found = best(own.unionByName(_meet(far, b, block, near, "q long, o long, dist double")))
+    return found.select(F.col("q").alias(key), F.col("o").alias("other"), "dist", "rank")
 
 
 def knn_classify(test: DataFrame, train: DataFrame, key: str, v: str, y: str, k: int, metric: str = "euclidean") -> DataFrame:
@@ -333,26 +424,30 @@ def dbscan(df: DataFrame, key: str, v: str, eps: float, least: int, pairs: DataF
 
 
 def eps_pairs(df: DataFrame, key: str, v: str, eps: float, metric: str = "euclidean", block: int = 2048) -> DataFrame:
-    """(key, other, dist) of all pairs at most eps apart, both ways, from pairs of blocks."""
-    n = max(1, math.ceil(df.count() / block))
-    base = df.select(F.col(key).alias("id"), F.col(v).cast("array<double>").alias("x"), F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int").alias("b"))
-    a = base.select("id", "x", F.col("b").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
-    b = base.select(F.col("id").alias("o"), F.col("x").alias("z"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bi"), F.col("b").alias("bj"))
+    """(key, other, dist) of all pairs at most eps apart, both ways. Rows lie in the leaves of a tree, and meet the leaves whose box is
+    within eps; the result is as large as the pairs are many."""
 
     def near(left, right):
         import pandas as pd
 
         if not len(left) or not len(right):
-            return pd.DataFrame({"id": [], "other": [], "dist": []}).astype({"id": "int64", "other": "int64", "dist": "float64"})
-        y, ids, out = np.stack(right["z"]), right["o"].to_numpy(), []
-        for q, row in zip(left["id"].to_numpy(), np.stack(left["x"]), strict=True):
+            return pd.DataFrame({"q": [], "o": [], "dist": []}).astype({"q": "int64", "o": "int64", "dist": "float64"})
+        y, ids, out = np.stack(right["x"]), right["o"].to_numpy(), []
+        for q, row in zip(left["q"].to_numpy(), np.stack(left["x"]), strict=True):
             d = np.abs(y - row).sum(axis=1) if metric == "manhattan" else np.sqrt(((y - row) ** 2).sum(axis=1))
             hit = np.flatnonzero((d <= eps) & (ids != q))
-            out.append(pd.DataFrame({"id": q, "other": ids[hit], "dist": d[hit]}))
+            out.append(pd.DataFrame({"q": q, "o": ids[hit], "dist": d[hit]}))
         return pd.concat(out)
 
-    pairs = a.groupBy("i", "j").cogroup(b.groupBy("bi", "bj")).applyInPandas(near, "id long, other long, dist double")
-    return materialize(pairs.withColumnRenamed("id", key), "eps")
+    data = _finite(df, key, v, "o")
+    place, many = _tree(data, block)
+    b = materialize(place(data, "o"), "data")
+    a = b.select(F.col("o").alias("q"), "x", "j")
+    if many:
+        a = materialize(_route(a.select("q", "x", F.lit(-1).alias("own"), F.lit(float(eps)).alias("reach")), _boxes(b), metric), "near")
+    pairs = materialize(_meet(a, b, block, near, "q long, o long, dist double").select(F.col("q").alias(key), F.col("o").alias("other"), "dist"), "eps")
+    release(a, b)
+    return pairs
 
 
 def label_sums(df: DataFrame, key: str, v: str, label: str, block: int = 2048) -> DataFrame:

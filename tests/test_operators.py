@@ -128,6 +128,55 @@ def test_dbscan_chain_border_noise(spark):
     assert len({got[i] for i in (0, 1, 2, 3)}) == 1 and len({got[i] for i in (4, 5, 6)}) == 1 and got[7] == -1 and got[0] != got[4]
 
 
+def _clusters(n=300, dims=2):
+    """Vectors around six centers, a tenth of them copies, one far away, and three without a place."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, dims)) + rng.integers(0, 6, n)[:, None] * 20.0
+    x[: n // 10] = x[0]
+    x[-1] = 1e6
+    rows = [(i, r.tolist()) for i, r in enumerate(x)]
+    return rows, [(n, None), (n + 1, [math.nan] * dims), (n + 2, [None] * dims)]
+
+
+def _distance(a, b, metric):
+    d = np.abs(np.array(a) - np.array(b))
+    return float(d.sum() if metric == "manhattan" else np.sqrt((d**2).sum()))
+
+
+@pytest.mark.parametrize(("metric", "dims"), [("euclidean", 2), ("manhattan", 3)])
+def test_nearest_vectors_are_exact_in_any_blocks(spark, metric, dims):
+    rows, odd = _clusters(dims=dims)
+    df = spark.createDataFrame(rows + odd, "id long, v array<double>")
+    ask = rows[::7] + [(900, [55.0] * dims)]
+    queries = spark.createDataFrame(ask, "id long, v array<double>")
+    got = M.block_neighbours(queries, df, "id", "v", 4, metric, block=24).collect()
+    want = {(q, r + 1): o for q, x in ask for r, (d, o) in enumerate(sorted((round(_distance(x, y, metric), 9), o) for o, y in rows if o != q)[:4])}
+    assert {(r["id"], r["rank"]): r["other"] for r in got} == want
+    few = M.block_neighbours(df.where("id < 3"), df.where("id < 3"), "id", "v", 4, metric, block=1)
+    assert few.groupBy("id").count().select("count").distinct().collect() == [(2,)]
+    assert M.block_neighbours(df.limit(0), df.limit(0), "id", "v", 4).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_pairs_within_eps_are_exact_in_any_blocks(spark, metric):
+    rows, odd = _clusters(200)
+    df = spark.createDataFrame(rows + odd, "id long, v array<double>")
+    want = {(a, b) for a, x in rows for b, y in rows if a != b and _distance(x, y, metric) <= 0.7}
+    got = [(r["id"], r["other"]) for r in M.eps_pairs(df, "id", "v", 0.7, metric, block=16).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_far_leaves_are_not_met(spark):
+    rows, _ = _clusters()
+    data = M._finite(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", "o")
+    place, many = M._tree(data, 24)
+    placed = place(data, "o").cache()
+    asked = placed.select(F.col("o").alias("q"), "x", F.lit(-1).alias("own"), F.lit(0.7).alias("reach"))
+    boxes = M._boxes(placed)
+    assert many and len(boxes) > 8 and M._route(asked, boxes, "euclidean").count() < 4 * len(rows)
+    placed.unpersist()
+
+
 def test_p_values():
     assert E.t_pvalue(2.0, 10) == pytest.approx(0.07338803, abs=1e-7)
     assert E.chi2_pvalue(3.841458820694124, 1) == pytest.approx(0.05, abs=1e-9)
