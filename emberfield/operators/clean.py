@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip
+from .grid import focal
 from .quantiles import exact_percentiles
 
 
@@ -134,17 +135,35 @@ def decide(df: DataFrame, column: str, max_fill: float = 0.05) -> Decision:
     return Decision(column, categorical, symmetric, low, high, mode if categorical else r["mean"] if symmetric else q[1], 1 - r["n"] / r["rows"])
 
 
+def _fill_rest(df: DataFrame, column: str, d: Decision, max_fill: float) -> tuple[DataFrame, Decision]:
+    """Missing values, up to a share of max_fill, take the mode, mean or median of what the treatment of outliers left."""
+    if d.fill is None or not 0 < d.missing_share <= max_fill:
+        return df, d
+    if not d.categorical and d.low is not None:
+        d = replace(d, fill=df.agg(F.avg(column)).first()[0] if d.symmetric else exact_percentiles(df, [column], [0.5])[column][0])
+    return df.withColumn(column, F.coalesce(F.col(column), F.lit(float(d.fill)))), d
+
+
 def impute_smart(df: DataFrame, column: str, max_fill: float = 0.05) -> tuple[DataFrame, Decision]:
-    """Outliers become the mean (symmetric) or median of the rest; missing values are filled only up to a share of max_fill."""
+    """Outliers become the mean (symmetric) or median of the rest; then missing values are filled, only up to a share of max_fill."""
     d, x = decide(df, column), F.col(column)
     if d.low is not None:
         inside = x.between(d.low, d.high)
         rest = df.where(inside)
         value = rest.agg(F.avg(x)).first()[0] if d.symmetric else exact_percentiles(rest, [column], [0.5])[column][0]
         df = df.withColumn(column, F.when(x.isNull() | inside, x).otherwise(F.lit(value)))
-    if d.fill is not None and 0 < d.missing_share <= max_fill:
-        df = df.withColumn(column, F.coalesce(F.col(column), F.lit(float(d.fill))))
-    return df, d
+    return _fill_rest(df, column, d, max_fill)
+
+
+def impute_smart_grid(grid: DataFrame, column: str, max_fill: float = 0.05) -> tuple[DataFrame, Decision]:
+    """impute_smart for a grid (r, c): outliers become the mean of the valid cells around them that are no outliers, and stay where
+    there are none."""
+    d, x = decide(grid, column), F.col(column)
+    if d.low is not None:
+        inside = x.between(d.low, d.high)
+        grid = focal(grid.withColumn("__v", F.when(inside, x)), "__v", F.avg("v"), "__m", center=False)
+        grid = grid.withColumn(column, F.when(x.isNull() | inside, x).otherwise(F.coalesce("__m", x))).drop("__v", "__m")
+    return _fill_rest(grid, column, d, max_fill)
 
 
 def impute_coordinates(df: DataFrame, lat: str, lon: str, key: str, k: int = 5) -> DataFrame:

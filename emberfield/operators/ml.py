@@ -592,6 +592,71 @@ def kmedoids(df: DataFrame, key: str, v: str, k: int, sample: int = 500, iterati
     return assign(df, v, best[1])
 
 
+def clarans(df: DataFrame, key: str, v: str, k: int, sample: int = 500, local: int = 5, swaps: int = 100, seed: int = 0, metric: str = "manhattan") -> DataFrame:
+    """Medoids of a bounded sample by random swaps: each of `local` starts ends when `swaps` swaps in a row don't lower the cost. Every
+    row goes to its nearest medoid (Euclidean, as `assign` does). An empty table stays empty."""
+    df = df.withColumn(v, F.col(v).cast("array<double>"))
+    rows = df.where(F.col(v).isNotNull()).orderBy(*by_hash(key, seed)).limit(sample).select(v).collect()
+    if not rows:
+        return assign(df, v, [])
+    x = np.array([r[v] for r in rows])
+    d = np.abs(x[:, None] - x[None]).sum(2) if metric == "manhattan" else np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    rng, k, best = np.random.default_rng(seed), min(k, len(x)), None
+    for _ in range(local):
+        now = rng.choice(len(x), k, replace=False)
+        cost, missed = d[:, now].min(1).sum(), 0
+        while missed < swaps and k < len(x):
+            new = now.copy()
+            new[rng.integers(k)] = rng.choice(np.setdiff1d(np.arange(len(x)), now))
+            c = d[:, new].min(1).sum()
+            now, cost, missed = (new, c, 0) if c < cost else (now, cost, missed + 1)
+        if best is None or cost < best[0]:
+            best = cost, now
+    return assign(df, v, x[best[1]].tolist())
+
+
+def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
+    """Cluster numbers of rows merged pairwise, down to k clusters, where the sum of squares grows least (ties to the first rows)."""
+    n, label = np.ones(len(x)), np.arange(len(x))
+    d = ((x[:, None] - x[None]) ** 2).sum(2) / 2
+    np.fill_diagonal(d, np.inf)
+    for _ in range(len(x) - k):
+        i, j = sorted(divmod(int(d.argmin()), len(x)))
+        gone = np.isinf(d[i]) | np.isinf(d[j])
+        new = ((n[i] + n) * np.where(gone, 0, d[i]) + (n[j] + n) * np.where(gone, 0, d[j]) - n * d[i, j]) / (n[i] + n[j] + n)
+        d[i] = d[:, i] = np.where(gone, np.inf, new)
+        d[j] = d[:, j] = np.inf
+        n[i] += n[j]
+        label[label == j] = i
+    return np.unique(label, return_inverse=True)[1]
+
+
+def ward(df: DataFrame, key: str, v: str, k: int, sample: int = 500, seed: int = 0) -> DataFrame:
+    """Ward's clusters of a bounded sample (by hashes); every row goes to the nearest of their means. An empty table stays empty."""
+    df = df.withColumn(v, F.col(v).cast("array<double>"))
+    x = np.array([r[v] for r in df.where(F.col(v).isNotNull()).orderBy(*by_hash(key, seed)).limit(sample).select(v).collect()])
+    label = ward_labels(x, k) if len(x) else np.zeros(0, dtype=int)
+    return assign(df, v, [x[label == c].mean(0).tolist() for c in np.unique(label)])
+
+
+def ward_sweep(df: DataFrame, key: str, v: str, ks: list[int], runs: int = 5, sample: int = 500) -> list[dict]:
+    """Mean and deviation (population) of Davies-Bouldin and Calinski-Harabasz over samples, for each k; best: the least Davies-Bouldin."""
+    out = []
+    for k in ks:
+        got = []
+        for s in range(runs):
+            labelled = materialize(ward(df.select(key, v), key, v, k, sample, s), "ward")
+            got.append(cluster_quality(labelled, "cluster", v).first())
+            release(labelled)
+        row = {"k": k}
+        for c in ("davies_bouldin", "calinski_harabasz"):
+            xs = [g[c] for g in got if g[c] is not None]
+            row |= {c: float(np.mean(xs)) if xs else None, f"{c}_std": float(np.std(xs)) if xs else None}
+        out.append(row)
+    low = min((r["davies_bouldin"] for r in out if r["davies_bouldin"] is not None), default=None)
+    return [{**r, "best": low is not None and r["davies_bouldin"] == low} for r in out]
+
+
 def kmeans_sweep(df: DataFrame, key: str, v: str, ks: list[int], iterations: int = 10) -> dict:
     """rows (k, davies_bouldin, calinski_harabasz, silhouette, inertia), best by silhouette and by Davies-Bouldin (ties to the smaller k),
     and the elbow: the k where the inertia's fall slows most."""

@@ -181,6 +181,12 @@ def perimeter(ring: str) -> Column:
     return F.expr(f"aggregate(sequence(1, size({ring}) - 1), cast(0 as double), (s, k) -> s + sqrt(pow({ring}[k].x - {ring}[k - 1].x, 2) + pow({ring}[k].y - {ring}[k - 1].y, 2)))")
 
 
+def vertex_mean(ring: str) -> Column:
+    """Struct (x, y): the mean of a ring's points, NULL without any."""
+    mean = lambda c: F.expr(f"aggregate({ring}, cast(0 as double), (s, p) -> s + p.{c}) / nullif(size({ring}), 0)")
+    return F.struct(mean("x").alias("x"), mean("y").alias("y"))
+
+
 def valid_ring(ring: str) -> Column:
     return F.expr(f"size({ring}) >= 4 and {ring}[0].x = {ring}[size({ring}) - 1].x and {ring}[0].y = {ring}[size({ring}) - 1].y") & (shoelace(ring) > 0)
 

@@ -136,14 +136,23 @@ def symmetry(t):
     return t.features.agg((F.abs(F.skewness("price")) < 0.5).alias("symmetric"))
 
 
-@query("c09_smart_impute", IQR + """
-, o AS (SELECT *, z BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM v, s), m AS (SELECT abs(avg(pow(z - a, 3)) / pow(stddev_pop(z), 3)) < 0.5 AS sym FROM (SELECT z, avg(z) OVER () AS a FROM v WHERE z IS NOT NULL)),
-k AS (SELECT CASE WHEN (SELECT sym FROM m) THEN avg(z) FILTER (WHERE inside) ELSE median(z) FILTER (WHERE inside) END AS x, CASE WHEN (SELECT sym FROM m) THEN avg(z) ELSE median(z) END AS fill, avg(CASE WHEN z IS NULL THEN 1.0 ELSE 0 END) AS miss FROM o)
-SELECT r, c, round(CASE WHEN z IS NULL THEN CASE WHEN miss <= 0.05 THEN fill END WHEN inside THEN z ELSE x END, 4) AS z FROM o, k""", "dem")
+SYM = """, o AS (SELECT *, z BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM v, s), m AS (SELECT abs(avg(pow(z - a, 3)) / pow(stddev_pop(z), 3)) < 0.5 AS sym FROM (SELECT z, avg(z) OVER () AS a FROM v WHERE z IS NOT NULL))"""
+FILLED = """, f AS (SELECT CASE WHEN (SELECT sym FROM m) THEN avg(z) ELSE median(z) END AS fill, avg(CASE WHEN z IS NULL THEN 1.0 ELSE 0 END) AS miss FROM t)
+SELECT r, c, round(CASE WHEN z IS NULL AND miss <= 0.05 THEN fill ELSE z END, 4) AS z FROM t, f"""
+
+
+@query("c09_smart_impute", IQR + SYM + """, k AS (SELECT CASE WHEN (SELECT sym FROM m) THEN avg(z) FILTER (WHERE inside) ELSE median(z) FILTER (WHERE inside) END AS x FROM o),
+t AS (SELECT r, c, CASE WHEN z IS NULL OR inside THEN z ELSE x END AS z FROM o, k)""" + FILLED, "dem")
 def smart(t):
     return rounded(C.impute_smart(spiked(t), "z")[0], 4)
 
 
+@query("c09_smart_impute_grid", IQR + SYM + """, t AS (SELECT a.r, a.c, CASE WHEN any_value(a.z) IS NULL OR bool_or(a.inside) THEN max(a.z) ELSE coalesce(avg(b.z) FILTER (WHERE b.inside), max(a.z)) END AS z
+FROM o a LEFT JOIN o b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY a.r, a.c)""" + FILLED, "dem")
+def smart_grid(t):
+    return rounded(C.impute_smart_grid(spiked(t), "z")[0], 4)
+
+
 @query("c10_coordinate_impute", """
 , p AS (SELECT sid, CASE WHEN sid % 50 = 0 THEN NULL ELSE latitude END AS latitude, CASE WHEN sid % 50 = 0 THEN NULL ELSE longitude END AS longitude FROM stations), m AS (SELECT avg(latitude) AS a, avg(longitude) AS o FROM p),
 k AS (SELECT avg(latitude) AS a, avg(longitude) AS o FROM (SELECT latitude, longitude FROM p, m WHERE latitude IS NOT NULL ORDER BY pow(latitude - a, 2) + pow(longitude - o, 2), sid LIMIT 5))

@@ -222,6 +222,19 @@ def geojson(t):
     return rounded(out.select(F.col("properties")["zone"].cast("int").alias("zone"), X.shoelace("ring").alias("area")), 6)
 
 
+@query("s07_vertex_means", "SELECT zone, round((3 * x0 + 2 * x1) / 5, 6) AS x, round((3 * y0 + 2 * y1) / 5, 6) AS y FROM zones", "zones")
+def vertex_means(t):
+    return rounded(zones(t).select("zone", X.vertex_mean("ring").alias("p")).select("zone", "p.x", "p.y"), 6)
+
+
+@query("s09_jdbc_extract", "SELECT zone, class, x0 FROM zones", "zones")
+def jdbc_extract(t):
+    """The database is embedded in the driver, so this query, unlike io.jdbc, needs local mode."""
+    options = {"url": f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    t.zones.select("zone", "class", "x0").write.format("jdbc").options(dbtable="LAYERS", **options).save()
+    return io.jdbc(t.spark, options["url"], "LAYERS", driver=options["driver"])
+
+
 @query("s10_directory_walk", "SELECT CAST(2 AS BIGINT) AS files")
 def walk(t):
     path = f"{shared_dir(t.spark)}/walk-{uuid.uuid4().hex}"

@@ -290,6 +290,16 @@ def clara(t):
     return M.kmedoids(vectors(t), "vec_id", "v", 4).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
+@query("m06_clarans")
+def clarans(t):
+    return M.clarans(vectors(t), "vec_id", "v", 4).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query("m06_ward")
+def ward(t):
+    return M.ward(vectors(t), "vec_id", "v", 4).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
 @query("m08_decision_tree", "SELECT CAST(count(*) AS BIGINT) AS n, true AS better_than_majority FROM features", "features")
 def tree(t):
     f = t.features
@@ -410,6 +420,16 @@ def log(t):
     return t.spark.read.parquet(path).agg(F.count("*").alias("steps"))
 
 
+@query("k04_data_dictionary", """SELECT 'dem' AS layer, 'raster' AS type, CAST(count(*) AS STRING) || ' cells' AS notes, 'dem' AS item_id, 'raster' AS layer_type FROM dem
+UNION ALL SELECT 'soil', 'table', CAST(count(*) AS STRING) || ' cells', 'soil', 'table' FROM soil""", "dem", "soil")
+def dictionary(t):
+    path = place(t)
+    for name, kind, df in (("dem", "raster", t.dem), ("soil", "table", t.soil)):
+        io.log_layer(t.spark, path, name, f"{path}/{name}", kind, notes=f"{df.count()} cells")
+    item = lambda p: F.get_json_object("item", p)
+    return t.spark.read.parquet(path).select("layer", "type", "notes", item("$.id").alias("item_id"), item("$.properties.layer_type").alias("layer_type"))
+
+
 @query("s01_csv_scan", "SELECT country, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN id % 2 = 0 THEN 'Algeria' ELSE 'Tunisia' END AS country FROM fires) GROUP BY country", "fires")
 def csv_scan(t):
     path = place(t)

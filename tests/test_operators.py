@@ -177,6 +177,42 @@ def test_far_leaves_are_not_met(spark):
     placed.unpersist()
 
 
+def test_ward_merges_where_the_sum_of_squares_grows_least(spark):
+    x = np.random.default_rng(3).normal(size=(24, 3))
+    groups = [[i] for i in range(len(x))]
+    inside = lambda g: float(((x[g] - x[g].mean(0)) ** 2).sum())
+    while len(groups) > 5:
+        _, i, j = min((inside(a + b) - inside(a) - inside(b), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+        groups[i] += groups.pop(j)
+    label = M.ward_labels(x, 5)
+    assert {frozenset(np.flatnonzero(label == c).tolist()) for c in range(5)} == {frozenset(g) for g in groups}
+
+
+def test_ward_and_swapped_medoids_find_clusters(spark):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, (rng.normal(size=2) + 50 * (i % 3)).tolist()) for i in range(90)], "id long, v array<double>")
+    for got in (M.ward(df, "id", "v", 3, 40), M.clarans(df, "id", "v", 3, 40)):
+        rows = got.groupBy("cluster").agg(F.count("*").alias("n"), F.count_distinct(F.col("id") % 3).alias("k")).collect()
+        assert sorted((r["n"], r["k"]) for r in rows) == [(30, 1)] * 3
+    assert [r["best"] for r in M.ward_sweep(df, "id", "v", [2, 3], 2, 40)] == [False, True]
+    assert M.ward(df.limit(0), "id", "v", 3).count() == 0 and M.clarans(df.limit(0), "id", "v", 3).count() == 0
+
+
+def test_grid_outliers_become_the_mean_around_them(spark):
+    z = {(r, c): 10.0 + r + (c % 2) / 2 for r in range(8) for c in range(6)}
+    z[2, 2], z[2, 3], z[0, 0], z[7, 5] = 900.0, 901.0, 902.0, None
+    df = spark.createDataFrame([(r, c, v) for (r, c), v in z.items()], "r int, c int, z double")
+    out, d = C.impute_smart_grid(df, "z")
+    bad = {k for k, v in z.items() if v is not None and v > 800}
+    want = dict(z)
+    for r, c in bad:
+        around = [z[k] for k in z if max(abs(k[0] - r), abs(k[1] - c)) == 1 and k not in bad and z[k] is not None]
+        want[r, c] = sum(around) / len(around)
+    left = [v for v in want.values() if v is not None]
+    want[7, 5] = float(np.mean(left) if d.symmetric else np.median(left))
+    assert {(r["r"], r["c"]): round(r["z"], 9) for r in out.collect()} == {k: round(v, 9) for k, v in want.items()}
+
+
 def test_p_values():
     assert E.t_pvalue(2.0, 10) == pytest.approx(0.07338803, abs=1e-7)
     assert E.chi2_pvalue(3.841458820694124, 1) == pytest.approx(0.05, abs=1e-9)
