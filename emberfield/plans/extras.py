@@ -229,10 +229,10 @@ def vertex_means(t):
 
 @query("s09_jdbc_extract", "SELECT zone, class, x0 FROM zones", "zones")
 def jdbc_extract(t):
-    """The database is embedded in the driver, so this query, unlike io.jdbc, needs local mode."""
-    options = {"url": f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    t.zones.select("zone", "class", "x0").write.format("jdbc").options(dbtable="LAYERS", **options).save()
-    return io.jdbc(t.spark, options["url"], "LAYERS", driver=options["driver"])
+    """The database is embedded in the driver, so the driver fills and reads it; io.jdbc is for databases that executors reach."""
+    url, options = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    io.write_jdbc_on_driver(t.zones.select("zone", "class", "x0"), url, "LAYERS", **options)
+    return io.jdbc_on_driver(t.spark, url, "LAYERS", **options)
 
 
 @query("s10_directory_walk", "SELECT CAST(2 AS BIGINT) AS files")

@@ -247,6 +247,14 @@ def test_jdbc_reads_a_table(spark, tmp_path):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
+def test_jdbc_on_the_driver_reads_every_batch(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/layers;create=true"
+    want = [(k, None if k % 3 == 0 else f"D{k}", k / 2) for k in range(25)]
+    io.write_jdbc_on_driver(spark.createDataFrame(want, "id int, layer string, z double"), url, "LAYERS", 4, driver=DERBY)
+    assert sorted(map(tuple, io.jdbc_on_driver(spark, url, "LAYERS", 7, driver=DERBY).collect())) == want
+    assert io.jdbc_on_driver(spark, url, "(SELECT * FROM LAYERS WHERE \"id\" < 0) AS few", driver=DERBY).collect() == []
+
+
 def test_grid_columns(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3, 4)], "Latitude double, X double, grid_id int, soil int")
     assert io.grid_columns(df).columns == ["lat", "lon", "grid_id", "soil_id"]

@@ -1,6 +1,8 @@
 """Every query of the reference's own operators beside its oracle."""
 
 import math
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -43,3 +45,14 @@ def test_ring_sample_is_of_all_fires(spark, con, tmp_path):
     con.execute(f"copy (select * from events where event_id % 20 = 7) to '{tmp_path}/events.parquet' (format parquet)")
     row = catalog.queries()["n08_ring_sample"](spark, str(tmp_path)).first()
     assert row["ring_in_band"] and row["inside_band"] and row["n"] == 300
+
+
+def test_jdbc_extract_where_executors_are_other_processes(con, tmp_path):
+    code = f"""
+from pyspark.sql import SparkSession
+from emberfield.plans import catalog
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.checkpoint.dir", "file://{tmp_path}").config("spark.ui.enabled", "false").getOrCreate()
+print("ROWS", sorted(map(tuple, catalog.queries()["s09_jdbc_extract"](spark, "{SF}").collect())))
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], capture_output=True, text=True, timeout=300)
+    assert f"ROWS {sorted(con.execute(catalog.oracle_sql()['s09_jdbc_extract']).fetchall())}" in done.stdout, done.stderr[-2000:]
