@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import coord_text, destination, haversine_km, uniform
+from ..functions.scalar import EARTH_KM, coord_text, destination, haversine_km, uniform
 from ..session import materialize, release
 from . import layers, spatial, tables
 from .quantiles import exact_percentiles
@@ -120,21 +120,44 @@ def assemble(positives: DataFrame, negatives: DataFrame, seed: int = 0, digits:
     return out, summary.select("positives", "negatives", (F.col("__rows") - total).alias("duplicates"), (F.col("positives") / F.nullif(total, F.lit(0))).alias("share"))
 
 
+def _tight_cells(df: DataFrame, km: float) -> DataFrame:
+    """Adds (__i, __j), cells of the globe so small that any two places of one are less than km apart."""
+    side = math.degrees(0.7 * 2 * math.sin(min(km / (2 * EARTH_KM), math.pi / 2)))
+    i = F.floor(F.col("latitude") / side)
+    wide = F.cos(F.radians(F.least(F.lit(90.0), F.abs(i * side), F.abs((i + 1) * side))))  # at the band's end that is nearest to the equator
+    n = F.greatest(F.lit(1.0), F.ceil(360.0 / side * wide).cast("double"))
+    return df.withColumn("__i", i).withColumn("__j", F.floor(F.pmod(F.col("longitude"), F.lit(360.0)) * n / 360.0))
+
+
 def spread(candidates: DataFrame, min_km: float, seed: int = 0, rounds: int = 40) -> DataFrame:
-    """A maximal subset whose members are min_km apart: each round keeps candidates that come first among their neighbours."""
-    c = candidates.withColumn("rank", F.xxhash64(F.lit(seed), "nid"))
-    other = c.select(F.col("nid").alias("other"), F.col("rank").alias("rank2"), "latitude", "longitude")
-    pairs = spatial.within_km(c, other, "nid", "other", min_km, haversine_km).where(F.col("nid") != F.col("other")).where(F.col("km") < min_km).select("nid", "other")
-    pairs, todo, kept = materialize(pairs, "pairs"), c.select("nid", "rank"), None
+    """A maximal subset whose members are min_km apart: each round keeps candidates that come first among their neighbours.
+
+    Rows that share a cell are neighbours, so a round compares only the first of each cell with what is around it: there are as
+    many of these as cells, and no table of pairs. Candidates without finite coordinates are near nothing and stay."""
+    if min_km <= 0:
+        return candidates
+    node = F.struct(F.xxhash64(F.lit(seed), "nid").alias("rank"), "nid").alias("node")  # rows of one nid are one node
+    rows = candidates.where("nid is not null").select(node, F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude"))
+    placed = F.coalesce((F.abs("latitude") < float("inf")) & (F.abs("longitude") < float("inf")), F.lit(False))
+    live = materialize(_tight_cells(rows.where(placed), min_km), "live")
+    kept = materialize(rows.where(~placed).join(live.select("node"), "node", "left_anti").select("node"), "win")
+
+    def near(some: DataFrame) -> DataFrame:
+        return spatial.within_km(some, live.withColumnRenamed("node", "other"), "node", "other", min_km, haversine_km).where(F.col("km") < min_km)
+
     for _ in range(rounds):
-        live = pairs.join(todo.withColumnRenamed("rank", "r1"), "nid").join(todo.select(F.col("nid").alias("other"), F.col("rank").alias("r2")), "other")
-        beaten = live.where("r2 < r1 or (r2 = r1 and other < nid)").select("nid").distinct()
-        win = materialize(todo.join(beaten, "nid", "left_anti").select("nid"), "win")
-        kept = win if kept is None else kept.unionByName(win)
-        near = pairs.join(win.withColumnRenamed("nid", "other"), "other", "left_semi").select("nid").distinct()
-        todo = materialize(todo.join(win, "nid", "left_anti").join(near, "nid", "left_anti"), "todo")
-        if todo.isEmpty():
-            return candidates.join(kept, "nid", "left_semi")
+        first = materialize(live.groupBy("__i", "__j").agg(F.min("node").alias("first")), "first")
+        ranked = live.join(first, ["__i", "__j"])
+        ahead = materialize(ranked.where("node = first").select("node", "latitude", "longitude"), "ahead")
+        elsewhere = ranked.where("first < node").select("node").join(ahead.select("node"), "node", "left_semi")
+        win = ahead.join(near(ahead).where("other < node").select("node").unionByName(elsewhere).distinct(), "node", "left_anti")
+        win = materialize(win, "win")
+        kept = kept.unionByName(win.select("node"))
+        left = materialize(live.join(near(win).select(F.col("other").alias("node")).distinct(), "node", "left_anti"), "live")
+        release(live, first, ahead)
+        live = left
+        if live.isEmpty():
+            return candidates.join(kept.select("node.nid"), "nid", "left_semi")
     raise RuntimeError("the sample did not settle")
 
 

@@ -425,3 +425,29 @@ def test_top_ups(spark):
     assert X.within_km(spark.createDataFrame(got), fires, "nid", "id", 5.0, S.haversine_km).where("km < 5").count() == 0
     few = N.even_grid(fires, 30, 1.0, refinements=1)
     assert few.count() == 30 and few.select("nid").distinct().count() == 30
+
+
+def test_spread_is_the_greedy_sample_and_makes_no_table_of_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    places = [(k, float(a), float(o)) for k, (a, o) in enumerate(zip(rng.uniform(30, 30.8, 1500), rng.uniform(5, 5.8, 1500), strict=True))]
+    places += [(1500 + k, float(a), float(o)) for k, (a, o) in enumerate(zip(rng.choice([-90, -89.7, 0, 89.8, 90], 200) * 1.0, rng.uniform(-180, 180, 200), strict=True))]
+    places += [(1700 + k, 0.1 * k, float(o)) for k, o in enumerate((179.9, -179.9, 180, -180, 0))] + [(3, 60.0, 60.0), (1600, 60.1, 60.1), (3, 60.0, 60.0), (1705, None, 1.0), (1706, math.nan, 1.0)]
+    df = spark.createDataFrame(places, "nid long, latitude double, longitude double")
+    most, whole = [0], N.materialize
+
+    def counted(frame, name):
+        out = whole(frame, name)
+        most[0] = max(most[0], out.count())
+        return out
+
+    monkeypatch.setattr(N, "materialize", counted)
+    got = {r["nid"] for r in N.spread(df, 20.0, seed=7).collect()}
+    by, near = {}, lambda p, q: S.EARTH_KM * 2 * math.asin(min(1.0, math.sqrt(math.sin(math.radians(q[0] - p[0]) / 2) ** 2 + math.cos(math.radians(p[0])) * math.cos(math.radians(q[0])) * math.sin(math.radians(q[1] - p[1]) / 2) ** 2))) < 20
+    for nid, a, o in places:
+        by.setdefault(nid, []).extend([(a, o)] if a is not None and math.isfinite(a) else [])
+    want = []
+    for r in df.select("nid", F.xxhash64(F.lit(7), "nid").alias("rank")).distinct().orderBy("rank", "nid").collect():
+        if not any(near(p, q) for p in by[r["nid"]] for w in want for q in by[w]):
+            want.append(r["nid"])
+    assert got == set(want) and {1705, 1706} <= got
+    assert most[0] <= len(places)
