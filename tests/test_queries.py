@@ -59,7 +59,7 @@ print("ROWS", sorted(map(tuple, catalog.queries()["s09_jdbc_extract"](spark, "{S
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
-@pytest.mark.parametrize("name", ["g03_position_index"])
+@pytest.mark.parametrize("name", ["g03_position_index", "g08_resample_bilinear"])
 def test_grids_that_are_not_50_rows(spark, name, sf):
     df, c = catalog.queries()[name](spark, str(SF.parent / sf)), duckdb.connect()
     c.execute(f"create view part as select * from '{SF.parent / sf}/part.parquet'")
