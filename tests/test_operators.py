@@ -114,6 +114,17 @@ def test_position_index_replicates_edges(spark):
         assert r["tpi"] == pytest.approx(a[r["r"], r["c"]] - p[r["r"] : r["r"] + 3, r["c"] : r["c"] + 3].mean())
 
 
+def test_position_index_of_wide_windows_and_far_cells(spark):
+    a = np.random.default_rng(2).normal(size=(9, 8))
+    a[0, 1] = np.nan
+    p = np.pad(a[:5, :6], ((2, 6), (2, 4)), mode="edge")  # a raster of 5 x 6 cells
+    got = G.position_index(grid(spark, a).withColumnRenamed("z", "v"), "v", 5, 6, 5).collect()
+    assert len(got) == 72
+    for r in got:
+        want = a[r["r"], r["c"]] - np.nanmean(p[r["r"] : r["r"] + 5, r["c"] : r["c"] + 5])
+        assert r["tpi"] is None if np.isnan(want) else r["tpi"] == pytest.approx(want)
+
+
 def test_auc_with_ties(spark):
     df = spark.createDataFrame([(1, 0.5), (0, 0.5), (1, 0.9), (0, 0.1)], "y int, p double")
     r = M.ranking_metrics(df, "y", "p").first()

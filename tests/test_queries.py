@@ -65,3 +65,23 @@ def test_grids_that_are_not_50_rows(spark, name, sf):
     c.execute(f"create view part as select * from '{SF.parent / sf}/part.parquet'")
     want = c.execute(f"select {', '.join(df.columns)} from ({catalog.oracle_sql()[name]})").fetchall()
     assert sorted(repr(tuple(map(normal, r))) for r in df.collect()) == sorted(repr(tuple(map(normal, r))) for r in want)
+
+
+def test_position_index_broadcasts_no_table_of_windows(spark):
+    sf = SF.parent / "sf0.1"
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "4m")  # the exploded windows of 20,000 cells take more
+    try:
+        # collected: a count would not need the means
+        assert len(catalog.queries()["g03_position_index"](spark, str(sf)).collect()) == 20_000
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def test_position_index_of_odd_tables(spark, con, tmp_path):
+    # cells far out, before the raster, twice, without a key; and one whose window has no cell
+    keys = "select unnest([0, 1, 39, 40, 41, 79, 1960, 1999, 1999, 5000, 5020, 5039, 5039, 900000, -1, -41, -5000, 1200, null])"
+    con.execute(f"copy (select k as p_partkey, 900 + coalesce(k, 7) % 13 + row_number() over () * 0.5e0 as p_retailprice, 3::int as p_size, 'b' as p_brand, 't' as p_type from ({keys}) t(k)) to '{tmp_path}/part.parquet' (format parquet)")
+    df, c = catalog.queries()["g03_position_index"](spark, str(tmp_path)), duckdb.connect()
+    c.execute(f"create view part as select * from '{tmp_path}/part.parquet'")
+    want = c.execute(f"select r, c, tpi from ({catalog.oracle_sql()['g03_position_index']})").fetchall()
+    assert sorted(repr(tuple(map(normal, r))) for r in df.select("r", "c", "tpi").collect()) == sorted(repr(tuple(map(normal, r))) for r in want)
